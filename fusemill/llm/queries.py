@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op2_line_dedup": "line_dedup",
     "op3_secret_scan": "secret_scan",
+    "op6_media": "media",
     "op8_warc": "warc",
 }
 
