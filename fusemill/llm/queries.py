@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module that has query() and, where SQL can express it, ORACLE_SQL.
 MODULES = {
+    "op1_sentencepiece": "sentencepiece_codec",
     "op2_line_dedup": "line_dedup",
     "op3_secret_scan": "secret_scan",
     "op6_media": "media",
