@@ -11,6 +11,7 @@ MODULES = {
     "op3_secret_scan": "secret_scan",
     "op6_media": "media",
     "op8_warc": "warc",
+    "op10_lm_score": "lm_score",
 }
 
 
