@@ -22,18 +22,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import table
+from fusemill.llm.common import table, written
 
 MIN_DOCS = 5
 MIN_WORDS = 3
 LEADING = 2
 SIMILAR = 0.8
+#: Bits of the filter that leaves out lines early; it never decides a result.
+BITMAP = 1 << 22
 MAX_SHARE = 0.4
 
 
 def _template(line: Column) -> Column:
-    one_space = F.trim(F.regexp_replace(line, "[ \\t\\r]+", " "))
-    return F.regexp_replace(one_space, "[^ ]*[0-9][^ ]*", "<*>")
+    """One space between words, and <*> for words with a digit; each regular expression runs only where it finds something."""
+    spaced = F.trim(F.when(line.rlike("[ \\t\\r]{2}|[\\t\\r]"), F.regexp_replace(line, "[ \\t\\r]+", " ")).otherwise(line))
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "(?<![^ ])[^ ]*[0-9][^ ]*", "<*>")).otherwise(spaced)
 
 
 def _words(template: Column) -> Column:
@@ -44,25 +47,41 @@ def _leaf(template: Column, leading: int) -> Column:
     return F.xxhash64(_words(template), F.substring_index(template, " ", leading))
 
 
+def _in_some(leaves: DataFrame, leaf: Column) -> Column:
+    """True for every leaf in leaves and for few others: a bitmap of BITMAP bits, whatever the number of leaves."""
+    spark = leaves.sparkSession
+    at = F.pmod("leaf", F.lit(BITMAP))
+    words = leaves.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(leaf, {BITMAP}) & 63 as int))")).alias("bits"))
+    whole = spark.range(BITMAP // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    bitmap = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap")).scalar()
+    here = F.pmod(leaf, F.lit(BITMAP))
+    return F.call_function("getbit", F.get(bitmap, F.shiftright(here, 6).cast("int")), here.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def line_keys(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, leading: int = LEADING) -> DataFrame:
+    """__id, __text, pos, leaf, key of each line that may be dropped."""
+    lines = docs.select("__id", "__text", F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("template", _template(F.col("line")))
+    lines = lines.where(_words(F.col("template")) >= min_words)
+    return lines.select("__id", "__text", "pos", _leaf(F.col("template"), leading).alias("leaf"), F.xxhash64("template").alias("key"))
+
+
 def recurring(
-    docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, leading: int = LEADING, similar: float = SIMILAR
+    docs: DataFrame, keys: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, leading: int = LEADING, similar: float = SIMILAR
 ) -> DataFrame:
-    """leaf, key: the hashes of every template that recurs."""
+    """leaf, key: the hashes of every template that recurs. Leaves of fewer than min_docs lines hold none and are left out first."""
+    full = keys.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     lines = docs.select(F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _template))).alias("template"))
-    templates = (
-        lines.where(_words(F.col("template")) >= min_words)
-        .groupBy("template")
-        .agg(F.count("*").alias("n"))
-        .withColumn("leaf", _leaf(F.col("template"), leading))
-    )
+    lines = lines.where(_words(F.col("template")) >= min_words).where(_in_some(full, _leaf(F.col("template"), leading)))
+    templates = lines.groupBy("template").agg(F.count("*").alias("n")).withColumn("leaf", _leaf(F.col("template"), leading))
     seeds = templates.groupBy("leaf").agg(F.sum("n").alias("docs"), F.max_by("template", F.struct("n", "template")).alias("seed")).where(F.col("docs") >= min_docs)
     same = F.size(F.filter(F.arrays_zip(F.split("template", " ").alias("a"), F.split("seed", " ").alias("b")), lambda z: z["a"] == z["b"]))
     near = templates.join(seeds, "leaf").withColumn("near", same >= F.ceil(F.lit(similar) * _words(F.col("template"))))
+    near = near.select("leaf", F.xxhash64("template").alias("key"), "n", "near")
     groups = near.where("near").groupBy("leaf").agg(F.sum("n").alias("of_group"))
     return (
-        near.join(groups, "leaf")
+        near.join(groups, "leaf", "left")
         .where((F.col("n") >= min_docs) | (F.col("near") & (F.col("of_group") >= min_docs)))
-        .select("leaf", F.xxhash64("template").alias("key"))
+        .select("leaf", "key")
     )
 
 
@@ -77,11 +96,10 @@ def drop_recurring(
     max_share: float = MAX_SHARE,
 ) -> DataFrame:
     """docs with the recurring lines taken out of text, and n_lines and n_dropped (long)."""
-    found = recurring(docs, text, min_docs, min_words, leading, similar)
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__text": F.xxhash64(text)})
-    lines = keyed.select("__id", "__text", F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("template", _template(F.col("line")))
-    lines = lines.select("__id", "__text", "pos", _leaf(F.col("template"), leading).alias("leaf"), F.xxhash64("template").alias("key"), _words(F.col("template")).alias("words"))
-    hits = lines.where(F.col("words") >= min_words).drop("words").join(found, ["leaf", "key"], "left_semi")
+    keys = written(line_keys(keyed, text, min_words, leading), "line-keys")
+    found = recurring(docs, keys, text, min_docs, min_words, leading, similar)
+    hits = keys.join(found, ["leaf", "key"], "left_semi")
     drops = hits.groupBy("__id", "__text").agg(F.collect_set("pos").alias("__drop"))
     out = keyed.join(drops, ["__id", "__text"], "left")
     all_lines = F.split(text, "\n")
