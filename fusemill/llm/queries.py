@@ -9,6 +9,7 @@ MODULES = {
     "op1_sentencepiece": "sentencepiece_codec",
     "op2_line_dedup": "line_dedup",
     "op3_secret_scan": "secret_scan",
+    "op4_language_id": "language_id",
     "op6_media": "media",
     "op8_warc": "warc",
     "op10_lm_score": "lm_score",
