@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with an Aho-Corasick automaton over the pieces.
 
-A text is normalised as the model file says and cut before each run of word
-marks (no piece has a mark after another character, which is checked; else
-nothing is cut). In a chunk the automaton reports, for each position, the pieces
+A text is normalised as the model file says and cut between two characters that
+stand next to each other in no piece: no piece can span such a place, so the
+parts are encoded by themselves. In a part the automaton reports, for each position, the pieces
 that end there, following output links, and one pass relaxes the best way to
 reach the position:
 
@@ -15,7 +15,7 @@ reach the position:
   whose pieces tie in rank are merged directly.
 
 Pieces that are not in the vocabulary fall back to bytes, or to the unknown
-piece if the model has none. Chunks are remembered up to a bound.
+piece if the model has none. Parts are remembered up to a bound.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
 repeated rows each give a row; other columns pass through.
@@ -23,7 +23,7 @@ repeated rows each give a row; other columns pass through.
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,13 +31,15 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fusemill.llm.common import CACHE, table, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+NO = float("-inf")
+#: Parts that a worker remembers.
+PARTS = 600_000
 
 
 def model_kind(proto: bytes) -> int:
@@ -95,7 +97,15 @@ class Codec:
         self.auto.make_automaton()
         self.single = {p for p in self.ids if len(p) == 1}
         self.unk_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if not any(MARK in p.lstrip(MARK) for p in self.ids) else "(?s).+")
+        # class 0: characters of no longer piece; inner[a, b]: some piece has a character of class a before one of class b
+        longer = [p for p in self.ids if len(p) > 1]
+        inner_chars = sorted(set("".join(longer)))
+        self.classes = np.zeros(0x110000, np.uint16)
+        self.classes[[ord(c) for c in inner_chars]] = np.arange(1, len(inner_chars) + 1)
+        self.inner = np.zeros((len(inner_chars) + 1, len(inner_chars) + 1), bool)
+        for p in longer:
+            at = self.classes[[ord(c) for c in p]]
+            self.inner[at[:-1], at[1:]] = True
         self.pairs: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -123,7 +133,7 @@ class Codec:
         head = n - len(s.lstrip(MARK))
         if bpe and head > 1:
             return self.marks(s, head)
-        best, back = [float("-inf")] * (n + 1), [0] * (n + 1)
+        best, back = [NO] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         at = -1
 
@@ -135,10 +145,11 @@ class Codec:
                     best[at + 1], back[at + 1] = best[at] + self.unk_score, at
 
         for end, (_, size, score) in self.auto.iter(s):
-            lone(end)
+            if at < end:
+                lone(end)
             start, stop = end + 1 - size, end + 1
             if bpe:
-                if best[stop] == float("-inf") and best[start] > float("-inf") and (not start or self.follows(s[back[start] : start], s[start:stop])):
+                if best[stop] == NO and best[start] != NO and (not start or self.follows(s[back[start] : start], s[start:stop])):
                     best[stop], back[stop] = 0.0, start
             elif best[start] + score > best[stop]:
                 best[stop], back[stop] = best[start] + score, start
@@ -184,16 +195,21 @@ class Codec:
                 else:
                     ids.append(self.unk)
             got = np.array(ids, np.int32).tobytes()
-            if len(self.chunks) >= CACHE:
+            if len(self.chunks) >= PARTS:
                 self.chunks.clear()
             if len(s) < 64:
                 self.chunks[s] = got
         return got
 
+    def parts(self, text: str) -> list[str]:
+        at = self.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        cuts = [0, *(np.flatnonzero(~self.inner[at[:-1], at[1:]]) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, text: str) -> np.ndarray:
-        chunks = self.cut.findall(self.sp.normalize(text)) if text else []
+        parts = self.parts(self.sp.normalize(text)) if text else []
         known = self.chunks
-        return np.frombuffer(b"".join([known.get(c) or self.chunk_ids(c) for c in chunks]), np.int32)
+        return np.frombuffer(b"".join([known.get(c) or self.chunk_ids(c) for c in parts]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         out = self.out
@@ -257,11 +273,32 @@ def schema(df: DataFrame, more: str):
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
-def tokens(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs with ids, n_tokens, the decoded text's sha256 and whether it is the text again."""
-    got = decode(encode(docs, model=model), model=model)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return got.withColumns({"decoded_sha256": F.sha2("decoded", 256), "round_trip": same}).drop("decoded")
+def tokens(docs: DataFrame, text: str = "text", model: str = MODEL, batch: int = 2000) -> DataFrame:
+    """docs with ids, n_tokens, the decoded text's sha256 and whether it is the text again, in one pass."""
+    with open(model, "rb") as f:
+        proto = f.read()
+    out = docs.drop("ids", "n_tokens", "decoded_sha256", "round_trip")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(proto, None)
+        for whole in batches:
+            for k in range(0, whole.num_rows, batch):
+                part = whole.slice(k, batch)
+                texts = texts_of(part[text])
+                ids = [own.encode(t) for t in texts]
+                back = [own.decode(x) for x in ids]
+                sizes = np.array([len(x) for x in ids])
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                sha = [hashlib.sha256(x.encode()).hexdigest() for x in back]
+                more = {
+                    "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))),
+                    "n_tokens": pa.array(sizes, pa.int64()),
+                    "decoded_sha256": pa.array(sha, pa.string()),
+                    "round_trip": pa.array([a == b for a, b in zip(texts, back)], pa.bool_()),
+                }
+                yield pa.RecordBatch.from_arrays([*part.columns, *more.values()], [*part.schema.names, *more])
+
+    return out.mapInArrow(run, schema(out, "ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
