@@ -11,6 +11,7 @@ MODULES = {
     "op3_secret_scan": "secret_scan",
     "op4_language_id": "language_id",
     "op6_media": "media",
+    "op7_jaccard_join": "jaccard_join",
     "op8_warc": "warc",
     "op10_lm_score": "lm_score",
 }
