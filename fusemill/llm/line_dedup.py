@@ -60,7 +60,7 @@ def _in_some(leaves: DataFrame, leaf: Column) -> Column:
 
 def line_keys(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, leading: int = LEADING) -> DataFrame:
     """__id, __text, pos, leaf, key of each line that may be dropped."""
-    lines = docs.select("__id", "__text", F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("template", _template(F.col("line")))
+    lines = docs.select("__id", "__text", F.posexplode(F.transform(F.split(text, "\n"), _template)).alias("pos", "template"))
     lines = lines.where(_words(F.col("template")) >= min_words)
     return lines.select("__id", "__text", "pos", _leaf(F.col("template"), leading).alias("leaf"), F.xxhash64("template").alias("key"))
 
