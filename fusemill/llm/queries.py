@@ -13,6 +13,7 @@ MODULES = {
     "op6_media": "media",
     "op7_jaccard_join": "jaccard_join",
     "op8_warc": "warc",
+    "op9_decontaminate": "decontaminate",
     "op10_lm_score": "lm_score",
 }
 
