@@ -243,11 +243,11 @@ def sample_of(docs: DataFrame, docs_of_each: int = SAMPLE_DOCS, words_of_each: i
     return [(r.lang, r.words.split()) for r in rows]
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    out = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score under names; columns of these names are replaced."""
+    out = docs.drop(*names)
     if model is None or not model.langs:
-        return out.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return out.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)})
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,11 +256,11 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             shares = tagger.shares(texts_of(batch[text]))
             best = shares.argmax(1)
             some = shares.sum(1) > 0
-            names = [tagger.model.langs[b] if s else "und" for b, s in zip(best, some)]
+            found = [tagger.model.langs[b] if s else "und" for b, s in zip(best, some)]
             score = np.clip(shares[np.arange(len(best)), best], 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score)], [*batch.schema.names, *names])
 
-    return out.mapInArrow(run, schema(out, "lang_pred string, score double"))
+    return out.mapInArrow(run, schema(out, f"{names[0]} string, {names[1]} double"))
 
 
 def held_out(id_col: str = "doc_id"):

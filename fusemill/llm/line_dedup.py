@@ -94,8 +94,10 @@ def drop_recurring(
     leading: int = LEADING,
     similar: float = SIMILAR,
     max_share: float = MAX_SHARE,
+    names: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """docs with the recurring lines taken out of text, and n_lines and n_dropped (long)."""
+    """docs with the recurring lines taken out of text, and their numbers (long) under names; columns of these names are replaced."""
+    docs = docs.drop(*names)
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__text": F.xxhash64(text)})
     keys = written(line_keys(keyed, text, min_words, leading), "line-keys")
     found = recurring(docs, keys, text, min_docs, min_words, leading, similar)
@@ -110,10 +112,10 @@ def drop_recurring(
     return out.withColumns(
         {
             text: F.when(F.size("__drop") > 0, kept).otherwise(F.col(text)),
-            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("long"),
-            "n_dropped": F.size("__drop").cast("long"),
+            names[0]: F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("long"),
+            names[1]: F.size("__drop").cast("long"),
         }
-    ).select(*docs.columns, "n_lines", "n_dropped")
+    ).select(*docs.columns, *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
