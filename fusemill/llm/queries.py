@@ -10,6 +10,7 @@ MODULES = {
     "op2_line_dedup": "line_dedup",
     "op3_secret_scan": "secret_scan",
     "op4_language_id": "language_id",
+    "op5_repeat_removal": "repeat_removal",
     "op6_media": "media",
     "op7_jaccard_join": "jaccard_join",
     "op8_warc": "warc",
