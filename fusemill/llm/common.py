@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most entries that a per-worker word cache holds before it is emptied.
@@ -66,21 +65,24 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def by_batch(
-    df: DataFrame, fn: Callable[..., Iterable[pa.RecordBatch]], schema: str, *args
-) -> DataFrame:
-    """mapInArrow of a plain function over record batches; args are bound."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fn(batches, *args)
-
-    return df.mapInArrow(run, schema)
-
-
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings, null as the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def bucket_of(column: str, salt: int, n: int):
-    return F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.lit(n)).cast("int")
+#: Bits of the filter that in_some makes.
+BITMAP = 1 << 22
+
+
+def in_some(keys: DataFrame, h: Column) -> Column:
+    """True for every hash in keys (column h, long) and for few others: a bitmap of BITMAP bits, whatever the number of keys.
+
+    It leaves out rows early where an exact join follows; where the map fills up, it leaves out fewer.
+    """
+    spark = keys.sparkSession
+    at = F.pmod("h", F.lit(BITMAP))
+    words = keys.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {BITMAP}) & 63 as int))")).alias("bits"))
+    whole = spark.range(BITMAP // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    bitmap = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap")).scalar()
+    here = F.pmod(h, F.lit(BITMAP))
+    return F.call_function("getbit", F.get(bitmap, F.shiftright(here, 6).cast("int")), here.bitwiseAND(F.lit(63)).cast("int")) == 1

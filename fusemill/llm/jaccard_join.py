@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import WordHashes, parts, table, texts_of, written
+from fusemill.llm.common import WordHashes, in_some, table, texts_of, written
 
 N = 5
 THRESHOLD = 0.8
@@ -202,7 +202,8 @@ def similar_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, to
     buckets = marked.join(reps.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", F.explode("keys").alias("key"))
     buckets = written(buckets, "join-buckets")
     heads = buckets.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
-    near = components(buckets.join(heads, "key").select("a", F.col("doc_id").alias("b")), "join-near")
+    # merge joins at every size: what is moved then grows in proportion to the input
+    near = components(buckets.join(heads.hint("merge"), "key").select("a", F.col("doc_id").alias("b")), "join-near")
     sized = near.join(near.groupBy("comp").agg(F.count("*").alias("size")), "comp").join(reps, near.node == reps.rep).select("node", "comp", "size", "copies")
     # Small components share a task; a large one is cut into blocks, and each task gets two of them.
     spread = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int")
@@ -214,7 +215,8 @@ def similar_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, to
     alone = F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(groups)).cast("int").alias("i"), F.lit(-1).alias("j")))
     tasks = sized.select("node", "comp", "copies", "part", F.explode(F.when(F.col("part") < 0, alone).otherwise(pairs)).alias("t"))
     tasks = tasks.select("node", "comp", "copies", "part", F.when(F.col("part") < 0, F.lit(-1).cast("long")).otherwise(F.col("comp")).alias("g"), "t.i", "t.j")
-    with_text = tasks.join(own.withColumnRenamed("doc_id", "node"), "node")
+    wanted = in_some(sized.select(F.xxhash64("node").alias("h")), F.xxhash64("doc_id"))
+    with_text = tasks.join(own.where(wanted).withColumnRenamed("doc_id", "node").hint("merge"), "node")
     least = least_matches(threshold, tolerance)
 
     def compare(t: pa.Table) -> pa.Table:

@@ -22,14 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import table, written
+from fusemill.llm.common import in_some, table, written
 
 MIN_DOCS = 5
 MIN_WORDS = 3
 LEADING = 2
 SIMILAR = 0.8
-#: Bits of the filter that leaves out lines early; it never decides a result.
-BITMAP = 1 << 22
 MAX_SHARE = 0.4
 
 
@@ -47,17 +45,6 @@ def _leaf(template: Column, leading: int) -> Column:
     return F.xxhash64(_words(template), F.substring_index(template, " ", leading))
 
 
-def _in_some(leaves: DataFrame, leaf: Column) -> Column:
-    """True for every leaf in leaves and for few others: a bitmap of BITMAP bits, whatever the number of leaves."""
-    spark = leaves.sparkSession
-    at = F.pmod("leaf", F.lit(BITMAP))
-    words = leaves.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(leaf, {BITMAP}) & 63 as int))")).alias("bits"))
-    whole = spark.range(BITMAP // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    bitmap = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap")).scalar()
-    here = F.pmod(leaf, F.lit(BITMAP))
-    return F.call_function("getbit", F.get(bitmap, F.shiftright(here, 6).cast("int")), here.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
 def line_keys(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, leading: int = LEADING) -> DataFrame:
     """__id, __text, pos, leaf, key of each line that may be dropped."""
     lines = docs.select("__id", "__text", F.posexplode(F.transform(F.split(text, "\n"), _template)).alias("pos", "template"))
@@ -71,7 +58,7 @@ def recurring(
     """leaf, key: the hashes of every template that recurs. Leaves of fewer than min_docs lines hold none and are left out first."""
     full = keys.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     lines = docs.select(F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _template))).alias("template"))
-    lines = lines.where(_words(F.col("template")) >= min_words).where(_in_some(full, _leaf(F.col("template"), leading)))
+    lines = lines.where(_words(F.col("template")) >= min_words).where(in_some(full.select(F.col("leaf").alias("h")), _leaf(F.col("template"), leading)))
     templates = lines.groupBy("template").agg(F.count("*").alias("n")).withColumn("leaf", _leaf(F.col("template"), leading))
     seeds = templates.groupBy("leaf").agg(F.sum("n").alias("docs"), F.max_by("template", F.struct("n", "template")).alias("seed")).where(F.col("docs") >= min_docs)
     same = F.size(F.filter(F.arrays_zip(F.split("template", " ").alias("a"), F.split("seed", " ").alias("b")), lambda z: z["a"] == z["b"]))
