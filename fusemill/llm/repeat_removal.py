@@ -42,9 +42,11 @@ LENGTH = 50
 MAP_BITS = 27
 REP_BITS = 24
 #: Text bytes for a bucket of grams, and for a group of documents at the end.
-BUCKET_BYTES = 32 << 20
-GROUP_BYTES = 16 << 20
-PIECE = 2 << 20
+BUCKET_BYTES = 8 << 20
+GROUP_BYTES = 8 << 20
+#: Bytes and documents that a task looks at together.
+PIECE = 1 << 20
+SLICE = 2500
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -163,8 +165,14 @@ def _bits(n: float, most: int) -> int:
     return min(most, max(0, int(np.ceil(np.log2(max(1, n))))))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BITS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary)."""
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            yield batch.slice(k, SLICE)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BITS, bucket_bytes: int = BUCKET_BYTES, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (binary)."""
     spark = docs.sparkSession
     k = length // 2
     side = length - k
@@ -184,7 +192,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
         return batch["doc_id"].to_numpy()[some], batch["data"].take(pa.array(some)).to_pylist()
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             ids, texts = chosen(batch)
             found = []
             for data, valid, owner, _ in pieces(texts, length):
@@ -223,7 +231,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
     gram_map = spark.sparkContext.broadcast(grams)
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             ids, texts = chosen(batch)
             hs, docs_, at_, near_ = [], [], [], []
             for data, valid, owner, offset in pieces(texts, length):
@@ -245,8 +253,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
             if not hs:
                 continue
             h, doc, at, near = np.concatenate(hs), np.concatenate(docs_), np.concatenate(at_), np.concatenate(near_)
-            power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * side - 1, _BASE)]))
-            around = _mix(((near.astype(np.uint64) + np.uint64(1)) * power).sum(1, dtype=np.uint64))
+            around = np.zeros(len(h), np.uint64)
+            for c in range(2 * side):
+                around = around * _BASE + near[:, c].astype(np.uint64) + np.uint64(1)
+            around = _mix(around)
             order = np.lexsort((doc, around, h))
             h, doc, at, near, around = h[order], doc[order], at[order], near[order], around[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (around[1:] != around[:-1])])
@@ -317,13 +327,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
             gone = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-            out.append((doc_id, len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        cols = list(zip(*out)) or [()] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((doc_id, len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_kept else [])))
+        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_kept
+        cols = list(zip(*out)) or [()] * len(kinds)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)])
 
     by_group = own.mapInArrow(grouped, "doc_id long, data binary, g long").groupBy("g")
-    return by_group.cogroup(answers.groupBy("g")).applyInArrow(cut, RESULT + ", kept binary")
+    return by_group.cogroup(answers.groupBy("g")).applyInArrow(cut, RESULT + ", kept binary" * with_kept)
 
 
 def _valid(near: np.ndarray, side: int) -> np.ndarray:
@@ -387,4 +397,4 @@ def compared(h: np.ndarray, doc: np.ndarray, near: np.ndarray, side: int) -> np.
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
