@@ -12,12 +12,16 @@ PIXEL = ["scene_id", "frame_id", "px", "py"]
 DOMAIN = {"ade20k": (0, 149), "nyu40id": (1, 40), "wn199": (1, 188), "wn_merged": (1, 188)}
 
 
-def vote_domain(pred: DataFrame, domain: dict[str, tuple[int, int]] = DOMAIN) -> DataFrame:
-    """pred without labels that lie outside their space's domain."""
+def _legal(domain: dict[str, tuple[int, int]]):
     legal = F.lit(True)
     for space, (low, high) in domain.items():
         legal = F.when(F.col("label_space") == space, F.col("label").between(low, high)).otherwise(legal)
-    return pred.where(legal & (F.col("label") >= 0))
+    return legal & (F.col("label") >= 0)
+
+
+def vote_domain(pred: DataFrame, domain: dict[str, tuple[int, int]] = DOMAIN) -> DataFrame:
+    """pred without labels that lie outside their space's domain."""
+    return pred.where(_legal(domain))
 
 
 def vote_table(vocab: DataFrame, spaces: list[str], output_space: str) -> DataFrame:
@@ -35,16 +39,16 @@ def vote_table(vocab: DataFrame, spaces: list[str], output_space: str) -> DataFr
 def vote(pred: DataFrame, table: DataFrame, keys: list[str] = PIXEL, min_votes: int = 2) -> DataFrame:
     """keys, n_votes, label: each voter casts a vote for every candidate of its label; most votes win, ties go to the lowest id, too few votes give 0.
 
-    One shuffle by frame serves both aggregations, whose keys contain the frame's.
+    One shuffle by frame serves both aggregations, whose keys contain the
+    frame's; a pixel without a vote stays by way of a null candidate.
     """
     frame = [k for k in keys if k not in ("px", "py")]
-    votes = vote_domain(pred).join(table, ["label_space", "label"])
-    counted = votes.repartition(*frame).groupBy(*keys, "candidate").agg(F.count("*").alias("n"))
-    best = counted.groupBy(*keys).agg(F.max(F.struct(F.col("n"), (-F.col("candidate")).alias("c"))).alias("b"))
-    best = best.select(*keys, F.col("b.n").alias("n_votes"), (-F.col("b.c")).alias("label"))
-    pixels = pred.select(*keys).distinct()
-    out = pixels.join(best, keys, "left").select(*keys, F.coalesce("n_votes", F.lit(0)).cast("long").alias("n_votes"), F.coalesce("label", F.lit(0)).alias("label"))
-    return out.withColumn("label", F.when(F.col("n_votes") < min_votes, 0).otherwise(F.col("label")))
+    legal = pred.withColumn("label", F.when(_legal(DOMAIN), F.col("label")))
+    votes = legal.join(table, ["label_space", "label"], "left").select(*keys, "candidate")
+    counted = votes.repartition(*frame).groupBy(*keys, "candidate").agg(F.count("candidate").alias("n"))
+    best = counted.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("candidate")).alias("c"))).alias("b"))
+    label = F.when(F.col("b.n") < min_votes, 0).otherwise(F.coalesce(-F.col("b.c"), F.lit(0)))
+    return best.select(*keys, F.col("b.n").alias("n_votes"), label.alias("label"))
 
 
 def exclude_models(pred: DataFrame, variants: DataFrame) -> DataFrame:

@@ -970,3 +970,33 @@ def m12_binary_dilate(i):
   select scene_id::bigint scene_id,frame_id::bigint frame_id,model_no::bigint model_no,count(distinct c) n_components from (select scene_id,frame_id,model_no,id,min(root) c from r group by all) group by 1,2,3""")
 def m13_mask_components(i):
     return masks.mask_components(_sparse_masks(i), _MASK)
+
+
+# --- the rest of the sources --------------------------------------------------------------------------------------
+
+
+@query(f"select scene_id, line, round(m[4],6)+0.0 tx, round(m[8],6)+0.0 ty from (select scene_id, row_number() over (partition by scene_id order by frame_id)-1 line, {_POSE} m from fx_pose)")
+def s04_read_pose_lines(i):
+    path = files.scratch(i.spark, "poses")
+    text = F.array_join(F.transform("pose", lambda x: x.cast("string")), " ")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame_id", text.alias("t")))), lambda x: x["t"]), "\n")
+    # a scene's trajectory is one file; here the files are the rows of a column
+    _poses(i).groupBy("scene_id").agg(lines.alias("file")).write.parquet(path)
+    rows = i.spark.read.parquet(path).select("scene_id", F.posexplode(F.split("file", "\n")).alias("line", "text")).select("scene_id", "line", files._numbers("text").alias("pose"))
+    return rows.select("scene_id", "line", F.col("pose")[3].alias("tx"), F.col("pose")[7].alias("ty")).select("scene_id", "line", *r6("tx", "ty"))
+
+
+@query("select scene_id, inst_id, count(*) n, sum(vertex_id)::bigint vertices from fx_inst group by all")
+def s14_write_instance_predictions(i):
+    path = files.scratch(i.spark, "instances")
+    files.write_instance_predictions(i.inst, path)
+    return i.spark.read.parquet(f"{path}/masks").groupBy("scene_id", "inst_id").agg(F.count("*").alias("n"), F.sum("vertex_id").alias("vertices"))
+
+
+@query("select scene_id, count(*) n, sum(label)::bigint total from (select scene_id, case when scene_id=1 then label+1 else label end as label from fx_gt) group by 1")
+def s16_overwrite_scenes(i):
+    path = files.scratch(i.spark, "overwrite")
+    files.write_label_frames(frames.to_frame_arrays(i.gt, WIDTH), path)
+    changed = i.gt.where("scene_id = 1").withColumn("label", F.col("label") + 1)
+    files.write_label_frames(frames.to_frame_arrays(changed, WIDTH), path)
+    return frames.from_frame_arrays(i.spark.read.parquet(path), WIDTH).groupBy("scene_id").agg(F.count("*").alias("n"), F.sum("label").alias("total"))

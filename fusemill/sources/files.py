@@ -21,7 +21,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def _numbers(text):
-    return F.transform(F.split(F.trim(text), r"\s+"), lambda x: x.cast("double"))
+    return F.transform(F.filter(F.split(text, r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
 
 
 def read_matrix_text(spark: SparkSession, path: str) -> DataFrame:
