@@ -271,3 +271,18 @@ def similar_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, to
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = f"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') as words from documents where doc_id is not null
+), sets as (
+  select distinct doc_id, array_to_string(list_slice(words, i, i + least({N}, len(words)) - 1), ' ') as gram
+  from (select doc_id, words, unnest(range(1, len(words) - least({N}, len(words)) + 2)) as i from w where len(words) > 0)
+), sizes as (select doc_id, count(*) as n from sets group by all),
+both_ as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.gram = b.gram and a.doc_id <> b.doc_id group by all),
+links as (select a, b from both_ join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c >= {THRESHOLD} * (x.n + y.n - c) - 1e-9),
+reach as (select doc_id, doc_id as root from w union select l.b, r.root from reach r join links l on l.a = r.doc_id where r.root < l.b)
+select w.doc_id, min(root) as class_id, coalesce(any_value(n), 0)::bigint as n_links
+from w join reach using (doc_id) left join (select a as doc_id, count(*) as n from links group by all) k using (doc_id) group by w.doc_id
+"""

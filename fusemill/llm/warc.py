@@ -187,3 +187,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = revisits(pages, "page_id", "html").withColumnRenamed("page_id", "record_id")
     files = write_warc(rows, fresh_dir(spark, "warc"))
     return read_warc(files).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as data from pages), d as (select *, sha1(data) as h, min(page_id) over (partition by data) as first from p)
+select page_id, octet_length(data)::bigint as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((cast('0x' || substr(h, (k // 4) * 5 + 1, 5) as integer) >> (15 - 5 * (k % 4))::integer) & 31) + 1, 1)), 'string_agg', '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from d
+"""
