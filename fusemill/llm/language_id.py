@@ -37,6 +37,12 @@ FEATURES = 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(line: str) -> list[str]:
+    """Runs of letters; signs such as superscript digits may stand in a run but make none alone."""
+    found = _WORD.findall(line)
+    return found if line.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def features(word: str) -> list[int]:
     """Hashed affixes (1 to 4 letters) and inner n-grams (2 to 4)."""
     n = len(word)
@@ -198,7 +204,7 @@ class Tagger(dict):
         lines, owner = [], []
         for k, text in enumerate(texts):
             for line in text.lower().split("\n"):
-                words = _WORD.findall(line)
+                words = words_of(line)
                 if words:
                     lines.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
                     owner.append(k)
@@ -232,7 +238,7 @@ def sample_of(docs: DataFrame, docs_of_each: int = SAMPLE_DOCS, words_of_each: i
         for batch in batches:
             found = []
             for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist()):
-                own = _WORD.findall(text.lower())
+                own = words_of(text.lower())
                 at = h % max(1, len(own) - words_of_each + 1)
                 found.append(" ".join(own[at : at + words_of_each]))
             yield pa.RecordBatch.from_arrays([batch["lang"], batch["h"], pa.array(found, pa.string())], ["lang", "h", "words"])

@@ -154,6 +154,10 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_a_sign_alone_is_no_word():
+    assert language_id.words_of("m² ² über 12") == ["m²", "über"]
+
+
 def test_forward_backward_is_brute_force():
     import itertools
 
