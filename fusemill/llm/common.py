@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,19 @@ from pyspark.sql import functions as F
 CACHE = 400_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python workers, once a context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_fusemill_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "fusemill.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(path))
+        sc._fusemill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

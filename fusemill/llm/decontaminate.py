@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import WordHashes, table, texts_of, written
+from fusemill.llm.common import WordHashes, ship, table, texts_of, written
 
 SEED = 5
 COVERAGE = 0.6
@@ -143,6 +143,7 @@ def doc_runs(docs: DataFrame, lengths: list[int], only: dict[int, np.ndarray] |
 def matches(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, item_id, n_words, covered, n_tiles: every pair that shares a seed."""
     spark = docs.sparkSession
+    ship(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     seeds = written(item_seeds(benchmark, seed), "item-seeds")
     lengths = [r.n for r in seeds.select("n").distinct().orderBy("n").collect()]

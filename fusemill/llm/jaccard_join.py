@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import WordHashes, in_some, table, texts_of, written
+from fusemill.llm.common import WordHashes, in_some, ship, table, texts_of, written
 
 N = 5
 THRESHOLD = 0.8
@@ -193,7 +193,7 @@ def digests(docs: DataFrame, n: int = N) -> DataFrame:
 
 def similar_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (smallest id of its group) and n_links (documents whose similarity reaches the threshold)."""
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     marked = written(digests(own, n), "join-digests")
     classes = marked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import CACHE, hash64, table, texts_of
+from fusemill.llm.common import CACHE, hash64, ship, table, texts_of
 from fusemill.llm.sentencepiece_codec import schema
 
 SAMPLE_DOCS = 384
@@ -231,6 +231,7 @@ class Tagger(dict):
 
 def sample_of(docs: DataFrame, docs_of_each: int = SAMPLE_DOCS, words_of_each: int = SAMPLE_WORDS) -> list[tuple[str, list[str]]]:
     """Language and words of at most docs_of_each documents of a language: in each of as many hash buckets the least hash."""
+    ship(docs.sparkSession)
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("h"))
     picked = ids.groupBy("lang", F.pmod("h", F.lit(docs_of_each)).alias("b")).agg(F.min("h").alias("h")).select("lang", "h")
 
@@ -251,6 +252,7 @@ def sample_of(docs: DataFrame, docs_of_each: int = SAMPLE_DOCS, words_of_each: i
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with the predicted language and its score under names; columns of these names are replaced."""
+    ship(docs.sparkSession)
     out = docs.drop(*names)
     if model is None or not model.langs:
         return out.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)})

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from fusemill.llm.common import fresh_dir, table
+from fusemill.llm.common import fresh_dir, ship, table
 
 WIDTH = 64
 ROLL = 64 << 20
@@ -112,6 +112,7 @@ def write_archives(rows: DataFrame, folder: str, level: int = 1, roll: int = ROL
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made)], ["path", "bytes"])
 
+    ship(rows.sparkSession)
     manifest = f"{folder}-files"
     rows.select("key", "payload").mapInArrow(write, "path string, bytes long").write.parquet(manifest)
     return manifest
@@ -214,6 +215,7 @@ def feature(grey: np.ndarray) -> str:
 
 def digests(media: DataFrame) -> DataFrame:
     """The digest columns of what was read back."""
+    ship(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in DIGEST.split(", ")])
@@ -230,6 +232,7 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, manifest: str, **options) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(MediaArchive)
     return spark.read.format("media_archive").options(**options).load(manifest)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import table, written
+from fusemill.llm.common import ship, table, written
 
 LENGTH = 50
 MAP_BITS = 27
@@ -174,6 +174,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BITS, bucket_bytes: int = BUCKET_BYTES, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (binary)."""
     spark = docs.sparkSession
+    ship(spark)
     k = length // 2
     side = length - k
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))

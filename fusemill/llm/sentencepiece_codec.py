@@ -32,7 +32,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from fusemill.llm.common import CACHE, table, texts_of
+from fusemill.llm.common import CACHE, ship, table, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -230,6 +230,7 @@ def codec(proto: bytes, kind: int | None = None) -> Codec:
 
 def encode(df: DataFrame, text: str = "text", model: str = MODEL, kind: int | None = None, batch: int = 2000) -> DataFrame:
     """df with ids (array of int) and n_tokens (long)."""
+    ship(df.sparkSession)
     with open(model, "rb") as f:
         proto = f.read()
     out = df.drop("ids", "n_tokens")
@@ -250,6 +251,7 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL, kind: int | No
 
 def decode(df: DataFrame, ids: str = "ids", model: str = MODEL, kind: int | None = None, batch: int = 2000) -> DataFrame:
     """df with decoded (string), from ids."""
+    ship(df.sparkSession)
     with open(model, "rb") as f:
         proto = f.read()
     out = df.drop("decoded")
@@ -275,6 +277,7 @@ def schema(df: DataFrame, more: str):
 
 def tokens(docs: DataFrame, text: str = "text", model: str = MODEL, batch: int = 2000) -> DataFrame:
     """docs with ids, n_tokens, the decoded text's sha256 and whether it is the text again, in one pass."""
+    ship(docs.sparkSession)
     with open(model, "rb") as f:
         proto = f.read()
     out = docs.drop("ids", "n_tokens", "decoded_sha256", "round_trip")

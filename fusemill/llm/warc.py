@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import fresh_dir, parts, table, written
+from fusemill.llm.common import fresh_dir, parts, ship, table, written
 
 #: Bytes after which a task begins its next archive.
 ROLL = 64 << 20
@@ -108,6 +108,7 @@ def write_warc(rows: DataFrame, folder: str, level: int = 1, roll: int = ROLL) -
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made)], ["path", "records", "bytes"])
 
+    ship(rows.sparkSession)
     return written(rows.select("record_id", "url", "payload", "refers_to").mapInArrow(write, "path string, records long, bytes long"), "warc-files")
 
 
@@ -169,6 +170,7 @@ def read_warc(files: DataFrame, with_payload: bool = False, block: int = BLOCK)
                 if rows:
                     yield pack(rows)
 
+    ship(files.sparkSession)
     spread = files.select("path").repartition(parts(files.sparkSession), "path")
     return spread.mapInArrow(read, RECORD + ", payload binary" * with_payload)
 
