@@ -34,6 +34,8 @@ from fusemill.llm.sentencepiece_codec import schema
 SAMPLE_DOCS = 384
 SAMPLE_WORDS = 160
 FEATURES = 1 << 16
+#: Documents whose lines are looked at together.
+SLICE = 2500
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -196,9 +198,9 @@ class Tagger(dict):
             self.e = np.concatenate([self.e, np.exp(s - s.max(1, keepdims=True)).astype(np.float32)])
         self.new = []
 
-    def shares(self, texts: list[str], cells: int = 1_000_000) -> np.ndarray:
+    def shares(self, texts: list[str], cells: int = 400_000) -> np.ndarray:
         """Mean language probabilities over each text's words; zeros without words."""
-        if len(self) > CACHE:
+        if len(self) > CACHE // 2:
             self.clear()
             self.e = self.e[:0]
         lines, owner = [], []
@@ -260,7 +262,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(held.value)
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             shares = tagger.shares(texts_of(batch[text]))
             best = shares.argmax(1)
             some = shares.sum(1) > 0

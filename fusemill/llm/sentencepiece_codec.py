@@ -32,14 +32,14 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from fusemill.llm.common import CACHE, ship, table, texts_of
+from fusemill.llm.common import ship, table, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 NO = float("-inf")
-#: Parts that a worker remembers.
-PARTS = 600_000
+#: Parts, and pairs of pieces, that a worker remembers.
+PARTS = PAIRS = 200_000
 
 
 def model_kind(proto: bytes) -> int:
@@ -122,7 +122,7 @@ class Codec:
     def follows(self, a: str, b: str) -> bool:
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) >= CACHE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             got = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return got
