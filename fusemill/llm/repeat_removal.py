@@ -46,7 +46,7 @@ BUCKET_BYTES = 8 << 20
 GROUP_BYTES = 8 << 20
 #: Bytes and documents that a task looks at together.
 PIECE = 1 << 20
-SLICE = 2500
+SLICE = 1500
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -161,6 +161,14 @@ def _gathered(segments: DataFrame, bits: int, buckets: int) -> Bitmap:
     return out
 
 
+def _prime(n: int) -> int:
+    """The smallest prime from n on."""
+    n = max(2, n)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def _bits(n: float, most: int) -> int:
     return min(most, max(0, int(np.ceil(np.log2(max(1, n))))))
 
@@ -182,7 +190,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
     first = shas.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     bits = _bits(total / bucket_bytes, map_bits - 3)
-    groups = max(1, -(-total // GROUP_BYTES))
+    groups = _prime(-(-total // GROUP_BYTES))
     doc_hash = F.xxhash64("doc_id")
     reps = bitmap_of(first.select(F.xxhash64("rep").alias("h")), REP_BITS)
     rep_map = spark.sparkContext.broadcast(reps)
@@ -283,7 +291,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
             some = mask != 0
             done.append((doc[some], at[some], mask[some]))
         for doc, at, mask in done:
-            group = (_mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            group = doc % groups
             order = np.argsort(group, kind="stable")
             cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
             for a, b in zip(cuts, np.append(cuts[1:], len(order))):
@@ -292,15 +300,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
 
     covers = rows.mapInArrow(asks, "bucket long, asks binary, done binary").groupBy("bucket").applyInArrow(answer, "g long, covers binary")
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["doc_id"].fill_null(0).to_numpy()
-            g = (_mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g)], [*batch.schema.names, "g"])
-
+    # ids are dealt by a prime, so that ids with a common step spread as well
+    group = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(groups)).cast("long")
     copies = shas.join(first.select("sha", "rep"), "sha").where("doc_id <> rep").select("doc_id").distinct()
     answers = covers.select("g", "covers", F.lit(None).cast("long").alias("copy")).unionByName(
-        copies.mapInArrow(grouped, "doc_id long, g long").select("g", F.lit(None).cast("binary").alias("covers"), F.col("doc_id").alias("copy"))
+        copies.select(group.alias("g"), F.lit(None).cast("binary").alias("covers"), F.col("doc_id").alias("copy"))
     )
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -333,7 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
         cols = list(zip(*out)) or [()] * len(kinds)
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)])
 
-    by_group = own.mapInArrow(grouped, "doc_id long, data binary, g long").groupBy("g")
+    by_group = own.withColumn("g", group).groupBy("g")
     return by_group.cogroup(answers.groupBy("g")).applyInArrow(cut, RESULT + ", kept binary" * with_kept)
 
 
