@@ -42,7 +42,7 @@ LENGTH = 50
 MAP_BITS = 27
 REP_BITS = 24
 #: Text bytes for a bucket of grams, and for a group of documents at the end.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 3 << 20
 GROUP_BYTES = 8 << 20
 #: Bytes and documents that a task looks at together.
 PIECE = 1 << 20
