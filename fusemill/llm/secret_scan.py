@@ -8,9 +8,12 @@ Every text is scanned whole. Spans are code-point offsets, end exclusive.
   characters change by the one that enters and the one that leaves, and with
   them the sum of ``c * log2(c)``, kept in fixed point so that no rounding error
   builds up. The span runs from the first to the last window whose Shannon
-  entropy reaches the threshold of the candidate's character class. Allow-listed
-  shapes (plain words, numbers, UUIDs, placeholders) and strings that a base
-  span touches already are left out.
+  entropy reaches the threshold of the string's character class. Base spans and
+  placeholder words that stand alone are cut out of a candidate first, and each
+  piece of a window or more is judged for itself, as is each run between joining
+  characters that draws on a small alphabet; overlapping spans are one.
+  Allow-listed shapes (plain words, numbers, UUIDs) and spans that hold a
+  placeholder are left out.
 
 Defined results: null and empty texts have no spans (empty strings, zero
 counts); repeated rows each give a row; other columns are ignored.
@@ -33,16 +36,24 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
+#: A run of one case and digits, or hex digits of both cases, between joining characters.
+NARROW = r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?:[a-z0-9]{20,}|[A-Z0-9]{20,}|[0-9A-Fa-f]{20,})(?![A-Za-z0-9])"
 #: Bits that a window of a class must reach; the largest possible value for 20 characters is 4.32.
-LEAST_BITS = {"digit": 3.1, "hex": 3.2, "mixed": 3.85}
+#: Of random windows over 36, 32 (base32) and 22 (hex in both cases) characters, 1 % lie below the values of lower, upper and hexes.
+LEAST_BITS = {"digit": 3.1, "hex": 3.2, "hexes": 3.1, "upper": 3.3, "lower": 3.4, "mixed": 3.85}
+#: The classes in the order in which they are tried; mixed is the rest. Strings of digits alone are on the allow-list.
+CLASSES = {"digit": "^[0-9]+$", "hex": "^(?:[0-9a-f]+|[0-9A-F]+)$", "hexes": "^[0-9A-Fa-f]+$", "upper": "^[A-Z0-9]+$", "lower": "^[a-z0-9]+$"}
 ALLOWED = (
     r"^[A-Za-z]?[a-z]+$",
     r"^[A-Z]+$",
     r"^[0-9]+$",
     r"^[A-Za-z]+(?:[-_/][A-Za-z]+)+$",
     r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$",
-    r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx",
 )
+#: A placeholder anywhere in a span, and as a word of its own between joining characters.
+PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx"
+PLACEHOLDER_WORD = r"(?i)(?<![a-z0-9])(?:example|sample|dummy|changeme|placeholder|your|xxxx+)(?![a-z0-9])"
+JOINERS = "[+/_=-]"
 _ONE = 1 << 20
 _FOUND = "array<struct<s:int,e:int,t:string>>"
 
@@ -75,11 +86,7 @@ def _hot_span(c: Column, window: int, least_bits: dict[str, float]) -> Column:
     """First and last position (in the candidate c) of windows whose entropy reaches its class's threshold; s is -1 if none does."""
     f = F.array(*(F.lit(round(n * math.log2(n) * _ONE) if n else 0).cast("long") for n in range(window + 1)))
     limit = {k: F.lit(math.floor(window * (math.log2(window) - bits) * _ONE)).cast("long") for k, bits in least_bits.items()}
-    most = (
-        F.when(c["t"].rlike("^[0-9]+$"), limit["digit"])
-        .when(c["t"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), limit["hex"])
-        .otherwise(limit["mixed"])
-    )
+    most = F.coalesce(*(F.when(c["t"].rlike(shape), limit[k]) for k, shape in CLASSES.items()), limit["mixed"])
 
     def slide(x: Column) -> Column:
         def step(a: Column, ch: Column) -> Column:
@@ -111,6 +118,41 @@ def _hot_span(c: Column, window: int, least_bits: dict[str, float]) -> Column:
     return _let(F.struct(F.split(c["t"], "").alias("chars"), f.alias("f"), most.alias("most")), slide)
 
 
+def _pieces(c: Column, cuts: Column, window: int) -> Column:
+    """What is left of c without the cuts and one joining character beside each, as far as it is a window long."""
+    inner = F.array_sort(F.transform(F.filter(cuts, lambda z: (z["s"] < c["e"]) & (c["s"] < z["e"])), lambda z: F.struct(z["s"].alias("s"), z["e"].alias("e"))))
+
+    def joins(at: Column) -> Column:
+        return F.when(c["t"].substr(at - c["s"] + 1, F.lit(1)).rlike(JOINERS), 1).otherwise(0)
+
+    def add(o: Column, s: Column, e: Column) -> Column:
+        piece = F.struct(s.alias("s"), e.alias("e"), c["t"].substr(s - c["s"] + 1, e - s).alias("t"))
+        return F.when(e - s >= window, F.concat(o, F.array(piece))).otherwise(o).cast(_FOUND)
+
+    def cut(a: Column, z: Column) -> Column:
+        end = F.when(z["s"] > c["s"], z["s"] - joins(z["s"] - 1)).otherwise(z["s"])
+        return F.struct(F.greatest(a["at"], F.when(z["e"] < c["e"], z["e"] + joins(z["e"])).otherwise(z["e"])).alias("at"), add(a["o"], a["at"], end).alias("o"))
+
+    start = F.struct(c["s"].alias("at"), F.array().cast(_FOUND).alias("o"))
+    return F.when(F.size(inner) == 0, F.array(c).cast(_FOUND)).otherwise(F.aggregate(inner, start, cut, lambda a: add(a["o"], a["at"], c["e"])))
+
+
+def _shifted(hits: Column, by: Column) -> Column:
+    return F.transform(hits, lambda z: F.struct((z["s"] + by).alias("s"), (z["e"] + by).alias("e"), z["t"].alias("t")))
+
+
+def _merged(spans: Column) -> Column:
+    """Spans (structs of s and e) with overlapping ones made one."""
+    kind = "array<struct<s:int,e:int>>"
+
+    def add(o: Column, z: Column) -> Column:
+        last = F.get(o, F.size(o) - 1)
+        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], z["e"]).alias("e"))
+        return F.when(z["s"] < last["e"], F.concat(F.slice(o, F.lit(1), F.size(o) - 1), F.array(longer))).otherwise(F.concat(o, F.array(z))).cast(kind)
+
+    return F.when(F.size(spans) < 2, spans.cast(kind)).otherwise(F.aggregate(F.array_sort(spans.cast(kind)), F.array().cast(kind), add))
+
+
 def scan(
     df: DataFrame,
     text: str = "text",
@@ -127,18 +169,26 @@ def scan(
     )
     out = df.withColumns({"__assign": long_enough, "__access": _hits(x, ACCESS), "__hex": _hits(x, HEX), "__maybe": _hits(x, CANDIDATE)})
     base = F.concat("__assign", "__access", "__hex")
+    runs = F.flatten(F.transform("__maybe", lambda c: _shifted(_hits(c["t"], NARROW), c["s"])))
+    words = F.flatten(F.transform("__maybe", lambda c: _shifted(_hits(c["t"], PLACEHOLDER_WORD), c["s"])))
+    out = out.withColumn("__cuts", F.concat(base, words)).withColumn("__maybe", F.array_distinct(F.concat("__maybe", runs)))
+    out = out.withColumn("__maybe", F.flatten(F.transform("__maybe", lambda c: _pieces(c, F.col("__cuts"), window))))
 
     def open_(c: Column) -> Column:
         listed = F.lit(False)
         for pattern in allowed:
             listed = listed | c["t"].rlike(pattern)
-        return ~listed & ~F.exists(base, lambda z: (z["s"] < c["e"]) & (c["s"] < z["e"]))
+        return ~listed
 
     judged = F.transform(
         F.filter("__maybe", open_),
-        lambda c: _let(_hot_span(c, window, least_bits), lambda a: F.struct((c["s"] + a["s"]).alias("s"), (c["s"] + a["e"]).alias("e"), (a["s"] >= 0).alias("hot"))),
+        lambda c: _let(
+            _hot_span(c, window, least_bits),
+            lambda a: F.struct((c["s"] + a["s"]).alias("s"), (c["s"] + a["e"]).alias("e"), ((a["s"] >= 0) & ~c["t"].substr(a["s"] + 1, a["e"] - a["s"]).rlike(PLACEHOLDER)).alias("hot")),
+        ),
     )
-    out = out.withColumn("__entropy", F.filter(judged, lambda z: z["hot"]))
+    hot = F.transform(F.filter(judged, lambda z: z["hot"]), lambda z: F.struct(z["s"].alias("s"), z["e"].alias("e")))
+    out = out.withColumn("__entropy", _merged(hot))
 
     def tag(k: int, kind: str) -> Column:
         return F.transform(f"__{kind}", lambda z: F.struct(z["s"].alias("s"), F.lit(k).alias("k"), F.concat_ws(":", F.lit(kind), z["s"], z["e"]).alias("v")))
@@ -152,7 +202,7 @@ def scan(
         {f"n_{kind}": F.size(f"__{kind}").cast("long") for kind in KINDS}
         | {"base_sha256": F.sha2(joined(*tagged[:3]), 256), "spans": joined(*tagged)}
     )
-    return out.drop("__maybe", *(f"__{kind}" for kind in KINDS))
+    return out.drop("__maybe", "__cuts", *(f"__{kind}" for kind in KINDS))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
