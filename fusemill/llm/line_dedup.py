@@ -4,8 +4,11 @@ A line's words that hold a digit become ``<*>``; what is left is its template.
 Templates hang in a tree of fixed depth: first the number of words, then the
 leading words. In a leaf the template of most documents is the seed; templates
 that agree with the seed in enough places are one generalised template, with the
-places that differ as variable fields. A template, exact or generalised, that
-occurs in ``min_docs`` documents or more recurs, and its lines are dropped.
+places that differ as variable fields. What the seed leaves over is clustered in
+the same way around further seeds, found by blocks of words: of two templates
+that differ in d places, one of d + 1 blocks is equal. A template, exact or
+generalised, that occurs in ``min_docs`` documents or more recurs, and its lines
+are dropped.
 
 A document of which recurring lines make up more than ``max_share`` is a copy
 of a whole document rather than a page with boilerplate; it is left as it is for
@@ -29,6 +32,9 @@ MIN_WORDS = 3
 LEADING = 2
 SIMILAR = 0.8
 MAX_SHARE = 0.4
+#: Seeds that a block of words gets in a round, and the share of the templates that a round must settle for another one.
+SEEDS = 4
+PROGRESS = 0.1
 
 
 def _template(line: Column) -> Column:
@@ -45,6 +51,66 @@ def _leaf(template: Column, leading: int) -> Column:
     return F.xxhash64(_words(template), F.substring_index(template, " ", leading))
 
 
+def _agree(a: Column, b: Column, similar: float) -> Column:
+    same = F.size(F.filter(F.arrays_zip(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")), lambda z: z["a"] == z["b"]))
+    return same >= F.ceil(F.lit(similar) * _words(a))
+
+
+def _fields(template: Column, similar: float) -> Column:
+    """The number of places in which a template may differ from its seed."""
+    return (_words(template) - F.ceil(F.lit(similar) * _words(template))).cast("int")
+
+
+def _blocks(template: Column, similar: float) -> Column:
+    """Hashes of one block of words more than places may differ."""
+    words, n = F.split(template, " "), _fields(template, similar) + 1
+
+    def block(i: Column) -> Column:
+        first = F.floor(i * F.size(words) / n).cast("int")
+        return F.xxhash64(i, F.concat_ws(" ", F.slice(words, first + 1, F.floor((i + 1) * F.size(words) / n).cast("int") - first)))
+
+    return F.transform(F.sequence(F.lit(0), n - 1), block)
+
+
+def further(left: DataFrame, min_docs: int, similar: float) -> DataFrame:
+    """leaf, key of the templates (leaf, key, template, n) that recur around a seed of their own.
+
+    Rounds try a few seeds a block and take out what gathers there, as long as they
+    settle a good part; then all pairs in the blocks that are left are compared.
+    """
+    rest = written(left.where(_fields(F.col("template"), similar) > 0), "line-rest")
+    found = rest.limit(0).select("leaf", "key")
+    size, turn = rest.count(), 0
+    while size:
+        keyed = rest.withColumn("block", F.explode(_blocks(F.col("template"), similar)))
+        pick = [F.max_by("template", F.struct("n", "template"))] + [F.max_by("template", F.xxhash64("template", F.lit(turn * SEEDS + k))) for k in range(1, SEEDS)]
+        full = keyed.groupBy("leaf", "block").agg(F.sum("n").alias("docs"), F.count("*").alias("m"), F.array_distinct(F.array(*pick)).alias("seeds"))
+        # a seed's members share any of its blocks, so a block of few documents may still hold a pair
+        near = keyed.join(full.where("m > 1"), ["leaf", "block"]).select("leaf", "key", "template", "n", F.explode("seeds").alias("seed"))
+        near = near.where(_agree(F.col("template"), F.col("seed"), similar)).dropDuplicates(["leaf", "key", "seed"])
+        near = written(near.select("leaf", "key", "n", F.xxhash64("seed").alias("seed")), "line-near")
+        hits = written(_gathered(near, min_docs), "line-hits")
+        found, n = found.unionByName(hits), hits.count()
+        rest, size, turn = written(rest.join(hits, ["leaf", "key"], "left_anti"), "line-rest"), size - n, turn + 1
+        if n < PROGRESS * (size + n):
+            break
+    if not size:
+        return found
+    keyed = rest.withColumn("block", F.explode(_blocks(F.col("template"), similar)))
+    mates = keyed.groupBy("leaf", "block").agg(F.sum("n").alias("docs")).join(keyed, ["leaf", "block"])
+    able = mates.groupBy("leaf", "key").agg(F.sum("docs").alias("most")).where(F.col("most") >= min_docs).select("leaf", "key")
+    seeds = keyed.join(able, ["leaf", "key"], "left_semi").select("leaf", "block", F.col("key").alias("seed"), F.col("template").alias("seed_text"))
+    near = keyed.join(seeds, ["leaf", "block"]).where(_agree(F.col("template"), F.col("seed_text"), similar))
+    near = written(near.select("leaf", "key", "n", "seed").dropDuplicates(["leaf", "key", "seed"]), "line-near")
+    return found.unionByName(_gathered(near, min_docs))
+
+
+def _gathered(near: DataFrame, min_docs: int) -> DataFrame:
+    """leaf, key of the templates near (leaf, key, n, seed) a seed that gathers min_docs documents."""
+    full = near.groupBy("leaf", "seed").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "seed")
+    return near.join(full, ["leaf", "seed"], "left_semi").select("leaf", "key").distinct()
+
+
 def line_keys(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, leading: int = LEADING) -> DataFrame:
     """__id, __text, pos, leaf, key of each line that may be dropped."""
     lines = docs.select("__id", "__text", F.posexplode(F.transform(F.split(text, "\n"), _template)).alias("pos", "template"))
@@ -61,15 +127,15 @@ def recurring(
     lines = lines.where(_words(F.col("template")) >= min_words).where(in_some(full.select(F.col("leaf").alias("h")), _leaf(F.col("template"), leading)))
     templates = lines.groupBy("template").agg(F.count("*").alias("n")).withColumn("leaf", _leaf(F.col("template"), leading))
     seeds = templates.groupBy("leaf").agg(F.sum("n").alias("docs"), F.max_by("template", F.struct("n", "template")).alias("seed")).where(F.col("docs") >= min_docs)
-    same = F.size(F.filter(F.arrays_zip(F.split("template", " ").alias("a"), F.split("seed", " ").alias("b")), lambda z: z["a"] == z["b"]))
-    near = templates.join(seeds, "leaf").withColumn("near", same >= F.ceil(F.lit(similar) * _words(F.col("template"))))
-    near = near.select("leaf", F.xxhash64("template").alias("key"), "n", "near")
+    near = templates.join(seeds, "leaf").withColumn("near", _agree(F.col("template"), F.col("seed"), similar))
+    near = near.select("leaf", F.xxhash64("template").alias("key"), "template", "n", "near")
     groups = near.where("near").groupBy("leaf").agg(F.sum("n").alias("of_group"))
-    return (
-        near.join(groups, "leaf", "left")
-        .where((F.col("n") >= min_docs) | (F.col("near") & (F.col("of_group") >= min_docs)))
-        .select("leaf", "key")
-    )
+    judged = near.join(groups, "leaf", "left").withColumn("near", F.col("near") & (F.col("of_group") >= min_docs))
+    judged = written(judged.select("leaf", "key", "template", "n", "near"), "line-templates")
+    left = judged.where(~F.col("near"))
+    able = left.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("m")).where((F.col("docs") >= min_docs) & (F.col("m") > 1)).select("leaf")
+    more = further(left.join(able, "leaf", "left_semi").select("leaf", "key", "template", "n"), min_docs, similar)
+    return judged.where((F.col("n") >= min_docs) | F.col("near")).select("leaf", "key").unionByName(more).distinct()
 
 
 def drop_recurring(

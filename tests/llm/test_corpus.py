@@ -107,6 +107,20 @@ def test_variable_fields_and_whole_copies(spark):
     assert line_dedup.drop_recurring(odd(spark, [])).count() == 0
 
 
+def test_every_cluster_of_a_leaf(spark):
+    name = lambda k: "".join(chr(97 + int(c)) for c in f"{k:03}")
+    own = lambda k: "\n".join(f"{name(k)}{w} {name(k)}{w}x {name(k)}{w}y only here" for w in "pqrstuv")
+    fixed = "posted by the editors of our daily page"
+    rows = [(k, f"{own(k)}\n{fixed}") for k in range(9)]
+    rows += [(100 + k, f"{own(100 + k)}\nposted by reader {name(k)} in the old forum") for k in range(30)]
+    rows += [(200 + k, f"{own(200 + k)}\nposted by guest on {name(k)} road at night") for k in range(5)]
+    rows += [(300 + k, f"{own(300 + k)}\nposted by nobody under {name(k)} after long rain") for k in range(4)]
+    rows += [(400 + k, f"{own(400 + k)}\nposted by {name(k)} {name(k)}a {name(k)}b {name(k)}c {name(k)}d {name(k)}e") for k in range(30)]
+    for r in line_dedup.drop_recurring(odd(spark, rows)).collect():
+        assert r.n_dropped == (r.doc_id < 300), r.doc_id
+        assert ("posted" in r.text) == (r.doc_id >= 300)
+
+
 # --- op3 ---
 
 
