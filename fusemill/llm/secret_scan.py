@@ -43,17 +43,20 @@ NARROW = r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?:[a-z0-9]{20,}|[A-Z0-9]{20,}|[0-9
 LEAST_BITS = {"digit": 3.1, "hex": 3.2, "hexes": 3.1, "upper": 3.3, "lower": 3.4, "mixed": 3.85}
 #: The classes in the order in which they are tried; mixed is the rest. Strings of digits alone are on the allow-list.
 CLASSES = {"digit": "^[0-9]+$", "hex": "^(?:[0-9a-f]+|[0-9A-F]+)$", "hexes": "^[0-9A-Fa-f]+$", "upper": "^[A-Z0-9]+$", "lower": "^[a-z0-9]+$"}
+#: Shapes of strings that are no secrets. No pattern repeats a group: the JVM's matcher takes a stack frame for each turn.
 ALLOWED = (
     r"^[A-Za-z]?[a-z]+$",
     r"^[A-Z]+$",
     r"^[0-9]+$",
-    r"^[A-Za-z]+(?:[-_/][A-Za-z]+)+$",
     r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$",
 )
 #: A placeholder anywhere in a span, and as a word of its own between joining characters.
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx"
 PLACEHOLDER_WORD = r"(?i)(?<![a-z0-9])(?:example|sample|dummy|changeme|placeholder|your|xxxx+)(?![a-z0-9])"
 JOINERS = "[+/_=-]"
+#: Words of letters joined by single signs are allowed as well: such a string has none of these.
+NOT_WORDS = r"[^A-Za-z/_-]|^[/_-]|[/_-]$|[/_-]{2}"
+RUN = 256
 _ONE = 1 << 20
 _FOUND = "array<struct<s:int,e:int,t:string>>"
 
@@ -62,18 +65,28 @@ def _hits(text: Column, pattern: str) -> Column:
     """Start, end and text of each leftmost non-overlapping hit: the texts between hits add up to the offsets."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    found = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("g"), hits.alias("t")),
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast(_FOUND).alias("o")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["t"])).alias("at"),
-            F.concat(
-                F.coalesce(a["o"], F.array().cast(_FOUND)),
-                F.array(F.struct((a["at"] + F.length(x["g"])).alias("s"), (a["at"] + F.length(x["g"]) + F.length(x["t"])).alias("e"), x["t"].alias("t"))),
-            ).cast(_FOUND).alias("o"),
-        ),
-        lambda a: F.coalesce(a["o"], F.array().cast(_FOUND)),
-    )
+    sizes = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(hits)), F.length).alias("g"), hits.alias("t"))
+
+    # Places are summed up in runs of RUN hits, then over the runs: growing one array hit by hit takes time with its square.
+    def in_run(z: Column, k: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            start = a["at"] + x["g"]
+            end = start + F.length(x["t"])
+            return F.struct(end.alias("at"), F.concat(a["o"], F.array(F.struct(start.alias("s"), end.alias("e"), x["t"].alias("t")))).cast(_FOUND).alias("o"))
+
+        return F.aggregate(F.slice(z, k * RUN + 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("o")), step)
+
+    def joined(runs: Column) -> Column:
+        starts = F.aggregate(
+            runs,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("o")),
+            lambda a, r: F.struct((a["at"] + r["at"]).alias("at"), F.concat(a["o"], F.array(a["at"])).alias("o")),
+            lambda a: a["o"],
+        )
+        return _let(starts, lambda at: F.flatten(F.transform(runs, lambda r, k: _shifted(r["o"], at[k]))))
+
+    runs = _let(sizes, lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / RUN).cast("int")), lambda k: in_run(z, k)))
+    found = _let(runs, joined).cast(_FOUND)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_FOUND))
 
 
@@ -175,7 +188,7 @@ def scan(
     out = out.withColumn("__maybe", F.flatten(F.transform("__maybe", lambda c: _pieces(c, F.col("__cuts"), window))))
 
     def open_(c: Column) -> Column:
-        listed = F.lit(False)
+        listed = ~c["t"].rlike(NOT_WORDS)
         for pattern in allowed:
             listed = listed | c["t"].rlike(pattern)
         return ~listed

@@ -132,7 +132,7 @@ def _secrets(text):
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     for m in re.finditer(secret_scan.CANDIDATE, text):
         c = m[0]
-        if any(re.search(p, c) for p in secret_scan.ALLOWED) or any(s < m.end() and m.start() < e for s, _, e in base):
+        if not re.search(secret_scan.NOT_WORDS, c) or any(re.search(p, c) for p in secret_scan.ALLOWED) or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
         kind = "digit" if re.fullmatch("[0-9]+", c) else "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) else "mixed"
         hot = []
@@ -157,6 +157,17 @@ def test_secrets(spark, texts):
     assert secret_scan.scan(odd(spark, [])).count() == 0
 
 
+def test_secrets_in_texts_of_a_megabyte(spark):
+    """One shape each, as long as it gets: no pattern may run out of stack, and no hit may get lost."""
+    n = 1_000_000
+    shapes = ["ab-", "a/", "-", " ", "0", "\"'", "a b", "A1b2C3d4", "ab-cd/ef_", "secret", "AKIA", "=", "x\n"]
+    rows = [(k, (x * (n // len(x) + 1))[:n]) for k, x in enumerate(shapes)]
+    rows += [(50, "ab-" * 3000 + "Z"), (51, "a/" * 400_000 + "9"), (52, "token: abcdef01, " * 3000), (53, f"{'9f' * 12}\n" * 3000)]
+    for r in secret_scan.scan(odd(spark, rows)).collect():
+        assert (r.base_sha256, r.spans) == _secrets(dict(rows)[r.doc_id]), r.doc_id
+        assert r.doc_id < 52 or max(r.n_assign, r.n_hex) == 3000
+
+
 def test_secrets_of_small_alphabets_and_joined_ones(spark):
     rng = np.random.default_rng(5)
     alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdefABCDEF"]
