@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -52,11 +53,21 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: it is computed once and later readers survive lost executors."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables whose readers are written themselves."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def parts(spark: SparkSession) -> int:
@@ -85,19 +96,18 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-#: Bits of the filter that in_some makes.
-BITMAP = 1 << 22
-
-
-def in_some(keys: DataFrame, h: Column) -> Column:
-    """True for every hash in keys (column h, long) and for few others: a bitmap of BITMAP bits, whatever the number of keys.
+def in_some(keys: DataFrame, bits: int = 22) -> Callable[[Column], Column]:
+    """A test that is true for every hash in keys (column h, long) and for few others: a bitmap of 2 ** bits bits, whatever the number of keys.
 
     It leaves out rows early where an exact join follows; where the map fills up, it leaves out fewer.
     """
-    spark = keys.sparkSession
-    at = F.pmod("h", F.lit(BITMAP))
-    words = keys.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {BITMAP}) & 63 as int))")).alias("bits"))
-    whole = spark.range(BITMAP // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    size = 1 << bits
+    words = keys.groupBy(F.shiftright(F.pmod("h", F.lit(size)), 6).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {size}) & 63 as int))")).alias("bits"))
+    whole = keys.sparkSession.range(size // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     bitmap = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap")).scalar()
-    here = F.pmod(h, F.lit(BITMAP))
-    return F.call_function("getbit", F.get(bitmap, F.shiftright(here, 6).cast("int")), here.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def test(h: Column) -> Column:
+        here = F.pmod(h, F.lit(size))
+        return F.call_function("getbit", F.get(bitmap, F.shiftright(here, 6).cast("int")), here.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return test

@@ -215,7 +215,7 @@ def similar_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, to
     alone = F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(groups)).cast("int").alias("i"), F.lit(-1).alias("j")))
     tasks = sized.select("node", "comp", "copies", "part", F.explode(F.when(F.col("part") < 0, alone).otherwise(pairs)).alias("t"))
     tasks = tasks.select("node", "comp", "copies", "part", F.when(F.col("part") < 0, F.lit(-1).cast("long")).otherwise(F.col("comp")).alias("g"), "t.i", "t.j")
-    wanted = in_some(sized.select(F.xxhash64("node").alias("h")), F.xxhash64("doc_id"))
+    wanted = in_some(sized.select(F.xxhash64("node").alias("h")))(F.xxhash64("doc_id"))
     with_text = tasks.join(own.where(wanted).withColumnRenamed("doc_id", "node").hint("merge"), "node")
     least = least_matches(threshold, tolerance)
 

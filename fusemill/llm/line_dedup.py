@@ -124,7 +124,7 @@ def recurring(
     """leaf, key: the hashes of every template that recurs. Leaves of fewer than min_docs lines hold none and are left out first."""
     full = keys.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     lines = docs.select(F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _template))).alias("template"))
-    lines = lines.where(_words(F.col("template")) >= min_words).where(in_some(full.select(F.col("leaf").alias("h")), _leaf(F.col("template"), leading)))
+    lines = lines.where(_words(F.col("template")) >= min_words).where(in_some(full.select(F.col("leaf").alias("h")))(_leaf(F.col("template"), leading)))
     templates = lines.groupBy("template").agg(F.count("*").alias("n")).withColumn("leaf", _leaf(F.col("template"), leading))
     seeds = templates.groupBy("leaf").agg(F.sum("n").alias("docs"), F.max_by("template", F.struct("n", "template")).alias("seed")).where(F.col("docs") >= min_docs)
     near = templates.join(seeds, "leaf").withColumn("near", _agree(F.col("template"), F.col("seed"), similar))

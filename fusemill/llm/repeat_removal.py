@@ -1,29 +1,38 @@
 """Removal of repeated byte strings by prefix doubling over sampled positions.
 
-A suffix array's prefix doubling sorts every position by ever longer prefixes.
-Here only lengths up to ``length`` matter, so the doubling starts at half of it
-and drops positions as soon as their rank is unique:
-
-1. Texts that are equal keep one document, the smallest; in the others every
-   byte of a long enough text is removed.
-2. Of the grams of half the length, each window of ``length`` bytes keeps its
-   least by hash (equal windows keep the same ones), so a repeated window has a
-   kept gram that is repeated too. Grams go to buckets by rank; a gram seen in
-   two documents sets a bit in a map of fixed size. Unique ranks end here.
-3. The positions that are left go to their gram's bucket with the bytes on both
-   sides. There the rank grows by pairing it with the neighbours' bytes: for
-   each offset of the gram in a window, equal windows are sorted together and
-   compared with the smallest document that has them. Of equal neighbourhoods in
-   a batch only the smallest document asks; the others are covered by it.
-4. The answers return to the documents, whose covered bytes are cut out.
-
-The map leaves out positions early and never decides a result: where it fills
-up, more positions are compared. A window is told apart by its bytes' 64-bit
-hashes within its gram's own 64-bit hash.
+A suffix array's prefix doubling ranks every position by ever longer prefixes:
+each round sorts pairs of a position's rank and the rank at an offset, and
+positions whose rank is unique leave. Here only strings of ``length`` bytes
+matter, so the rounds go from half of it to three quarters to all of it, and
+positions are sampled: of the grams of half the length, each window of
+``length`` bytes is stood for by its least gram (by hash, the leftmost of equal
+ones). Equal windows have the same gram at the same place in them, so comparing
+the windows of equal grams compares all equal windows.
+
+1. Rows of equal texts are one text, whose id is the smallest of theirs; in the
+   rows of larger ids every byte of a long enough text is removed.
+2. Rank of half the length: Spark groups the sampled grams; a gram that only one
+   text holds leaves. A map of fixed size tells the others in a second pass,
+   which gives a row for each: its gram, its place and the bytes of its windows
+   on both sides. Rows that agree in all of these are one class with the smallest
+   id; a row of a larger id is covered. From here on Spark sorts and groups rows.
+3. Three quarters: the rank is paired with that of the bytes that follow, and of
+   those that precede; pairs of one id only leave.
+4. The whole length: each window of what is left is a row (class, place in the
+   window), ranked by its gram and the bytes around it. A window whose rank has
+   a smaller id is covered.
+5. The covered windows go back to the positions of their classes and to the
+   texts, whose covered bytes are cut out.
+
+The maps leave out rows early and never decide a result: where they fill up,
+more rows are compared. Every grouping by rank is a partial aggregate and every
+return a join that Spark may split, so a frequent gram is not one task's work.
+A gram, a class and a window are told apart by 64-bit hashes.
 
 Defined results: null and empty texts have no bytes; texts shorter than
-``length`` lose nothing; rows that repeat an id and text are one document; rows
-with a null id are returned whole; other columns are ignored.
+``length`` lose nothing; rows that repeat an id and text are one document; texts
+of one id don't remove each other; rows with a null id are returned whole and
+remove nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,17 +45,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import ship, table, written
+from fusemill.llm.common import discard, in_some, ship, table, written
 
 LENGTH = 50
 MAP_BITS = 27
-REP_BITS = 24
-#: Text bytes for a bucket of grams, and for a group of documents at the end.
+#: Bits of the maps that Spark's expressions read.
+RANK_BITS, TEXT_BITS = 26, 22
+#: Text bytes for a bucket of grams.
 BUCKET_BYTES = 3 << 20
-GROUP_BYTES = 8 << 20
 #: Bytes and documents that a task looks at together.
 PIECE = 1 << 20
 SLICE = 1500
+_PLACE = np.uint64((1 << 22) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -73,25 +83,27 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return _mix((total[k:] - total[:-k]) * back)
 
 
-def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
-    """op over each run of w values, by doubling."""
+def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of each run of w values, by doubling."""
     size = 1
     while size * 2 <= w:
-        x = op(x[:-size], x[size:])
+        x = np.minimum(x[:-size], x[size:])
         size *= 2
-    return x if size == w else op(x[: len(x) - (w - size)], x[w - size :])
+    return x if size == w else np.minimum(x[: len(x) - (w - size)], x[w - size :])
 
 
-def kept_grams(data: np.ndarray, valid: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of grams that are the least of a window; valid: windows that may be looked at."""
+def sampled(data: np.ndarray, valid: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled positions and hashes of their grams, and the first and last valid window that each stands for."""
     h = gram_hashes(data, k)
-    w = length - k + 1
-    least = _sliding(h, w, np.minimum)
-    least = np.where(valid, least, np.uint64(0))
-    pad = np.zeros(w - 1, np.uint64)
-    most = _sliding(np.concatenate([pad, least, pad]), w, np.maximum)
-    at = np.flatnonzero((most == h) & (most != 0))
-    return at, h[at]
+    # one word orders by hash, then by place
+    least = _sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - k + 1)
+    window = np.flatnonzero(valid)
+    at = (least[window] & _PLACE).astype(np.int64)
+    if not len(at):
+        return at, h[:0], at, at
+    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.append(cut[1:], len(at)) - 1
+    return at[cut], h[at[cut]], window[cut], window[last]
 
 
 def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -140,33 +152,16 @@ def _by_bucket(h: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(top[a]), slice(a, b)
 
 
-def bitmap_of(hashes: DataFrame, bits: int, buckets: int = 64) -> Bitmap:
-    """hashes (h long): a map of fixed size, whatever their number."""
-
-    def mark(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros((1 << bits) // buckets, bool)
-        for batch in batches:
-            own[(batch["h"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) % len(own)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["bucket", "bits"])
-
-    top = F.shiftrightunsigned("h", 64 - (buckets - 1).bit_length()).alias("bucket")
-    return _gathered(hashes.select(top.cast("long"), "h").groupBy("bucket").applyInArrow(mark, "bucket long, bits binary"), bits, buckets)
-
-
-def _gathered(segments: DataFrame, bits: int, buckets: int) -> Bitmap:
-    out = Bitmap(bits)
-    size = len(out.bytes) // buckets
-    for row in segments.toLocalIterator():
-        out.bytes[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.bits, np.uint8)
-    return out
+def _planes(h: np.ndarray) -> bytes:
+    """Sorted hashes as differences of their upper 48 bits, byte plane by byte plane, which compresses well."""
+    h = h >> np.uint64(16)
+    return np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
 
 
-def _prime(n: int) -> int:
-    """The smallest prime from n on."""
-    n = max(2, n)
-    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
+def _unplaned(body: bytes) -> np.ndarray:
+    cells = np.zeros((len(body) // 6, 8), np.uint8)
+    cells[:, :6] = np.frombuffer(body, np.uint8).reshape(6, -1).T
+    return np.cumsum(cells.reshape(-1).view(np.uint64)) << np.uint64(16)
 
 
 def _bits(n: float, most: int) -> int:
@@ -179,33 +174,15 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, SLICE)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BITS, bucket_bytes: int = BUCKET_BYTES, with_kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (binary)."""
-    spark = docs.sparkSession
-    ship(spark)
+def repeated_grams(texts: DataFrame, length: int, bits: int, map_bits: int) -> Bitmap:
+    """The map of all sampled grams that two texts hold; texts: data (binary)."""
     k = length // 2
-    side = length - k
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
-    shas = written(own.where("doc_id is not null").select("doc_id", F.sha1("data").alias("sha"), F.length("data").alias("n")), "repeat-texts")
-    first = shas.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    total = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    bits = _bits(total / bucket_bytes, map_bits - 3)
-    groups = _prime(-(-total // GROUP_BYTES))
-    doc_hash = F.xxhash64("doc_id")
-    reps = bitmap_of(first.select(F.xxhash64("rep").alias("h")), REP_BITS)
-    rep_map = spark.sparkContext.broadcast(reps)
-    rows = own.where(f"doc_id is not null and length(data) >= {length}").withColumn("h", doc_hash)
-
-    def chosen(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
-        some = np.flatnonzero(rep_map.value.has(batch["h"].to_numpy().view(np.uint64)))
-        return batch["doc_id"].to_numpy()[some], batch["data"].take(pa.array(some)).to_pylist()
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            ids, texts = chosen(batch)
             found = []
-            for data, valid, owner, _ in pieces(texts, length):
-                at, h = kept_grams(data, valid, length, k)
+            for data, valid, owner, _ in pieces(batch["data"].to_pylist(), length):
+                at, h, _, _ = sampled(data, valid, length, k)
                 pair = np.stack([h, owner[at].astype(np.uint64)], 1)
                 pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
                 found.append(pair[np.concatenate([[True], (np.diff(pair, axis=0) != 0).any(1)])] if len(pair) else pair)
@@ -213,12 +190,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
                 continue
             pair = np.concatenate(found)
             pair = pair[np.argsort(pair[:, 0], kind="stable")]
-            new = np.concatenate([[True], pair[1:, 0] != pair[:-1, 0]])
-            start = np.flatnonzero(new)
+            start = np.flatnonzero(np.concatenate([[True], pair[1:, 0] != pair[:-1, 0]]))
             h = pair[start, 0]
             many = np.minimum.reduceat(pair[:, 1], start) != np.maximum.reduceat(pair[:, 1], start)
             for bucket, s in _by_bucket(h, bits):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([h[s].tobytes()], pa.binary()), pa.array([np.packbits(many[s]).tobytes()], pa.binary())], ["bucket", "grams", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([_planes(h[s])], pa.binary()), pa.array([np.packbits(many[s]).tobytes()], pa.binary())], ["bucket", "grams", "many"])
 
     segment = (1 << map_bits) >> bits
 
@@ -226,7 +202,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
         grams, shared = [], []
         for batch in batches:
             for g, m in zip(batch["grams"].to_pylist(), batch["many"].to_pylist()):
-                g = np.frombuffer(g, np.uint64)
+                g = _unplaned(g)
                 grams.append(g)
                 shared.append(g[np.unpackbits(np.frombuffer(m, np.uint8), count=len(g)) == 1])
         g = np.sort(np.concatenate(grams))
@@ -235,170 +211,139 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
         own_bits[(hit >> np.uint64(64 - map_bits)).astype(np.int64) % segment] = True
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(own_bits).tobytes()], pa.binary())], ["bucket", "bits"])
 
-    by_rank = rows.mapInArrow(ranks, "bucket long, grams binary, many binary").groupBy("bucket")
-    grams = _gathered(by_rank.applyInArrow(repeated, "bucket long, bits binary"), map_bits, 1 << bits)
-    gram_map = spark.sparkContext.broadcast(grams)
+    found = texts.mapInArrow(ranks, "bucket long, grams binary, many binary").groupBy("bucket").applyInArrow(repeated, "bucket long, bits binary")
+    out = Bitmap(map_bits)
+    size = len(out.bytes) >> bits
+    for row in found.toLocalIterator():
+        out.bytes[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def positions(texts: DataFrame, grams: Bitmap, length: int) -> DataFrame:
+    """A row for each sampled position whose gram may be repeated.
 
-    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first, text (of texts), h (gram), at (offset), hi and lo (its windows begin hi
+    to lo bytes before it), near (the bytes of these windows without the gram).
+    """
+    k = length // 2
+    side = length - k
+    held = texts.sparkSession.sparkContext.broadcast(grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            ids, texts = chosen(batch)
-            hs, docs_, at_, near_ = [], [], [], []
-            for data, valid, owner, offset in pieces(texts, length):
-                at, h = kept_grams(data, valid, length, k)
-                stay = gram_map.value.has(h)
-                at, h = at[stay], h[stay]
+            first, text = batch["first"].to_numpy(), batch["text"].to_numpy()
+            for data, valid, owner, offset in pieces(batch["data"].to_pylist(), length):
+                at, h, one, last = sampled(data, valid, length, k)
+                some = held.value.has(h)
+                at, h, hi, lo = at[some], h[some], (at - one)[some], (at - last)[some]
                 if not len(at):
                     continue
-                # bytes on both sides; beyond the text (or this part of it) 256 stands for none
-                idx = at[:, None] + np.concatenate([np.arange(-side, 0), np.arange(k, k + side)])
-                inside = (idx >= 0) & (idx < len(data))
-                idx = np.clip(idx, 0, len(data) - 1)
-                # a part of a long text begins at another offset, so the neighbour must be the same text at the right distance
-                inside &= (owner[idx] == owner[at][:, None]) & (offset[idx] - offset[at][:, None] == idx - at[:, None])
-                near_.append(np.where(inside, data[idx].astype(np.int16), 256))
-                hs.append(h)
-                docs_.append(ids[owner[at]])
-                at_.append(offset[at])
-            if not hs:
-                continue
-            h, doc, at, near = np.concatenate(hs), np.concatenate(docs_), np.concatenate(at_), np.concatenate(near_)
-            around = np.zeros(len(h), np.uint64)
-            for c in range(2 * side):
-                around = around * _BASE + near[:, c].astype(np.uint64) + np.uint64(1)
-            around = _mix(around)
-            order = np.lexsort((doc, around, h))
-            h, doc, at, near, around = h[order], doc[order], at[order], near[order], around[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (around[1:] != around[:-1])])
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            asked = doc == least
-            done = ~asked
-            mask = _valid(near[done], side)
-            for bucket, s in _by_bucket(h[asked], bits):
-                body = _packed(h[asked][s], doc[asked][s], at[asked][s], near[asked][s])
-                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([body], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "asks", "done"])
-            if done.any():
-                body = doc[done].tobytes() + at[done].tobytes() + mask.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([int(h[0] >> np.uint64(64 - bits)) if bits else 0]), pa.array([b""], pa.binary()), pa.array([body], pa.binary())], ["bucket", "asks", "done"])
-
-    def answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, done = [], []
+                reach = np.concatenate([np.arange(-side, 0), np.arange(k, k + side)])
+                inside = np.concatenate([np.arange(side, 0, -1) <= hi[:, None], np.arange(1, side + 1) <= side - lo[:, None]], 1)
+                near = data[np.clip(at[:, None] + reach, 0, len(data) - 1)][inside]
+                ends = np.concatenate([[0], np.cumsum(hi + side - lo)]).astype(np.int32)
+                bytes_ = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(near.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first[owner[at]]), pa.array(text[owner[at]]), pa.array(h.view(np.int64)), pa.array(offset[at].astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(lo.astype(np.int32)), bytes_],
+                    ["first", "text", "h", "at", "hi", "lo", "near"],
+                )
+
+    return texts.mapInArrow(run, "first long, text long, h long, at int, hi int, lo int, near binary")
+
+
+def covered_windows(rows: DataFrame, length: int) -> DataFrame:
+    """text, first, at, mask: bit o is set where the window that begins o bytes before at is also in a text of a smaller id."""
+    side = length - length // 2
+    half = side // 2 + 1
+    class_id = F.xxhash64("h", "hi", "near")
+    classes = rows.groupBy("h", "hi", "lo", "near").agg(F.min("first").alias("first"), F.max("first").alias("last"))
+    classes = written(classes.withColumn("id", class_id), "repeat-classes")
+    # three quarters: the gram with what follows, and with what precedes
+    after, before = F.expr(f"substring(near, hi + 1, {half})"), F.expr(f"substring(near, hi - {half} + 1, {half})")
+    longer = {"after": (F.col("lo") <= side - half, F.xxhash64("h", F.lit(1), after)), "before": (F.col("hi") >= half, F.xxhash64("h", F.lit(2), before))}
+    ranks = classes.select("first", F.explode(F.array(*(F.when(has, rank) for has, rank in longer.values()))).alias("h")).where("h is not null")
+    shared = ranks.groupBy("h").agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a < z").select("h")
+    open_ = in_some(shared, bits=RANK_BITS)
+    first_o = F.when(longer["after"][0] & open_(longer["after"][1]), F.col("lo")).otherwise(F.greatest("lo", F.lit(side - half + 1)))
+    last_o = F.when(longer["before"][0] & open_(longer["before"][1]), F.col("hi")).otherwise(F.least("hi", F.lit(side - half)))
+    # the whole length: a row for each window
+    ranged = classes.select("id", "first", "h", "hi", "near", first_o.alias("a"), last_o.alias("z")).where("a <= z")
+    each = ranged.select("id", "first", F.explode(F.expr("sequence(a, z)")).alias("o"), "h", "hi", "near")
+    windows = written(each.select("id", "first", "o", F.xxhash64("h", "o", F.expr(f"substring(near, hi - o + 1, {side})")).alias("w")), "repeat-windows")
+    least = written(windows.groupBy("w").agg(F.min("first").alias("least"), F.max("first").alias("last")).where("least < last").select("w", "least"), "repeat-ranks")
+    hits = windows.where(in_some(least.select(F.col("w").alias("h")), bits=RANK_BITS)(F.col("w"))).join(least.hint("merge"), "w").where("least < first")
+    hits = hits.select("id", "first", F.expr("shiftleft(1L, o)").alias("mask"))
+    judged = hits.unionByName(classes.where("first < last").select("id", "first", F.lit(0).cast("long").alias("mask")))
+    judged = written(judged.groupBy("id").agg(F.min("first").alias("least"), F.bit_or("mask").alias("mask")), "repeat-judged")
+    discard(windows, least, classes)
+    back = rows.select("text", "first", "at", "hi", "lo", class_id.alias("id")).where(in_some(judged.select(F.col("id").alias("h")), bits=RANK_BITS)(F.col("id")))
+    own = F.expr("shiftleft(2L, hi) - shiftleft(1L, lo)")
+    masks = back.join(judged.hint("merge"), "id").select("text", "first", "at", F.when(F.col("first") > F.col("least"), own).otherwise(F.col("mask")).alias("mask"))
+    return masks.where("mask <> 0")
+
+
+def cut_out(rows: DataFrame, length: int, with_kept: bool) -> DataFrame:
+    """rows: doc_id, data and covers (structs of at and mask)."""
+    side = length - length // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got += [_unpacked(b, side) for b in batch["asks"].to_pylist() if b]
-            done += [_triples(b) for b in batch["done"].to_pylist() if b]
-        if got:
-            h, doc, at, near = (np.concatenate(x) for x in zip(*got))
-            mask = compared(h, doc, near, side)
-            some = mask != 0
-            done.append((doc[some], at[some], mask[some]))
-        for doc, at, mask in done:
-            group = doc % groups
-            order = np.argsort(group, kind="stable")
-            cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(order))):
-                s = order[a:b]
-                yield pa.RecordBatch.from_arrays([pa.array([int(group[s[0]])]), pa.array([doc[s].tobytes() + at[s].tobytes() + mask[s].tobytes()], pa.binary())], ["g", "covers"])
-
-    covers = rows.mapInArrow(asks, "bucket long, asks binary, done binary").groupBy("bucket").applyInArrow(answer, "g long, covers binary")
-
-    # ids are dealt by a prime, so that ids with a common step spread as well
-    group = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(groups)).cast("long")
-    copies = shas.join(first.select("sha", "rep"), "sha").where("doc_id <> rep").select("doc_id").distinct()
-    answers = covers.select("g", "covers", F.lit(None).cast("long").alias("copy")).unionByName(
-        copies.select(group.alias("g"), F.lit(None).cast("binary").alias("covers"), F.col("doc_id").alias("copy"))
-    )
+            out = []
+            covers = batch["covers"]
+            at, mask = (np.asarray(x) for x in covers.flatten().flatten())
+            ends = np.concatenate([[0], np.cumsum(covers.value_lengths().to_numpy())])
+            for r, (doc_id, data) in enumerate(zip(batch["doc_id"].to_pylist(), batch["data"].to_pylist())):
+                a, m = at[ends[r] : ends[r + 1]], mask[ends[r] : ends[r + 1]]
+                edge = np.zeros(len(data) + 1, np.int32)
+                for o in range(side + 1):
+                    begin = a[(m >> o) & 1 == 1] - o
+                    np.add.at(edge, begin, 1)
+                    np.add.at(edge, begin + length, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+                out.append((doc_id, len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_kept else [])))
+            if out:
+                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_kept
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)])
+
+    return rows.mapInArrow(run, RESULT + ", kept binary" * with_kept)
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        spans: dict[int, list] = {}
-        parts = [_triples(b) for b in right["covers"].to_pylist() if b]
-        if parts:
-            doc, at, mask = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(doc, kind="stable")
-            doc, at, mask = doc[order], at[order], mask[order]
-            cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            spans = {int(doc[a]): (at[a:b], mask[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(doc)))}
-        copied = set(right["copy"].to_pylist())
-        out = []
-        for doc_id, data in zip(left["doc_id"].to_pylist(), left["data"].to_pylist()):
-            edge = np.zeros(len(data) + 1, np.int32)
-            if doc_id is not None and len(data) >= length:
-                if doc_id in copied:
-                    edge[0] = 1
-                elif doc_id in spans:
-                    at, mask = spans[doc_id]
-                    for o in range(side + 1):
-                        begin = at[(mask >> o) & 1 == 1] - o
-                        np.add.at(edge, begin, 1)
-                        np.add.at(edge, begin + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-            out.append((doc_id, len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_kept else [])))
-        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_kept
-        cols = list(zip(*out)) or [()] * len(kinds)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)])
-
-    by_group = own.withColumn("g", group).groupBy("g")
-    return by_group.cogroup(answers.groupBy("g")).applyInArrow(cut, RESULT + ", kept binary" * with_kept)
-
-
-def _valid(near: np.ndarray, side: int) -> np.ndarray:
-    """Bit o: the window that begins o bytes before the gram lies in the text."""
-    left = (near[:, :side][:, ::-1] != 256).sum(1)
-    right = (near[:, side:] != 256).sum(1)
-    mask = np.zeros(len(near), np.int64)
-    for o in range(side + 1):
-        mask |= ((o <= left) & (side - o <= right)).astype(np.int64) << o
-    return mask
-
-
-def _packed(h: np.ndarray, doc: np.ndarray, at: np.ndarray, near: np.ndarray) -> bytes:
-    none = near == 256
-    counts = np.stack([(~none[:, : near.shape[1] // 2]).sum(1), (~none[:, near.shape[1] // 2 :]).sum(1)], 1).astype(np.uint8)
-    return np.int64(len(h)).tobytes() + h.tobytes() + doc.tobytes() + at.astype(np.int64).tobytes() + counts.tobytes() + np.where(none, 0, near).astype(np.uint8).tobytes()
-
-
-def _unpacked(body: bytes, side: int) -> tuple[np.ndarray, ...]:
-    n = int(np.frombuffer(body, np.int64, 1)[0])
-    h = np.frombuffer(body, np.uint64, n, 8)
-    doc = np.frombuffer(body, np.int64, n, 8 + 8 * n)
-    at = np.frombuffer(body, np.int64, n, 8 + 16 * n)
-    counts = np.frombuffer(body, np.uint8, 2 * n, 8 + 24 * n).reshape(n, 2)
-    near = np.frombuffer(body, np.uint8, 2 * side * n, 8 + 26 * n).reshape(n, 2 * side).astype(np.int16)
-    near[:, :side][np.arange(side) < side - counts[:, :1]] = 256
-    near[:, side:][np.arange(side) >= counts[:, 1:]] = 256
-    return h, doc, at, near
-
-
-def _triples(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(body) // 24
-    return tuple(np.frombuffer(body, np.int64, n, 8 * n * i) for i in range(3))
-
-
-def compared(h: np.ndarray, doc: np.ndarray, near: np.ndarray, side: int) -> np.ndarray:
-    """Bit o of each position: its window that begins o bytes before the gram is also in a smaller document."""
-    valid = _valid(near, side)
-    order = np.argsort(h, kind="stable")
-    h, doc, near, inside = h[order], doc[order], near[order], valid[order]
-    rank = [h]  # the gram with the first r bytes on its right
-    for r in range(side):
-        rank.append(_mix(rank[-1] * _BASE + near[:, side + r].astype(np.uint64) + np.uint64(1)))
-    mask = np.zeros(len(h), np.int64)
-    left = np.zeros(len(h), np.uint64)
-    for o in range(side + 1):
-        if o:
-            left = _mix(left * _M + near[:, side - o].astype(np.uint64) + np.uint64(1))
-        some = np.flatnonzero((inside >> o) & 1)
-        key = _mix(rank[side - o][some] ^ (left[some] * _BASE + np.uint64(o)))
-        by = np.argsort(key, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], np.diff(key[by]) != 0])) if len(by) else by
-        if len(start):
-            least = np.minimum.reduceat(doc[some][by], start)
-            least = np.repeat(least, np.diff(np.append(start, len(by))))
-            hit = some[by][least < doc[some][by]]
-            mask[hit] |= 1 << o
-    out = np.empty_like(mask)
-    out[order] = mask
-    return out
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BITS, bucket_bytes: int = BUCKET_BYTES, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (binary)."""
+    ship(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+    own = own.withColumns({"sha": F.unhex(F.sha2("data", 256)), "n": F.length("data")})
+    marked = written(own.where("doc_id is not null").select("doc_id", "sha", "n"), "repeat-texts")
+    texts = written(marked.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "repeat-firsts")
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    # one row of each text (and a few more rows, which change nothing: they hold what a smaller id holds)
+    known = in_some(texts.select(F.xxhash64("first", "sha").alias("h")), bits=TEXT_BITS)(F.xxhash64("doc_id", "sha"))
+    once = own.where((F.col("n") >= length) & F.col("doc_id").isNotNull() & known).select(F.col("doc_id").alias("first"), F.xxhash64("sha").alias("text"), "data")
+    grams = repeated_grams(once, length, _bits(total / bucket_bytes, map_bits - 3), map_bits)
+    rows = written(positions(once, grams, length), "repeat-positions", compression="zstd")
+    covers = covered_windows(rows, length).groupBy("text", "first").agg(F.collect_list(F.struct("at", "mask")).alias("covers"))
+    covers = written(covers, "repeat-covers")
+    discard(rows)
+    keys = covers.select("text", F.col("first").alias("doc_id"))
+    base = own.select("doc_id", "sha", "n", F.sha2("data", 256).alias("whole"), *(["data"] if with_kept else []), F.xxhash64("sha").alias("text"))
+    base = base.join(texts.select("sha", "first"), "sha", "left")
+    copy = (F.col("doc_id") > F.col("first")) & (F.col("n") >= length)
+    zero, n = F.lit(0).cast("long"), F.col("n").cast("long")
+    plain = base.withColumn("copy", F.coalesce(copy, F.lit(False))).join(keys.withColumn("cut", F.lit(True)), ["text", "doc_id"], "left").where("copy or cut is null")
+    plain = plain.select(
+        "doc_id",
+        n.alias("n_bytes"),
+        F.when(F.col("copy"), n).otherwise(zero).alias("n_removed"),
+        F.when(F.col("copy"), F.lit(1).cast("long")).otherwise(zero).alias("n_spans"),
+        F.when(F.col("copy"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("whole")).alias("kept_sha256"),
+        *([F.when(F.col("copy"), F.lit("").cast("binary")).otherwise(F.col("data")).alias("kept")] if with_kept else []),
+    )
+    some = own.withColumn("text", F.xxhash64("sha")).where(in_some(keys.select(F.col("text").alias("h")), bits=TEXT_BITS)(F.col("text")))
+    # only the first rows of a text, which are none's copies, have covers
+    cut = some.select("text", "doc_id", "data").join(covers.withColumnRenamed("first", "doc_id").hint("merge"), ["text", "doc_id"]).select("doc_id", "data", "covers")
+    return plain.unionByName(cut_out(cut, length, with_kept))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,6 +258,27 @@ def test_repeats(spark, texts):
     assert got == _removed(rows)
 
 
+def test_repeats_of_repeated_ids_and_one_passage_in_many_texts(spark):
+    a, b = "q".join(map(str, range(200))), "zz".join(str(k * 7) for k in range(100, 190))
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, a[30:120]), (7, b[:60]), (7, b[20:100]), (None, a), (None, b)]
+    passage = "this passage of well over fifty bytes stands in very many of the documents here"
+    rows += [(1000 + k, f"{k * 7919 % 10007} before {passage} after {k * 104729 % 9973}") for k in range(10_000)]
+    first = {}
+    for i, x in sorted(r for r in rows if r[0] is not None):
+        for p in range(len(x) - 49):
+            first.setdefault(x[p : p + 50], i)
+    want = collections.Counter()
+    for i, x in rows:
+        gone = np.zeros(len(x), bool)
+        for p in range(len(x) - 49) if i is not None else ():
+            if first[x[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        kept = np.frombuffer(x.encode(), np.uint8)[~gone].tobytes()
+        want[(i, len(x), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())] += 1
+    got = repeat_removal.remove_repeats(odd(spark, rows), with_kept=False).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
 def test_repeats_over_parts_of_long_texts(spark, monkeypatch, texts):
     monkeypatch.setattr(repeat_removal, "PIECE", 300)
     found = [g for data, valid, owner, offset in repeat_removal.pieces([t.encode() for t in texts.values()], 50) for g in offset[np.flatnonzero(valid)].tolist()]
