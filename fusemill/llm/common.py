@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Most entries that a per-worker word cache holds before it is emptied.
 CACHE = 400_000
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,9 +55,17 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a table in the shared folder: it is computed once and later readers survive lost executors."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    """df as a table in the shared folder: it is computed once and later readers survive lost executors.
+
+    The table cuts the lineage, so the shuffle files behind it are given up with it.
+    """
+    path, conf = fresh_dir(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._written_at = path
     return back

@@ -3,7 +3,7 @@
 A suffix array's prefix doubling ranks every position by ever longer prefixes:
 each round sorts pairs of a position's rank and the rank at an offset, and
 positions whose rank is unique leave. Here only strings of ``length`` bytes
-matter, so the rounds go from half of it to three quarters to all of it, and
+matter, so the offsets grow from half of it to three quarters to all of it, and
 positions are sampled: of the grams of half the length, each window of
 ``length`` bytes is stood for by its least gram (by hash, the leftmost of equal
 ones). Equal windows have the same gram at the same place in them, so comparing
@@ -11,13 +11,13 @@ the windows of equal grams compares all equal windows.
 
 1. Rows of equal texts are one text, whose id is the smallest of theirs; in the
    rows of larger ids every byte of a long enough text is removed.
-2. Rank of half the length: Spark groups the sampled grams; a gram that only one
-   text holds leaves. A map of fixed size tells the others in a second pass,
-   which gives a row for each: its gram, its place and the bytes of its windows
-   on both sides. Rows that agree in all of these are one class with the smallest
-   id; a row of a larger id is covered. From here on Spark sorts and groups rows.
-3. Three quarters: the rank is paired with that of the bytes that follow, and of
-   those that precede; pairs of one id only leave.
+2. Three quarters: the sampled gram with the bytes that follow it, and with those
+   that precede it, are its first ranks. Spark groups them; what only one text
+   holds leaves. A map of fixed size tells the others in a second pass, which gives
+   a row for each: its gram, its place and the bytes of its windows on both sides.
+   From here on Spark sorts and groups rows: those that agree in all of these are
+   one class with the smallest id, and a row of a larger id is covered.
+3. The classes are ranked by three quarters again; ranks of one id leave.
 4. The whole length: each window of what is left is a row (class, place in the
    window), ranked by its gram and the bytes around it. A window whose rank has
    a smaller id is covered.
@@ -69,18 +69,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes from each position on."""
-    n = len(data) - k + 1
-    power = np.full(len(data), _BASE)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    back = np.full(n, _INVERSE)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    return _mix((total[k:] - total[:-k]) * back)
+class Grams:
+    """Hashes of the k bytes from each position on, for any k, by sums over prefixes."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.back = np.full(len(data), _BASE), np.full(len(data), _INVERSE)
+        power[0] = self.back[0] = 1
+        np.multiply.accumulate(power, out=power)
+        np.multiply.accumulate(self.back, out=self.back)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=self.total[1:])
+
+    def all(self, k: int) -> np.ndarray:
+        return _mix((self.total[k:] - self.total[:-k]) * self.back[: len(self.total) - k])
+
+    def at(self, place: np.ndarray, k: int) -> np.ndarray:
+        return _mix((self.total[place + k] - self.total[place]) * self.back[place])
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -92,18 +96,30 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x if size == w else np.minimum(x[: len(x) - (w - size)], x[w - size :])
 
 
-def sampled(data: np.ndarray, valid: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled positions and hashes of their grams, and the first and last valid window that each stands for."""
-    h = gram_hashes(data, k)
-    # one word orders by hash, then by place
-    least = _sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - k + 1)
-    window = np.flatnonzero(valid)
-    at = (least[window] & _PLACE).astype(np.int64)
-    if not len(at):
-        return at, h[:0], at, at
-    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.append(cut[1:], len(at)) - 1
-    return at[cut], h[at[cut]], window[cut], window[last]
+class Sample:
+    """Sampled positions (at), their grams' hashes (h), and how many bytes before each its first (hi) and last (lo) window begin.
+
+    after and before: the ranks of three quarters of the length, where some window holds these bytes.
+    """
+
+    def __init__(self, data: np.ndarray, valid: np.ndarray, length: int):
+        k = length // 2
+        side = length - k
+        half = side // 2 + 1
+        grams = Grams(data)
+        h = grams.all(k)
+        # one word orders by hash, then by place
+        least = _sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), side + 1)
+        window = np.flatnonzero(valid)
+        at = (least[window] & _PLACE).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])[: len(at)])
+        last = np.append(cut[1:], len(at)) - 1 if len(at) else cut
+        self.at, self.h = at[cut], h[at[cut]]
+        self.hi, self.lo = self.at - window[cut], self.at - window[last]
+        self.has_after, self.has_before = self.lo <= side - half, self.hi >= half
+        self.after, self.before = np.zeros_like(self.h), np.zeros_like(self.h)
+        self.after[self.has_after] = grams.at(self.at[self.has_after], k + half)
+        self.before[self.has_before] = _mix(grams.at(self.at[self.has_before] - half, k + half) + _M)
 
 
 def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -175,15 +191,16 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_grams(texts: DataFrame, length: int, bits: int, map_bits: int) -> Bitmap:
-    """The map of all sampled grams that two texts hold; texts: data (binary)."""
-    k = length // 2
+    """The map of all ranks of three quarters of the length that two texts hold; texts: data (binary)."""
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             found = []
             for data, valid, owner, _ in pieces(batch["data"].to_pylist(), length):
-                at, h, _, _ = sampled(data, valid, length, k)
-                pair = np.stack([h, owner[at].astype(np.uint64)], 1)
+                x = Sample(data, valid, length)
+                h = np.concatenate([x.after[x.has_after], x.before[x.has_before]])
+                of = np.concatenate([owner[x.at[x.has_after]], owner[x.at[x.has_before]]])
+                pair = np.stack([h, of.astype(np.uint64)], 1)
                 pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
                 found.append(pair[np.concatenate([[True], (np.diff(pair, axis=0) != 0).any(1)])] if len(pair) else pair)
             if not found:
@@ -214,28 +231,32 @@ def repeated_grams(texts: DataFrame, length: int, bits: int, map_bits: int) -> B
     found = texts.mapInArrow(ranks, "bucket long, grams binary, many binary").groupBy("bucket").applyInArrow(repeated, "bucket long, bits binary")
     out = Bitmap(map_bits)
     size = len(out.bytes) >> bits
-    for row in found.toLocalIterator():
+    for row in written(found, "repeat-map").toLocalIterator():
         out.bytes[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
 def positions(texts: DataFrame, grams: Bitmap, length: int) -> DataFrame:
-    """A row for each sampled position whose gram may be repeated.
+    """A row for each sampled position of which a rank may be repeated.
 
     first, text (of texts), h (gram), at (offset), hi and lo (its windows begin hi
     to lo bytes before it), near (the bytes of these windows without the gram).
     """
     k = length // 2
     side = length - k
+    half = side // 2 + 1
     held = texts.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             first, text = batch["first"].to_numpy(), batch["text"].to_numpy()
             for data, valid, owner, offset in pieces(batch["data"].to_pylist(), length):
-                at, h, one, last = sampled(data, valid, length, k)
-                some = held.value.has(h)
-                at, h, hi, lo = at[some], h[some], (at - one)[some], (at - last)[some]
+                x = Sample(data, valid, length)
+                after, before = x.has_after & held.value.has(x.after), x.has_before & held.value.has(x.before)
+                # windows of a half whose rank is unique leave
+                lo, hi = np.where(after, x.lo, np.maximum(x.lo, side - half + 1)), np.where(before, x.hi, np.minimum(x.hi, side - half))
+                some = after | before
+                at, h, hi, lo = x.at[some], x.h[some], hi[some], lo[some]
                 if not len(at):
                     continue
                 reach = np.concatenate([np.arange(-side, 0), np.arange(k, k + side)])
@@ -257,7 +278,7 @@ def covered_windows(rows: DataFrame, length: int) -> DataFrame:
     half = side // 2 + 1
     class_id = F.xxhash64("h", "hi", "near")
     classes = rows.groupBy("h", "hi", "lo", "near").agg(F.min("first").alias("first"), F.max("first").alias("last"))
-    classes = written(classes.withColumn("id", class_id), "repeat-classes")
+    classes = written(classes.withColumn("id", class_id), "repeat-classes", compression="zstd")
     # three quarters: the gram with what follows, and with what precedes
     after, before = F.expr(f"substring(near, hi + 1, {half})"), F.expr(f"substring(near, hi - {half} + 1, {half})")
     longer = {"after": (F.col("lo") <= side - half, F.xxhash64("h", F.lit(1), after)), "before": (F.col("hi") >= half, F.xxhash64("h", F.lit(2), before))}
@@ -269,13 +290,13 @@ def covered_windows(rows: DataFrame, length: int) -> DataFrame:
     # the whole length: a row for each window
     ranged = classes.select("id", "first", "h", "hi", "near", first_o.alias("a"), last_o.alias("z")).where("a <= z")
     each = ranged.select("id", "first", F.explode(F.expr("sequence(a, z)")).alias("o"), "h", "hi", "near")
-    windows = written(each.select("id", "first", "o", F.xxhash64("h", "o", F.expr(f"substring(near, hi - o + 1, {side})")).alias("w")), "repeat-windows")
+    windows = each.select("id", "first", "o", F.xxhash64("h", "o", F.expr(f"substring(near, hi - o + 1, {side})")).alias("w"))
     least = written(windows.groupBy("w").agg(F.min("first").alias("least"), F.max("first").alias("last")).where("least < last").select("w", "least"), "repeat-ranks")
     hits = windows.where(in_some(least.select(F.col("w").alias("h")), bits=RANK_BITS)(F.col("w"))).join(least.hint("merge"), "w").where("least < first")
     hits = hits.select("id", "first", F.expr("shiftleft(1L, o)").alias("mask"))
     judged = hits.unionByName(classes.where("first < last").select("id", "first", F.lit(0).cast("long").alias("mask")))
     judged = written(judged.groupBy("id").agg(F.min("first").alias("least"), F.bit_or("mask").alias("mask")), "repeat-judged")
-    discard(windows, least, classes)
+    discard(least, classes)
     back = rows.select("text", "first", "at", "hi", "lo", class_id.alias("id")).where(in_some(judged.select(F.col("id").alias("h")), bits=RANK_BITS)(F.col("id")))
     own = F.expr("shiftleft(2L, hi) - shiftleft(1L, lo)")
     masks = back.join(judged.hint("merge"), "id").select("text", "first", "at", F.when(F.col("first") > F.col("least"), own).otherwise(F.col("mask")).alias("mask"))
