@@ -2,22 +2,23 @@
 
 A line's words that hold a digit become ``<*>``; what is left is its template.
 Templates hang in a tree of fixed depth: first the number of words, then the
-leading words. In a leaf the template of most documents is the seed; templates
-that agree with the seed in enough places are one generalised template, with the
-places that differ as variable fields. What the seed leaves over is clustered in
-the same way around further seeds, found by blocks of words: of two templates
-that differ in d places, one of d + 1 blocks is equal. A template, exact or
-generalised, that occurs in ``min_docs`` documents or more recurs, and its lines
-are dropped.
-
-A document of which recurring lines make up more than ``max_share`` is a copy
-of a whole document rather than a page with boilerplate; it is left as it is for
-document-level dedup, so no document is emptied here.
+leading words. In a leaf, a word that few texts have at its place is a variable
+field: where at most a fifth of a template's words are such, they become ``<*>``
+as well. So every family of lines of a leaf gets its generalised template at
+once, whatever the number of families. A generalised template that occurs in
+``min_docs`` distinct texts or more recurs, and its lines are dropped. Texts are
+counted, not rows: exact copies of one text don't make its lines recur.
+
+Work grows with the words of the leaves that hold min_docs lines or more; all
+groupings are partial aggregates, and joins are on (leaf, template) or (leaf,
+place, word), never on a leaf alone.
 
 Defined results: a null text stays null with zero lines; an empty text is one
 empty line and is kept; lines of fewer than ``min_words`` words are never
-dropped; a line counts once a row, and repeated rows count as documents of
-their own; other columns pass through.
+dropped; a text of recurring lines only becomes the empty text (share tells how
+much of a text recurring lines held, for callers who leave whole copies to
+document-level dedup); repeated rows are treated alike; other columns pass
+through.
 """
 
 from __future__ import annotations
@@ -31,15 +32,13 @@ MIN_DOCS = 5
 MIN_WORDS = 3
 LEADING = 2
 SIMILAR = 0.8
-MAX_SHARE = 0.4
-#: Seeds that a block of words gets in a round, and the share of the templates that a round must settle for another one.
-SEEDS = 4
-PROGRESS = 0.1
+NAMES = ("n_lines", "n_dropped", "share")
 
 
 def _template(line: Column) -> Column:
     """One space between words, and <*> for words with a digit; each regular expression runs only where it finds something."""
-    spaced = F.trim(F.when(line.rlike("[ \\t\\r]{2}|[\\t\\r]"), F.regexp_replace(line, "[ \\t\\r]+", " ")).otherwise(line))
+    uneven = F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
+    spaced = F.trim(F.when(uneven, F.regexp_replace(line, "[ \\t\\r]+", " ")).otherwise(line))
     return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "(?<![^ ])[^ ]*[0-9][^ ]*", "<*>")).otherwise(spaced)
 
 
@@ -51,64 +50,9 @@ def _leaf(template: Column, leading: int) -> Column:
     return F.xxhash64(_words(template), F.substring_index(template, " ", leading))
 
 
-def _agree(a: Column, b: Column, similar: float) -> Column:
-    same = F.size(F.filter(F.arrays_zip(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")), lambda z: z["a"] == z["b"]))
-    return same >= F.ceil(F.lit(similar) * _words(a))
-
-
-def _fields(template: Column, similar: float) -> Column:
-    """The number of places in which a template may differ from its seed."""
-    return (_words(template) - F.ceil(F.lit(similar) * _words(template))).cast("int")
-
-
-def _blocks(template: Column, similar: float) -> Column:
-    """Hashes of one block of words more than places may differ."""
-    words, n = F.split(template, " "), _fields(template, similar) + 1
-
-    def block(i: Column) -> Column:
-        first = F.floor(i * F.size(words) / n).cast("int")
-        return F.xxhash64(i, F.concat_ws(" ", F.slice(words, first + 1, F.floor((i + 1) * F.size(words) / n).cast("int") - first)))
-
-    return F.transform(F.sequence(F.lit(0), n - 1), block)
-
-
-def further(left: DataFrame, min_docs: int, similar: float) -> DataFrame:
-    """leaf, key of the templates (leaf, key, template, n) that recur around a seed of their own.
-
-    Rounds try a few seeds a block and take out what gathers there, as long as they
-    settle a good part; then all pairs in the blocks that are left are compared.
-    """
-    rest = written(left.where(_fields(F.col("template"), similar) > 0), "line-rest")
-    found = rest.limit(0).select("leaf", "key")
-    size, turn = rest.count(), 0
-    while size:
-        keyed = rest.withColumn("block", F.explode(_blocks(F.col("template"), similar)))
-        pick = [F.max_by("template", F.struct("n", "template"))] + [F.max_by("template", F.xxhash64("template", F.lit(turn * SEEDS + k))) for k in range(1, SEEDS)]
-        full = keyed.groupBy("leaf", "block").agg(F.sum("n").alias("docs"), F.count("*").alias("m"), F.array_distinct(F.array(*pick)).alias("seeds"))
-        # a seed's members share any of its blocks, so a block of few documents may still hold a pair
-        near = keyed.join(full.where("m > 1"), ["leaf", "block"]).select("leaf", "key", "template", "n", F.explode("seeds").alias("seed"))
-        near = near.where(_agree(F.col("template"), F.col("seed"), similar)).dropDuplicates(["leaf", "key", "seed"])
-        near = written(near.select("leaf", "key", "n", F.xxhash64("seed").alias("seed")), "line-near")
-        hits = written(_gathered(near, min_docs), "line-hits")
-        found, n = found.unionByName(hits), hits.count()
-        rest, size, turn = written(rest.join(hits, ["leaf", "key"], "left_anti"), "line-rest"), size - n, turn + 1
-        if n < PROGRESS * (size + n):
-            break
-    if not size:
-        return found
-    keyed = rest.withColumn("block", F.explode(_blocks(F.col("template"), similar)))
-    mates = keyed.groupBy("leaf", "block").agg(F.sum("n").alias("docs")).join(keyed, ["leaf", "block"])
-    able = mates.groupBy("leaf", "key").agg(F.sum("docs").alias("most")).where(F.col("most") >= min_docs).select("leaf", "key")
-    seeds = keyed.join(able, ["leaf", "key"], "left_semi").select("leaf", "block", F.col("key").alias("seed"), F.col("template").alias("seed_text"))
-    near = keyed.join(seeds, ["leaf", "block"]).where(_agree(F.col("template"), F.col("seed_text"), similar))
-    near = written(near.select("leaf", "key", "n", "seed").dropDuplicates(["leaf", "key", "seed"]), "line-near")
-    return found.unionByName(_gathered(near, min_docs))
-
-
-def _gathered(near: DataFrame, min_docs: int) -> DataFrame:
-    """leaf, key of the templates near (leaf, key, n, seed) a seed that gathers min_docs documents."""
-    full = near.groupBy("leaf", "seed").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "seed")
-    return near.join(full, ["leaf", "seed"], "left_semi").select("leaf", "key").distinct()
+def _fields(n_words: Column, similar: float) -> Column:
+    """The number of words that may be variable."""
+    return n_words - F.ceil(F.lit(similar) * n_words - F.lit(1e-9))
 
 
 def line_keys(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, leading: int = LEADING) -> DataFrame:
@@ -123,19 +67,24 @@ def recurring(
 ) -> DataFrame:
     """leaf, key: the hashes of every template that recurs. Leaves of fewer than min_docs lines hold none and are left out first."""
     full = keys.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    lines = docs.select(F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _template))).alias("template"))
+    lines = docs.select("__text", F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _template))).alias("template"))
     lines = lines.where(_words(F.col("template")) >= min_words).where(in_some(full.select(F.col("leaf").alias("h")))(_leaf(F.col("template"), leading)))
-    templates = lines.groupBy("template").agg(F.count("*").alias("n")).withColumn("leaf", _leaf(F.col("template"), leading))
-    seeds = templates.groupBy("leaf").agg(F.sum("n").alias("docs"), F.max_by("template", F.struct("n", "template")).alias("seed")).where(F.col("docs") >= min_docs)
-    near = templates.join(seeds, "leaf").withColumn("near", _agree(F.col("template"), F.col("seed"), similar))
-    near = near.select("leaf", F.xxhash64("template").alias("key"), "template", "n", "near")
-    groups = near.where("near").groupBy("leaf").agg(F.sum("n").alias("of_group"))
-    judged = near.join(groups, "leaf", "left").withColumn("near", F.col("near") & (F.col("of_group") >= min_docs))
-    judged = written(judged.select("leaf", "key", "template", "n", "near"), "line-templates")
-    left = judged.where(~F.col("near"))
-    able = left.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("m")).where((F.col("docs") >= min_docs) & (F.col("m") > 1)).select("leaf")
-    more = further(left.join(able, "leaf", "left_semi").select("leaf", "key", "template", "n"), min_docs, similar)
-    return judged.where((F.col("n") >= min_docs) | F.col("near")).select("leaf", "key").unionByName(more).distinct()
+    pairs = written(lines.distinct(), "line-pairs")
+    templates = pairs.groupBy("template").agg(F.count("*").alias("n"))
+    templates = written(templates.select(_leaf(F.col("template"), leading).alias("leaf"), F.xxhash64("template").alias("key"), "template", "n"), "line-templates")
+    # fields: words beyond the leading ones that few texts have at their place
+    words = templates.select("leaf", "key", "n", F.posexplode(F.split("template", " ")).alias("at", "word")).where((F.col("at") >= leading) & (F.col("word") != "<*>"))
+    words = words.select("leaf", "key", "n", "at", F.xxhash64("word").alias("word"))
+    rare = words.groupBy("leaf", "at", "word").agg(F.sum("n").alias("docs")).where(F.col("docs") < min_docs).select("leaf", "at", "word")
+    fields = words.join(rare.hint("merge"), ["leaf", "at", "word"]).groupBy("leaf", "key").agg(F.collect_set("at").alias("fields"))
+    split = F.split("template", " ")
+    few = F.size("fields") <= _fields(F.size(split), similar)
+    masked = F.array_join(F.transform(split, lambda w, i: F.when(F.array_contains("fields", i), F.lit("<*>")).otherwise(w)), " ")
+    general = templates.join(fields.hint("merge"), ["leaf", "key"], "left").select("leaf", "key", F.xxhash64(F.when(few, masked).otherwise(F.col("template"))).alias("general"))
+    general = written(general, "line-general")
+    texts = pairs.select(F.xxhash64("template").alias("key"), "__text").join(general.select("key", "general").hint("merge"), "key")
+    often = texts.select("general", "__text").distinct().groupBy("general").count().where(F.col("count") >= min_docs).select("general")
+    return general.join(often.hint("merge"), "general", "left_semi").select("leaf", "key")
 
 
 def drop_recurring(
@@ -146,61 +95,63 @@ def drop_recurring(
     min_words: int = MIN_WORDS,
     leading: int = LEADING,
     similar: float = SIMILAR,
-    max_share: float = MAX_SHARE,
-    names: tuple[str, str] = ("n_lines", "n_dropped"),
+    names: tuple[str, str, str] = NAMES,
 ) -> DataFrame:
-    """docs with the recurring lines taken out of text, and their numbers (long) under names; columns of these names are replaced."""
+    """docs with the recurring lines taken out of text; names: the numbers of lines and of dropped ones (long), and the share of the text's characters that these held (double). Columns of these names are replaced."""
     docs = docs.drop(*names)
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__text": F.xxhash64(text)})
     keys = written(line_keys(keyed, text, min_words, leading), "line-keys")
-    found = recurring(docs, keys, text, min_docs, min_words, leading, similar)
+    found = recurring(keyed, keys, text, min_docs, min_words, leading, similar)
     hits = keys.join(found, ["leaf", "key"], "left_semi")
     drops = hits.groupBy("__id", "__text").agg(F.collect_set("pos").alias("__drop"))
     out = keyed.join(drops, ["__id", "__text"], "left")
     all_lines = F.split(text, "\n")
-    chars = F.aggregate(F.col("__drop"), F.lit(0), lambda a, p: a + F.length(F.get(all_lines, p)))
-    drop = F.when(chars <= max_share * F.length(text), F.col("__drop"))
-    out = out.withColumn("__drop", F.coalesce(drop, F.array().cast("array<int>")))
+    out = out.withColumn("__drop", F.coalesce("__drop", F.array().cast("array<int>")))
+    chars = F.aggregate(F.transform(all_lines, lambda x, i: F.when(F.array_contains("__drop", i), F.length(x)).otherwise(0)), F.lit(0), lambda a, n: a + n)
     kept = F.array_join(F.filter(F.transform(all_lines, lambda x, i: F.when(~F.array_contains("__drop", i), x)), lambda x: x.isNotNull()), "\n")
     return out.withColumns(
         {
             text: F.when(F.size("__drop") > 0, kept).otherwise(F.col(text)),
             names[0]: F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("long"),
             names[1]: F.size("__drop").cast("long"),
+            names[2]: F.when(F.size("__drop") > 0, chars / F.length(text)).otherwise(0.0),
         }
     ).select(*docs.columns, *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("share", F.round("share", 6))
 
 
 def oracle(docs: str = "documents") -> str:
     """The same over a view, as SQL that keeps whole strings where the plan above keeps hashes."""
     return rf"""
 with lines as (
-  select doc_id, pos, line, regexp_replace(trim(regexp_replace(line, '[ \t\r]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') as template
-  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from {docs} where text is not null)
+  select doc_id, text, pos, line, regexp_replace(trim(regexp_replace(line, '[ \t\r]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') as template
+  from (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from {docs} where text is not null)
 ), worded as (
   select *, string_split(template, ' ') as words, array_to_string(list_slice(string_split(template, ' '), 1, {LEADING}), ' ') as lead from lines
 ), templates as (
-  select template, words, len(words) as n_words, lead, count(distinct doc_id) as n from worded where len(words) >= {MIN_WORDS} group by all
-), seeds as (
-  select n_words, lead, sum(n) as docs, arg_max(words, (n, encode(template))) as seed from templates group by all having sum(n) >= {MIN_DOCS}
-), near as (
-  select t.*, len(list_filter(list_zip(t.words, s.seed), lambda z: z[1] = z[2])) >= ceil({SIMILAR} * t.n_words) as near
-  from templates t join seeds s on t.n_words = s.n_words and t.lead = s.lead
-), groups as (select n_words, lead, sum(n) as of_group from near where near group by all
-), found as (
-  select template from near join groups using (n_words, lead) where n >= {MIN_DOCS} or (near and of_group >= {MIN_DOCS})
+  select template, len(words) as n_words, lead, count(distinct text) as n from worded where len(words) >= {MIN_WORDS} group by all
+), places as (
+  select template, n_words, lead, n, unnest(string_split(template, ' ')) as w, generate_subscripts(string_split(template, ' '), 1) as place from templates
+), counts as (select n_words, lead, place, w, sum(n) as docs from places group by all
+), general as (
+  select template, string_agg(case when field then '<*>' else w end, ' ' order by place) as masked, count(*) filter (field) as fields, any_value(n_words) as n_words
+  from (select p.*, p.place > {LEADING} and p.w <> '<*>' and c.docs < {MIN_DOCS} as field from places p join counts c using (n_words, lead, place, w)) group by template
+), named as (
+  select template, case when fields <= n_words - ceil({SIMILAR} * n_words - 1e-9) then masked else template end as general from general
+), often as (
+  select general from named join worded using (template) group by general having count(distinct text) >= {MIN_DOCS}
+), found as (select template from named join often using (general)
 ), marked as (
   select doc_id, pos, line, len(words) >= {MIN_WORDS} and template in (select template from found) as hit from worded
 ), per as (
-  select doc_id, sum(case when hit then length(line) else 0 end) as hit_chars, sum(length(line)) + count(*) - 1 as all_chars, count(*) as n_lines,
+  select doc_id, sum(case when hit then length(line) else 0 end) as hit_chars, count(*) as n_lines,
     sum(case when hit then 1 else 0 end) as hits, string_agg(line, chr(10) order by pos) filter (not hit) as kept from marked group by doc_id
 )
-select d.doc_id, case when hits > 0 and hit_chars <= {MAX_SHARE} * all_chars then coalesce(kept, '') else d.text end as text,
-  coalesce(n_lines, 0)::bigint as n_lines, case when hit_chars <= {MAX_SHARE} * all_chars then hits else 0 end::bigint as n_dropped
+select d.doc_id, case when hits > 0 then coalesce(kept, '') else d.text end as text, coalesce(n_lines, 0)::bigint as n_lines, coalesce(hits, 0)::bigint as n_dropped,
+  round(case when hits > 0 then hit_chars::double / length(d.text) else 0.0::double end, 6) as share
 from {docs} d left join per p on d.doc_id = p.doc_id
 """
 

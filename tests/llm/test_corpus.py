@@ -101,7 +101,11 @@ def test_variable_fields_and_whole_copies(spark):
     rows += [(100 + k, "this whole text is a copy\nof another text of two lines") for k in range(7)]
     got = {r.doc_id: r for r in line_dedup.drop_recurring(odd(spark, rows)).collect()}
     assert all(got[k].n_dropped == 1 and "posted" not in got[k].text for k in range(6))
-    assert all(got[100 + k].n_dropped == 0 for k in range(7))
+    assert all(got[100 + k].n_dropped == 0 for k in range(7))  # copies of one text are one text
+    alike = [(k, f"this whole text is a copy\nof another text of two lines\n{k}") for k in range(7)]
+    assert {(r.n_dropped, r.text, round(r.share, 3)) for r in line_dedup.drop_recurring(odd(spark, alike)).collect()} == {(2, r.text, 0.946) for r in line_dedup.drop_recurring(odd(spark, alike)).collect()}
+    twice = [(1, "posted by ann in the old forum"), (1, "other words stand here"), (None, "posted by bea in the old forum"), *((9, f"posted by {x} in the old forum") for x in ("cat", "dee", "eve"))]
+    assert sorted((str(r.doc_id), r.text) for r in line_dedup.drop_recurring(odd(spark, twice)).collect()) == [("1", ""), ("1", "other words stand here"), ("9", ""), ("9", ""), ("9", ""), ("None", "")]
     edge = {r.doc_id: r for r in line_dedup.drop_recurring(odd(spark)).collect()}
     assert edge[1].text is None and edge[1].n_lines == 0 and edge[2].text == "" and edge[2].n_lines == 1
     assert line_dedup.drop_recurring(odd(spark, [])).count() == 0
