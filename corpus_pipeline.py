@@ -17,6 +17,8 @@ from fusemill.llm.common import table, written
 
 #: Documents whose language is less certain are rejected.
 LEAST_SCORE = 0.3
+#: A text of which recurring lines hold a larger share of the characters counts as a copy of a document.
+COPY_SHARE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +28,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes recurring lines out of the texts."""
-    out = line_dedup.drop_recurring(docs, names=("__lines", "__dropped"))
+    """Takes recurring lines out of the texts, but for texts of which they are the larger part: these are left to the next stage as copies of a whole document."""
+    out = line_dedup.drop_recurring(docs.withColumn("__whole", F.col("text")), names=("__lines", "__dropped", "__share"))
+    copy = F.col("__share") > COPY_SHARE
+    out = out.withColumns({"text": F.when(copy, F.col("__whole")).otherwise(F.col("text")), "__dropped": F.when(copy, 0).otherwise(F.col("__dropped"))})
     if "n_chars" in docs.columns:
         changed = F.col("__dropped") > 0
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
