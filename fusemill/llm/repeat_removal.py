@@ -50,7 +50,7 @@ from fusemill.llm.common import discard, in_some, ship, table, written
 LENGTH = 50
 MAP_BITS = 27
 #: Bits of the maps that Spark's expressions read.
-RANK_BITS, TEXT_BITS = 26, 22
+RANK_BITS, TEXT_BITS = 24, 22
 #: Text bytes for a bucket of grams.
 BUCKET_BYTES = 3 << 20
 #: Bytes and documents that a task looks at together.
@@ -345,7 +345,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
     grams = repeated_grams(once, length, _bits(total / bucket_bytes, map_bits - 3), map_bits)
     rows = written(positions(once, grams, length), "repeat-positions", compression="zstd")
     covers = covered_windows(rows, length).groupBy("text", "first").agg(F.collect_list(F.struct("at", "mask")).alias("covers"))
-    covers = written(covers, "repeat-covers")
+    # rows that the map of texts let through beside a text's first one have none
+    covers = written(covers.join(texts.select(F.xxhash64("sha").alias("text"), "first"), ["text", "first"], "left_semi"), "repeat-covers")
     discard(rows)
     keys = covers.select("text", F.col("first").alias("doc_id"))
     base = own.select("doc_id", "sha", "n", F.sha2("data", 256).alias("whole"), *(["data"] if with_kept else []), F.xxhash64("sha").alias("text"))
