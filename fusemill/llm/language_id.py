@@ -8,8 +8,9 @@ text's language is the one with the largest mean over its words, and that mean
 is its score.
 
 The model is fitted on a bounded sample: at most SAMPLE_DOCS labelled documents
-of each language, drawn by hash, and at most SAMPLE_WORDS neighbouring words of
-each. Training chains splice segments of different documents, so switches occur
+of each language, drawn by hash, with their whole texts. A run of more than
+LONGEST letters, as in scripts without spaces, is several words in a row.
+Training chains splice segments of different documents, so switches occur
 in them. Lexicon features in training come from the other half of the sample.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0,
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from fusemill.llm.common import CACHE, hash64, ship, table, texts_of
 from fusemill.llm.sentencepiece_codec import schema
 
-SAMPLE_DOCS = 384
-SAMPLE_WORDS = 160
+SAMPLE_DOCS = 128
+#: Letters of a word at most; longer runs are cut into words, each labelled in the chain.
+LONGEST = 40
 FEATURES = 1 << 16
 #: Documents whose lines are looked at together.
 SLICE = 2500
@@ -42,6 +44,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 def words_of(line: str) -> list[str]:
     """Runs of letters; signs such as superscript digits may stand in a run but make none alone."""
     found = _WORD.findall(line)
+    if found and max(map(len, found)) > LONGEST:
+        found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
     return found if line.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
@@ -49,9 +53,8 @@ def features(word: str) -> list[int]:
     """Hashed affixes (1 to 4 letters) and inner n-grams (2 to 4)."""
     n = len(word)
     found = [f"^{word[:k]}" for k in (1, 2, 3, 4) if k <= n] + [f"{word[-k:]}$" for k in (1, 2, 3, 4) if k <= n]
-    short = word if n <= 40 else word[:20] + word[-20:]
     for k in (2, 3, 4):
-        found += [short[i : i + k] for i in range(len(short) - k + 1)]
+        found += [word[i : i + k] for i in range(n - k + 1)]
     return [hash64(x) & (FEATURES - 1) for x in found]
 
 
@@ -231,7 +234,7 @@ class Tagger(dict):
         return out / np.maximum(out.sum(1, keepdims=True), 1e-300)
 
 
-def sample_of(docs: DataFrame, docs_of_each: int = SAMPLE_DOCS, words_of_each: int = SAMPLE_WORDS) -> list[tuple[str, list[str]]]:
+def sample_of(docs: DataFrame, docs_of_each: int = SAMPLE_DOCS) -> list[tuple[str, list[str]]]:
     """Language and words of at most docs_of_each documents of a language: in each of as many hash buckets the least hash."""
     ship(docs.sparkSession)
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("h"))
@@ -239,11 +242,7 @@ def sample_of(docs: DataFrame, docs_of_each: int = SAMPLE_DOCS, words_of_each: i
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist()):
-                own = words_of(text.lower())
-                at = h % max(1, len(own) - words_of_each + 1)
-                found.append(" ".join(own[at : at + words_of_each]))
+            found = [" ".join(words_of(text.lower())) for text in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["lang"], batch["h"], pa.array(found, pa.string())], ["lang", "h", "words"])
 
     # The picked ids are at most docs_of_each for a language, so they may be broadcast.
