@@ -44,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
         got = sc._jsc.sc().getCheckpointDir()
         where = got.get() if got.isDefined() else None
     if not where:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
