@@ -69,6 +69,16 @@ def report_pivot(metrics: DataFrame, methods: list[str]) -> DataFrame:
     return metrics.where("n_truth > 0").groupBy("class_id").pivot("method", methods).agg(F.first("iou"))
 
 
+def report_methods(metrics: DataFrame, classes: list[int]) -> DataFrame:
+    """The report transposed: method, place (best mean IoU first, then by name), m_iou and a column c<id> for each class; metrics as above."""
+    truth = metrics.where("n_truth > 0")
+    wide = truth.groupBy("method").pivot("class_id", classes).agg(F.first("iou")).withColumnsRenamed({str(c): f"c{c}" for c in classes})
+    means = truth.groupBy("method").agg(F.avg(F.coalesce("iou", F.lit(0.0))).alias("m_iou"))
+    # one row a method
+    place = F.row_number().over(Window.orderBy(F.desc(F.round("m_iou", 9)), "method"))
+    return means.join(wide, "method").withColumn("place", place).select("method", "place", "m_iou", *(f"c{c}" for c in classes))
+
+
 def class_histogram(labels: DataFrame, by: list[str], classes: DataFrame | None = None) -> DataFrame:
     """by, label, n, share; classes (label) without a pixel have zero."""
     n = labels.groupBy(*by, "label").agg(F.count("*").alias("n"))

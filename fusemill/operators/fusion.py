@@ -19,22 +19,28 @@ def voxel_quantize(points: DataFrame, size: float = 0.02) -> DataFrame:
     return rows.join(rows.groupBy(*keys).agg(F.min("vertex_id").alias("rep")), keys).select("scene_id", "vertex_id", "rep")
 
 
-def voxel_downsample(points: DataFrame, size: float) -> DataFrame:
-    """scene_id, vx, vy, vz, x, y, z, n: mean position in each voxel."""
-    return points.withColumns(voxel_columns(size)).groupBy("scene_id", "vx", "vy", "vz").agg(*(F.avg(c).alias(c) for c in XYZ), F.count("*").alias("n"))
+def voxel_downsample(points: DataFrame, size: float, values: tuple[str, ...] = ()) -> DataFrame:
+    """scene_id, vx, vy, vz, x, y, z, values, n: mean position, and mean of values (such as colours), in each voxel."""
+    return points.withColumns(voxel_columns(size)).groupBy("scene_id", "vx", "vy", "vz").agg(*(F.avg(c).alias(c) for c in (*XYZ, *values)), F.count("*").alias("n"))
 
 
-def tsdf_accumulate(rays: DataFrame, voxel: float, trunc: float) -> DataFrame:
-    """scene_id, vx, vy, vz, sdf, weight: mean truncated signed distance of the voxels along each ray near its surface.
+def tsdf_accumulate(rays: DataFrame, voxel: float, trunc: float, values: tuple[str, ...] = ()) -> DataFrame:
+    """scene_id, vx, vy, vz, sdf, values, weight: mean truncated signed distance, and mean of values, of the voxels along each ray near its surface.
 
-    rays: scene_id, camera (ox, oy, oz), surface point x, y, z.
+    rays: scene_id, camera (ox, oy, oz), surface point x, y, z and values. A ray
+    counts once in a voxel, with the distance of the voxel's centre along the ray.
     """
     n = int(trunc / voxel)
     dist = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in XYZ))
-    steps = rays.withColumn("dist", dist).where("dist > 0").select("*", F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("step"))
-    sdf = -F.col("step") * voxel  # positive in front of the surface
-    at = {f"v{c}": F.floor((F.col(c) + (F.col(c) - F.col(f"o{c}")) / F.col("dist") * (F.col("step") * voxel)) / voxel).cast("long") for c in XYZ}
-    return steps.withColumns(at | {"sdf": sdf / trunc}).groupBy("scene_id", "vx", "vy", "vz").agg(F.avg("sdf").alias("sdf"), F.count("*").alias("weight"))
+    away = rays.withColumn("dist", dist).where("dist > 0").withColumns({f"d{c}": (F.col(c) - F.col(f"o{c}")) / F.col("dist") for c in XYZ})
+
+    def cell(step):
+        return F.struct(*(F.floor((F.col(c) + F.col(f"d{c}") * (step * voxel)) / voxel).cast("long").alias(f"v{c}") for c in XYZ))
+
+    near = away.withColumn("v", F.explode(F.array_distinct(F.array(*(cell(k) for k in range(-n, n + 1))))))
+    along = sum(((F.col(f"v.v{c}") + 0.5) * voxel - F.col(f"o{c}")) * F.col(f"d{c}") for c in XYZ)
+    sdf = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("dist") - along) / trunc))  # positive in front of the surface
+    return near.withColumn("sdf", sdf).groupBy("scene_id", "v.vx", "v.vy", "v.vz").agg(F.avg("sdf").alias("sdf"), *(F.avg(c).alias(c) for c in values), F.count("*").alias("weight"))
 
 
 def pose_bounds(poses: DataFrame) -> DataFrame:

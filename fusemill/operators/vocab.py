@@ -145,11 +145,17 @@ def noun(synset: Column) -> Column:
 
 
 def class_prompts(classes: DataFrame, templates: DataFrame, sizes: DataFrame) -> DataFrame:
-    """id, template_no, size, prompt: each class (id, synset, lemmas) in each template ({} is the noun) and size, with other lemmas if there are any."""
-    other = F.slice("lemmas", 2, 1000)
-    text = F.replace("template", F.lit("{}"), F.concat_ws(" ", F.when(F.col("size") != "", F.col("size")), noun(F.col("synset"))))
+    """id, template_no, size, prompt: each class (id, synset, lemmas, and definition if there is one) in each template and size, with other lemmas if there are any.
+
+    In a template, {} is the noun and {definition} the definition, each after the size.
+    """
+    other = F.slice("lemmas", F.lit(2), F.size("lemmas"))
+    sized = lambda c: F.concat_ws(" ", F.when(F.col("size") != "", F.col("size")), c)
+    text = F.replace("template", F.lit("{}"), sized(noun(F.col("synset"))))
+    if "definition" in classes.columns:
+        text = F.replace(text, F.lit("{definition}"), F.col("definition"))
     also = F.when(F.size(other) > 0, F.concat(F.lit(" It can also be called "), F.array_join(other, ", "))).otherwise("")
-    return classes.crossJoin(F.broadcast(templates.crossJoin(sizes))).select("id", "template_no", "size", F.concat(text, also).alias("prompt"))
+    return classes.crossJoin(templates.crossJoin(sizes)).select("id", "template_no", "size", F.concat(text, also).alias("prompt"))
 
 
 def caption(classes: DataFrame) -> DataFrame:

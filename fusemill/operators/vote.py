@@ -53,7 +53,7 @@ def vote(pred: DataFrame, table: DataFrame, keys: list[str] = PIXEL, min_votes:
 
 def exclude_models(pred: DataFrame, variants: DataFrame) -> DataFrame:
     """pred once for each variant (variant, without) but for the model that it leaves out."""
-    return pred.crossJoin(F.broadcast(variants)).where(F.col("without").isNull() | (F.col("model") != F.col("without"))).drop("without")
+    return pred.crossJoin(variants).where(F.col("without").isNull() | (F.col("model") != F.col("without"))).drop("without")
 
 
 def leave_one_out(pred: DataFrame, table: DataFrame, min_votes: int = 2) -> DataFrame:

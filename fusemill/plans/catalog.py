@@ -81,11 +81,10 @@ _POSE = "list_value(c,-s,0,tx, s,c,0,ty, 0,0,1,tz, 0,0,0,1)"
 @query(f"select frame_id, k - 1 pos, round(m[k], 6) v from (select frame_id, {_POSE} m from fx_pose) cross join range(1,17) t(k)")
 def s03_read_matrix_text(i):
     path = files.scratch(i.spark, "matrix")
-    text = F.array_join(F.transform("pose", lambda x: x.cast("string")), " ")
-    # one line a frame here, one file a frame in a scan; both readers split on white space
-    _poses(i).select(F.concat_ws("\t", F.col("frame_id").cast("string"), text)).write.text(path)
-    rows = i.spark.read.text(path).select(F.split_part("value", F.lit("\t"), F.lit(1)).cast("int").alias("frame_id"), files._numbers(F.split_part("value", F.lit("\t"), F.lit(2))).alias("m"))
-    return rows.select("frame_id", F.posexplode("m").alias("pos", "v")).select("frame_id", "pos", *r6("v"))
+    text = F.array_join(F.transform("pose", lambda x, k: F.concat(F.when((k > 0) & (k % 4 == 0), "\n").otherwise(""), x.cast("string"))), " ")
+    _poses(i).select("frame_id", text.alias("value")).write.partitionBy("frame_id").text(path)
+    rows = files.read_matrix_text(i.spark, path, r"frame_id=(\d+)/")
+    return rows.select("frame_id", F.posexplode("matrix").alias("pos", "v")).select("frame_id", "pos", *r6("v"))
 
 
 @query("select scene_id, us, rx, ry, rz, tx, ty, tz from fx_traj")
@@ -101,16 +100,17 @@ def s06_read_pinhole_intrinsics(i):
     path = files.scratch(i.spark, "pincam")
     w = 640 + F.col("frame_id") % 3
     i.pose.select("frame_id", w.alias("w"), F.lit(480), F.lit(8.0), F.lit(8.0), (w / 2).alias("a"), F.lit(240.0)).write.partitionBy("frame_id").csv(path, sep=" ")
-    return i.spark.read.csv(path, sep=" ", schema=files.PINCAM + ", frame_id int").select("frame_id", "w", "h", "fx", "fy", F.col("hw").alias("cx"), F.col("hh").alias("cy"))
+    return files.read_pinhole_intrinsics(i.spark, path).select("frame_id", "w", "h", "fx", "fy", "cx", "cy")
 
 
-@query(f"select frame_id, round(m[4], 6) tx, round(m[8], 6) ty, 9::bigint n from (select frame_id, {_POSE} m from fx_pose)")
+@query(f"select frame_id, 'pose' part, k - 1 pos, round(m[k], 6)+0.0 v from (select frame_id, {_POSE} m from fx_pose) cross join range(1,17) t(k) union all select frame_id, 'intrinsics', k - 1, ([8e0,0,8,0,8,6,0,0,1])[k] from fx_pose cross join range(1,10) t(k)")
 def s07_read_frame_json(i):
     path = files.scratch(i.spark, "json")
     k = F.array(*(F.lit(float(v)) for v in (8, 0, 8, 0, 8, 6, 0, 0, 1)))
-    _poses(i).select("frame_id", F.col("pose").alias("cameraPoseARFrame"), k.alias("intrinsics")).write.json(path)
-    rows = i.spark.read.schema(files.FRAME_JSON + ", frame_id int").json(path)
-    return rows.select("frame_id", F.col("cameraPoseARFrame")[3].alias("tx"), F.col("cameraPoseARFrame")[7].alias("ty"), F.size("intrinsics").cast("long").alias("n")).select("frame_id", *r6("tx", "ty"), "n")
+    _poses(i).select("frame_id", F.col("pose").alias("cameraPoseARFrame"), k.alias("intrinsics")).write.partitionBy("frame_id").json(path)
+    rows = files.read_frame_json(i.spark, path, r"frame_id=(\d+)/")
+    long = lambda c: rows.select("frame_id", F.lit(c).alias("part"), F.posexplode(c).alias("pos", "v"))
+    return long("pose").unionByName(long("intrinsics")).select("frame_id", "part", "pos", *r6("v"))
 
 
 _VOCAB = "row_idx int, id int, category string, cnt int, wnsynsetkey string, wn199 string, wn_merged string, nyu40id string, ade20k string, color string"
@@ -154,24 +154,37 @@ def s12_write_manifest_json(i):
     return i.spark.read.schema("scene_id int, us long, name string").json(path)
 
 
-@query("select scene_id, count(*) n_frames, round(2.0/(greatest(max(tx)-min(tx), max(ty)-min(ty), max(tz)-min(tz)) + 3.0), 6) scale from fx_pose group by all")
+_FOLDERS = {"rgb": "rgb", "label": "label", "mono_depth": "mono_depth", "sensor_depth": "depth"}
+_META_CLASSES = f"(select scene_id, label, coalesce(n,0)/sum(coalesce(n,0)) over (partition by scene_id) as share from (select distinct scene_id from fx_gt) cross join (select distinct id as label from {_ids('wn_merged')} union select 0) left join (select scene_id,label,count(*) n from fx_gt group by all) using (scene_id,label))"
+
+
+@query(f"""select scene_id, 'frame' part, frame_id as key, round(tx,6) v, 'rgb/' || lpad(frame_id::varchar,6,'0') || '.jpg depth/' || lpad(frame_id::varchar,6,'0') || '.png 8.0' as what from fx_pose
+  union all select scene_id, 'class', label, round(share,6), coalesce(c.name,'unknown') || ' ' || coalesce(c.color,'0-0-0') from {_META_CLASSES} left join (select id as label, arg_min(category,row_idx) as name, arg_min(color,row_idx) color from {_ids('wn_merged')} group by id) c using (label)
+  union all select scene_id, 'scene', 16*100+12, round(1/scale,6), round(center_x,4)::varchar from (select scene_id, (min(tx)+max(tx))/2 center_x, 2e0/(greatest(max(tx)-min(tx),max(ty)-min(ty),max(tz)-min(tz))+3e0) scale from fx_pose group by 1)""")
 def s13_training_meta(i):
-    meta = files.training_meta(_poses(i), fusion.pose_bounds(i.pose))
-    shape = "struct<scale:double,frames:array<struct<frame_id:int,pose:array<double>>>>"
+    classes = vocab.class_list(i.vocab, "wn_merged").withColumn("color", vocab.color_of(F.col("color")))
+    shares = evaluate.class_histogram(i.gt, ["scene_id"], classes.select(F.col("id").alias("label")))
+    meta = files.training_meta(_poses(i), fusion.pose_bounds(i.pose), classes, shares, CAMERA, _FOLDERS)
+    frame = "struct<frame_id:int,camtoworld:array<double>,intrinsics:array<double>,rgb_path:string,sensor_depth_path:string>"
+    shape = f"struct<width:int,height:int,scale:double,worldtogt:array<double>,semantic_classes:array<struct<id:int,name:string,color:array<int>,share:double>>,frames:array<{frame}>>"
     rows = meta.withColumn("m", F.from_json("meta", shape))
-    return rows.select("scene_id", F.size("m.frames").cast("long").alias("n_frames"), F.round("m.scale", 6).alias("scale"))
+    f = rows.select("scene_id", F.explode("m.frames").alias("f")).select(
+        "scene_id", F.lit("frame").alias("part"), F.col("f.frame_id").alias("key"), F.col("f.camtoworld")[3].alias("v"), F.concat_ws(" ", "f.rgb_path", "f.sensor_depth_path", F.col("f.intrinsics")[4].cast("string")).alias("what")
+    )
+    c = rows.select("scene_id", F.explode("m.semantic_classes").alias("c")).select(
+        "scene_id", F.lit("class").alias("part"), F.col("c.id").alias("key"), F.col("c.share").alias("v"), F.concat_ws(" ", "c.name", F.array_join(F.transform("c.color", lambda x: x.cast("string")), "-")).alias("what")
+    )
+    s = rows.select("scene_id", F.lit("scene").alias("part"), (F.col("m.width") * 100 + F.col("m.height")).alias("key"), F.col("m.worldtogt")[5].alias("v"), F.round(F.col("m.worldtogt")[3], 4).cast("string").alias("what"))
+    return f.unionByName(c).unionByName(s).select("scene_id", "part", "key", *r6("v"), "what")
 
 
 def _counts(i: Inputs, space: str, to: str = "wn_merged", by: list[str] = [], pred: DataFrame | None = None) -> DataFrame:
     own = i.pred.where(F.col("label_space") == space) if pred is None else pred
-    key = "model_no" if "model_no" in own.columns and not by else None
-    own = own.where("model_no in (0, 2, 3, 5)") if key else own
     return evaluate.unmatched_confmat(own.select(*PIXEL, "label"), i.gt, PIXEL, vocab.space_ids(i.vocab, space), vocab.space_ids(i.vocab, to), by)
 
 
 def _unmatched(space: str, to: str = "wn_merged", keys: str = "") -> str:
-    model = {"ade20k": 0, "nyu40id": 2, "wn199": 3, "id": 5}[space]
-    return f"""(select {keys} pi.id pred_id, li.id label_id, count(*) n from (select * from fx_pred where model_no={model}) p join fx_gt g using (scene_id,frame_id,px,py)
+    return f"""(select {keys} pi.id pred_id, li.id label_id, count(*) n from (select * from fx_pred where label_space='{space}') p join fx_gt g using (scene_id,frame_id,px,py)
       left join (select distinct id from {_ids(space)}) pi on pi.id = p.label left join (select distinct id from {_ids(to)}) li on li.id = g.label group by all)"""
 
 
@@ -318,11 +331,13 @@ def v17_shift_ids(i):
     return i.pred.where("model_no in (2, 3)").groupBy("label").agg(F.count("*").alias("n")).select("label", vocab.shift_nyu(c).alias("nyu"), vocab.shift_instance(c).alias("inst"), "n")
 
 
-@query("""select id, tno template_no, size, replace(t, '{}', case when size<>'' then size || ' ' else '' end || replace(split_part(wnsynsetkey,'.',1),'_',' ')) || ' It can also be called ' || category || ', ' || color prompt
-  from fx_vocab cross join (values (0,'a photo of a {}.'),(1,'there is a {} in the scene.')) a(tno,t) cross join (values (''),('small'),('large')) b(size) where wnsynsetkey is not null""")
+@query("""select id, tno template_no, size, replace(replace(t, '{}', case when size<>'' then size || ' ' else '' end || replace(split_part(wnsynsetkey,'.',1),'_',' ')), '{definition}', 'a thing of size ' || cnt) || ' It can also be called ' || category || ', ' || color prompt
+  from fx_vocab cross join (values (0,'a photo of a {}.'),(1,'there is a {} in the scene.'),(2,'a {}, that is {definition}.')) a(tno,t) cross join (values (''),('small'),('large')) b(size) where wnsynsetkey is not null""")
 def v18_class_prompts(i):
-    classes = i.vocab.where("wnsynsetkey is not null").select("id", F.col("wnsynsetkey").alias("synset"), F.array("wnsynsetkey", "category", "color").alias("lemmas"))
-    templates = i.spark.createDataFrame([(0, "a photo of a {}."), (1, "there is a {} in the scene.")], "template_no int, template string")
+    classes = i.vocab.where("wnsynsetkey is not null").select(
+        "id", F.col("wnsynsetkey").alias("synset"), F.array("wnsynsetkey", "category", "color").alias("lemmas"), F.concat(F.lit("a thing of size "), F.col("cnt").cast("string")).alias("definition")
+    )
+    templates = i.spark.createDataFrame([(0, "a photo of a {}."), (1, "there is a {} in the scene."), (2, "a {}, that is {definition}.")], "template_no int, template string")
     return vocab.class_prompts(classes, templates, i.spark.createDataFrame([("",), ("small",), ("large",)], "size string"))
 
 
@@ -555,6 +570,8 @@ def j14_semi_anti(i):
 
 # --- aggregations -------------------------------------------------------------------------------------------------
 
+_RGB = {"r": 37, "g": 101, "b": 197}
+_COLORED = f"(select *, {', '.join(f'vertex_id*{m}%256 {c}' for c, m in _RGB.items())} from fx_point)"
 _DOMAIN = "case label_space when 'ade20k' then label between 0 and 149 when 'nyu40id' then label between 1 and 40 when 'wn199' then label between 1 and 188 else label>=0 end"
 _TABLE = " union all ".join(f"select '{s}' label_space, l, r from {_pairs(s, 'wn_merged')}" for s in SPACES)
 
@@ -569,6 +586,10 @@ def _vote_table(i: Inputs) -> DataFrame:
     return vote.vote_table(i.vocab, SPACES, "wn_merged")
 
 
+def _colored(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: (F.col("vertex_id") * m % 256).cast("int") for c, m in _RGB.items()})
+
+
 def _voted(i: Inputs) -> DataFrame:
     return vote.vote(i.pred, _vote_table(i))
 
@@ -705,17 +726,19 @@ def a16_voxel_quantize(i):
     return fusion.voxel_quantize(i.point.withColumns({c: F.col(c) + 1e-7 for c in "xyz"}), 0.1)
 
 
-@query("select scene_id, floor((x+1e-7)/0.25)::bigint vx, floor((y+1e-7)/0.25)::bigint vy, floor((z+1e-7)/0.25)::bigint vz, round(avg(x),5) x, round(avg(y),5) y, round(avg(z),5) z, count(*) n from fx_point group by all")
+@query(f"select scene_id, floor((x+1e-7)/0.25)::bigint vx, floor((y+1e-7)/0.25)::bigint vy, floor((z+1e-7)/0.25)::bigint vz, round(avg(x),5) x, round(avg(y),5) y, round(avg(z),5) z, round(avg(r),5) r, round(avg(g),5) g, round(avg(b),5) b, count(*) n from {_COLORED} group by all")
 def a17_voxel_downsample(i):
-    out = fusion.voxel_downsample(i.point.withColumns({c: F.col(c) + 1e-7 for c in "xyz"}), 0.25)
-    return out.select("scene_id", "vx", "vy", "vz", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in "xyz"), "n")
+    out = fusion.voxel_downsample(_colored(i.point.withColumns({c: F.col(c) + 1e-7 for c in "xyz"})), 0.25, ("r", "g", "b"))
+    return out.select("scene_id", "vx", "vy", "vz", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in "xyzrgb"), "n")
 
 
-@query("""select scene_id, vx, vy, vz, round(avg(sdf),6) sdf, count(*) weight from (select scene_id, -st*0.05e0/0.1e0 sdf, floor((x+1e-7+(x+1e-7)/d*(st*0.05e0))/0.05e0)::bigint vx, floor((y+1e-7+(y+1e-7)/d*(st*0.05e0))/0.05e0)::bigint vy, floor((z+1e-7+(z+1e-7)/d*(st*0.05e0))/0.05e0)::bigint vz
-  from (select *, sqrt((x+1e-7)*(x+1e-7)+(y+1e-7)*(y+1e-7)+(z+1e-7)*(z+1e-7)) d from fx_point) cross join range(-2,3) t(st)) group by all""")
+@query(f"""select scene_id, vx, vy, vz, round(avg(greatest(-1e0,least(1e0,(d-((vx+0.5e0)*0.05e0*dx+(vy+0.5e0)*0.05e0*dy+(vz+0.5e0)*0.05e0*dz))/0.1e0))),5)+0.0 sdf, round(avg(r),5) r, round(avg(g),5) g, round(avg(b),5) b, count(*) weight from
+  (select distinct scene_id, vertex_id, d, dx, dy, dz, r, g, b, floor((x+dx*(st*0.05e0))/0.05e0)::bigint vx, floor((y+dy*(st*0.05e0))/0.05e0)::bigint vy, floor((z+dz*(st*0.05e0))/0.05e0)::bigint vz from
+   (select *, x/d dx, y/d dy, z/d dz from (select *, sqrt(x*x+y*y+z*z) d from (select scene_id, vertex_id, r, g, b, x+1e-7 x, y+1e-7 y, z+1e-7 z from {_COLORED}))) cross join range(-2,3) t(st)) group by all""")
 def a18_tsdf_accumulate(i):
-    rays = i.point.withColumns({c: F.col(c) + 1e-7 for c in "xyz"} | {f"o{c}": F.lit(0.0) for c in "xyz"})
-    return fusion.tsdf_accumulate(rays, 0.05, 0.1).select("scene_id", "vx", "vy", "vz", *r6("sdf"), "weight")
+    rays = _colored(i.point.withColumns({c: F.col(c) + 1e-7 for c in "xyz"} | {f"o{c}": F.lit(0.0) for c in "xyz"}))
+    out = fusion.tsdf_accumulate(rays, 0.05, 0.1, ("r", "g", "b"))
+    return out.select("scene_id", "vx", "vy", "vz", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("sdf", "r", "g", "b")), "weight")
 
 
 @query("select scene_id,frame_id,px,py, round((mono-min(mono) over w)/(max(mono) over w-min(mono) over w+1e-8),6) scaled from fx_depth window w as (partition by scene_id,frame_id)")
@@ -725,11 +748,25 @@ def a19_minmax_per_frame(i):
 
 @query(f"""select class_id, {', '.join(f"round(max(case when m='{s}' then iou end),6) {s}" for s in SPACES)} from ({' union all '.join(f"select '{s}' m, class_id, n_truth, iou from {_class_sql(_matched_sql(s))}" for s in SPACES)}) where n_truth>0 group by 1""")
 def a20_report_pivot(i):
+    return evaluate.report_pivot(_reports(i), SPACES).select("class_id", *(F.round(s, 6).alias(s) for s in SPACES))
+
+
+def _reports(i: Inputs) -> DataFrame:
     parts = None
     for s in SPACES:
         m = evaluate.class_metrics(evaluate.match_confmat(_counts(i, s), vocab.space_pairs(i.vocab, s, "wn_merged"))).withColumn("method", F.lit(s))
         parts = m if parts is None else parts.unionByName(m)
-    return evaluate.report_pivot(parts, SPACES).select("class_id", *(F.round(s, 6).alias(s) for s in SPACES))
+    return parts
+
+
+_REPORTED = [1, 3, 5, 7, 9]
+_REPORTS = " union all ".join(f"select '{s}' m, class_id, n_truth, iou from {_class_sql(_matched_sql(s))}" for s in SPACES)
+
+
+@query(f"""select m as method, cast(row_number() over (order by round(avg(coalesce(iou,0)),9) desc, m) as int) place, round(avg(coalesce(iou,0)),6) m_iou, {', '.join(f"round(max(case when class_id={c} then iou end),6) c{c}" for c in _REPORTED)} from ({_REPORTS}) where n_truth>0 group by m""")
+def a20_report_methods(i):
+    out = evaluate.report_methods(_reports(i), _REPORTED)
+    return out.select("method", "place", *(F.round(c, 6).alias(c) for c in ("m_iou", *(f"c{c}" for c in _REPORTED))))
 
 
 _VARIANT = "(select v.variant, p.* from fx_pred p cross join (select distinct model variant from fx_model union all select 'all') v where p.model<>v.variant)"
@@ -740,15 +777,29 @@ def a21_leave_one_out(i):
     return vote.leave_one_out(i.pred, _vote_table(i)).groupBy("variant", "label").agg(F.count("*").alias("n"), F.sum("n_votes").alias("votes"))
 
 
+_IDS = f"(select distinct id from {_ids('wn_merged')})"
+_VOTED_COUNTS = f"(select variant, a.id pred_id, b.id label_id, count(*) n from {_vote_sql(_VARIANT, 'variant,')} v join fx_gt g using (scene_id,frame_id,px,py) left join {_IDS} a on a.id=v.label left join {_IDS} b on b.id=g.label group by all)"
+_VOTED_MATCHED = f"(select variant, pred_id, label_id, n from {_VOTED_COUNTS} where label_id is not null)"
+
+
+@query(f"select variant, m_iou, m_acc, t_acc from {_metric_sql(_VOTED_MATCHED, 'variant, ')}")
+def a21_leave_one_out_metrics(i):
+    ids = vocab.space_ids(i.vocab, "wn_merged")
+    counts = evaluate.unmatched_confmat(vote.leave_one_out(i.pred, _vote_table(i)).select("variant", *PIXEL, "label"), i.gt, PIXEL, ids, ids, ["variant"])
+    matched = evaluate.match_confmat(counts, ids.select(F.col("id").alias("l"), F.col("id").alias("r")), by=["variant"])
+    return evaluate.segmentation_metrics(matched, ["variant"]).select("variant", *r6("m_iou", "m_acc", "t_acc"))
+
+
 @query("""with u as (select label, vec_id, list_transform(embedding, lambda x: x::double) e from embeddings), l as (select label, unnest(e)/sqrt(list_sum(list_transform(e, lambda x: x*x))) v, generate_subscripts(e,1)-1 pos from u),
   m as (select label, pos, avg(v) m from l group by all) select label, pos::int pos, round(m/sqrt(sum(m*m) over (partition by label)),6)+0.0 as value from m""")
 def a22_class_embedding(i):
     return fusion.class_embedding(i.embeddings).select("label", "pos", *r6("value"))
 
 
-@query(f"select scene_id,frame_id,px,py,max(vertex_id) vertex_id from {_LOOK} where abs(z-depth_m)<=0.1 group by all")
+@query(f"select scene_id,frame_id,px,py,vertex_id,r,g,b from (select scene_id,frame_id,px,py,max(vertex_id) vertex_id from {_LOOK} where abs(z-depth_m)<=0.1 group by all) join (select scene_id,vertex_id,r,g,b from {_COLORED}) using (scene_id,vertex_id)")
 def a23_splat_points(i):
-    return lift.splat_points(_looked_up(i))
+    colors = _colored(i.point).select("scene_id", "vertex_id", "r", "g", "b")
+    return lift.splat_points(_looked_up(i), colors).select(*PIXEL, "vertex_id", "r", "g", "b")
 
 
 # --- windows, ranking ---------------------------------------------------------------------------------------------
@@ -806,7 +857,10 @@ def w08_zbuffer_fold(i):
     return instances.zbuffer_fold(i.hit, PIXEL)
 
 
-@query()
+@query(f"""with recursive o as (select frame_id, b box_id, list(a) losers from {_BOX_PAIRS.format(t=0.3)} group by 1,2), h as (select x.frame_id, x.box_id, coalesce(o.losers, []) losers, row_number() over (partition by x.frame_id order by x.score desc, x.box_id) n,
+   count(*) over (partition by x.frame_id) m from {_BOXES} x left join o on o.frame_id=x.frame_id and o.box_id=x.box_id),
+  z as (select frame_id, n, m, [box_id] kept from h where n=1 union all select h.frame_id, h.n, h.m, case when list_has_any(z.kept, h.losers) then z.kept else list_append(z.kept, h.box_id) end from z join h on h.frame_id=z.frame_id and h.n=z.n+1)
+  select k.frame_id, k.box_id, b.score from (select frame_id, unnest(kept) box_id from z where n=m) k join {_BOXES} b using (frame_id, box_id)""")
 def w09_nms_boxes(i):
     return boxes.nms_boxes(_boxes(i), 0.3).select("frame_id", "box_id", "score")
 
@@ -917,23 +971,32 @@ def m06_normalize_scene(i):
     return fusion.normalize_scene(i.pose, fusion.pose_bounds(i.pose)).select("scene_id", "frame_id", *r6("tx", "ty", "tz"))
 
 
-@query("select scene_id, us, round(cos(rz),6)+0.0 r0, round(-sin(rz),6)+0.0 r1, round(sin(rz),6)+0.0 r3, 1.0::double r8 from fx_traj")
+_ROTATION = [["c+x*x*(1-c)", "x*y*(1-c)-z*s", "x*z*(1-c)+y*s"], ["y*x*(1-c)+z*s", "c+y*y*(1-c)", "y*z*(1-c)-x*s"], ["z*x*(1-c)-y*s", "z*y*(1-c)+x*s", "c+z*z*(1-c)"]]
+
+
+@query(f"""select scene_id, us, {', '.join(f"round({_ROTATION[k // 3][k % 3]},6)+0.0 r{k}" for k in range(9))} from (select *, rx/a x, ry/a y, rz/a z, cos(a) c, sin(a) s from (select *, sqrt(rx*rx+ry*ry+rz*rz) a from fx_traj))""")
 def m07_rotvec_to_matrix(i):
     out = sync.pose_matrices(i.traj)
-    return out.select("scene_id", "us", *((F.round(F.col("r")[k], 6) + F.lit(0.0)).alias(f"r{k}") for k in (0, 1, 3, 8)))
+    return out.select("scene_id", "us", *((F.round(F.col("r")[k], 6) + F.lit(0.0)).alias(f"r{k}") for k in range(9)))
 
 
-@query(f"""select scene_id, us, round(tx,6)+0.0 tx, round(ty,6)+0.0 ty, round(abs(cos(h)),6)+0.0 qw from (select b.scene_id, b.us, a.tx+w*(c.tx-a.tx) tx, a.ty+w*(c.ty-a.ty) ty,
-   case when cos(a.rz/2-c.rz/2)<0 then a.rz/2+w*(c.rz/2-pi()*sign(c.rz-a.rz)-a.rz/2) else a.rz/2+w*(c.rz/2-a.rz/2) end h from (select *, case when n=p then 0 else (us-p)/(n-p)::double end w from {_BRACKET} where p is not null and n is not null) b
-   join fx_traj a on a.scene_id=b.scene_id and a.us=b.p join fx_traj c on c.scene_id=b.scene_id and c.us=b.n)""")
+_QUATERNION = "(select *, cos(n/2) qw, rx*sin(n/2)/n qx, ry*sin(n/2)/n qy, rz*sin(n/2)/n qz from (select *, sqrt(rx*rx+ry*ry+rz*rz) n from fx_traj))"
+
+
+@query(f"""with q as {_QUATERNION}, b as (select *, case when n=p then 0 else (us-p)/(n-p)::double end w from {_BRACKET} where p is not null and n is not null),
+  d as (select b.scene_id, b.us, w, a.tx+w*(c.tx-a.tx) tx, a.ty+w*(c.ty-a.ty) ty, a.tz+w*(c.tz-a.tz) tz, a.qw aw, a.qx ax, a.qy ay, a.qz az, c.qw cw, c.qx cx, c.qy cy, c.qz cz, a.qw*c.qw+a.qx*c.qx+a.qy*c.qy+a.qz*c.qz dot
+    from b join q a on a.scene_id=b.scene_id and a.us=b.p join q c on c.scene_id=b.scene_id and c.us=b.n),
+  e as (select *, acos(least(1e0,abs(dot))) o, case when dot<0 then -1e0 else 1e0 end g from d),
+  f as (select *, case when sin(o)<1e-9 then 1-w else sin((1-w)*o)/sin(o) end u, g*case when sin(o)<1e-9 then w else sin(w*o)/sin(o) end v from e)
+  select scene_id, us, {', '.join(f'round(t{c},6)+0.0 t{c}' for c in 'xyz')}, {', '.join(f'round(u*a{c}+v*c{c},5)+0.0 q{c}' for c in 'wxyz')} from f""")
 def m08_interpolate_pose(i):
     out = sync.interpolate_pose(sync.bracket_pose(_sensor(i, "click"), i.traj))
-    return out.withColumn("qw", F.abs("qw")).select("scene_id", "us", *r6("tx", "ty", "qw"))
+    return out.select("scene_id", "us", *r6("tx", "ty", "tz"), *((F.round(f"q{c}", 5) + F.lit(0.0)).alias(f"q{c}") for c in "wxyz"))
 
 
-@query(f"select frame_id, a, b, iou from (select frame_id, a, b, round(iou,6) iou from {_BOX_PAIRS.format(t=0.0)}) where iou>0.5")
+@query(f"select frame_id, a, b, round(iou,6) iou, round(1-iou,6) distance from {_BOX_PAIRS.format(t=0.1)}")
 def m09_box_iou(i):
-    return boxes.box_pairs(_boxes(i), 0.0).select("frame_id", "a", "b", *r6("iou")).where("iou > 0.5")
+    return boxes.box_pairs(_boxes(i), 0.1).select("frame_id", "a", "b", "iou", (1 - F.col("iou")).alias("distance")).select("frame_id", "a", "b", *r6("iou", "distance"))
 
 
 @query("select scene_id, frame_id, 8.0::double fx, 8.0::double fy, round(-s*-1,6)+0.0 m1, round(tx,6)+0.0 tx from fx_pose")
@@ -972,18 +1035,25 @@ def m13_mask_components(i):
     return masks.mask_components(_sparse_masks(i), _MASK)
 
 
+@query(f"""with recursive m as (select *, py*16+px id from {_SPARSE}), r as (select scene_id,frame_id,model_no,px,py,id,id root from m union
+   select b.scene_id,b.frame_id,b.model_no,b.px,b.py,b.id,r.root from r join m b on b.scene_id=r.scene_id and b.frame_id=r.frame_id and b.model_no=r.model_no and abs(b.px-r.px)<=1 and abs(b.py-r.py)<=1 where r.root<b.id),
+  few as (select scene_id,frame_id,model_no from (select scene_id,frame_id,model_no,id,min(root) c from r group by all) group by all having count(distinct c)<8)
+  select scene_id,frame_id,model_no,px,py from {_SPARSE} join few using (scene_id,frame_id,model_no)""")
+def m13_fragment_filter(i):
+    return masks.fragment_filter(_sparse_masks(i), _MASK, 8)
+
+
 # --- the rest of the sources --------------------------------------------------------------------------------------
 
 
-@query(f"select scene_id, line, round(m[4],6)+0.0 tx, round(m[8],6)+0.0 ty from (select scene_id, row_number() over (partition by scene_id order by frame_id)-1 line, {_POSE} m from fx_pose)")
+@query(f"select scene_id, line, k-1 pos, round(m[k],6)+0.0 v from (select scene_id, row_number() over (partition by scene_id order by frame_id)-1 line, {_POSE} m from fx_pose) cross join range(1,17) t(k)")
 def s04_read_pose_lines(i):
     path = files.scratch(i.spark, "poses")
     text = F.array_join(F.transform("pose", lambda x: x.cast("string")), " ")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame_id", text.alias("t")))), lambda x: x["t"]), "\n")
-    # a scene's trajectory is one file; here the files are the rows of a column
-    _poses(i).groupBy("scene_id").agg(lines.alias("file")).write.parquet(path)
-    rows = i.spark.read.parquet(path).select("scene_id", F.posexplode(F.split("file", "\n")).alias("line", "text")).select("scene_id", "line", files._numbers("text").alias("pose"))
-    return rows.select("scene_id", "line", F.col("pose")[3].alias("tx"), F.col("pose")[7].alias("ty")).select("scene_id", "line", *r6("tx", "ty"))
+    # a scene's trajectory is one file, so its lines are one task's: in order, by one writer
+    _poses(i).select("scene_id", "frame_id", text.alias("value")).repartition("scene_id").sortWithinPartitions("scene_id", "frame_id").drop("frame_id").write.partitionBy("scene_id").text(path)
+    rows = files.read_pose_lines(i.spark, path)
+    return rows.select("scene_id", "line", F.posexplode("pose").alias("pos", "v")).select("scene_id", "line", "pos", *r6("v"))
 
 
 @query("select scene_id, inst_id, count(*) n, sum(vertex_id)::bigint vertices from fx_inst group by all")
@@ -1000,3 +1070,12 @@ def s16_overwrite_scenes(i):
     changed = i.gt.where("scene_id = 1").withColumn("label", F.col("label") + 1)
     files.write_label_frames(frames.to_frame_arrays(changed, WIDTH), path)
     return frames.from_frame_arrays(i.spark.read.parquet(path), WIDTH).groupBy("scene_id").agg(F.count("*").alias("n"), F.sum("label").alias("total"))
+
+
+@query("select scene_id, count(*) n, sum(label)::bigint total from fx_gt group by 1")
+def s16_skip_existing(i):
+    path = files.scratch(i.spark, "existing")
+    files.write_label_frames(frames.to_frame_arrays(i.gt, WIDTH), path)
+    changed = i.gt.withColumn("label", F.col("label") + 1)
+    files.write_label_frames(frames.to_frame_arrays(changed, WIDTH), path, mode="ignore")
+    return frames.from_frame_arrays(i.spark.read.parquet(path), WIDTH).groupBy("scene_id").agg(F.count("*").alias("n"), F.sum("label").alias("total"))

@@ -36,7 +36,7 @@ FIXTURES = {
     "fx_point": """select cast(p_partkey%4 as int) scene_id, cast(p_partkey as int) vertex_id, (p_partkey%50)*0.04e0-1.0e0 x,
       floor((p_partkey%2000)/50)*0.05e0-1.0e0 y, case when p_partkey%7=0 then 2.05e0 when p_partkey%7=1 then 2.2e0 else 2.0e0 end z from part""",
     "fx_sensor": "select cast(user_id%4 as int) scene_id, event_type kind, event_id, {us} us from events where event_type<>'signup'",
-    "fx_traj": """select cast(user_id%4 as int) scene_id, {us} us, 0e0 rx, 0e0 ry, (event_id%314)/100e0 rz, value tx, (event_id%10)/10e0 ty, 0e0 tz
+    "fx_traj": """select cast(user_id%4 as int) scene_id, {us} us, (event_id*13%200)/100e0-1e0 rx, (event_id*29%150)/100e0-0.75e0 ry, (event_id%157)/100e0 rz, value tx, (event_id%10)/10e0 ty, 0e0 tz
       from events where event_type='view'""",
     "fx_box": """select cast(floor(event_id/25) as int) frame_id, cast(event_id as int) box_id, ((event_id*37)%100)/100e0 cx, ((event_id*53)%100)/100e0 cy,
       (5+(event_id*11)%30)/100e0 w, (5+(event_id*17)%30)/100e0 h, ((event_id*7919)%1000)/1000e0 score from events""",

@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 TRAJECTORY = "us double, rx double, ry double, rz double, tx double, ty double, tz double"
 PINCAM = "w double, h double, fx double, fy double, hw double, hh double"
 FRAME_JSON = "cameraPoseARFrame array<double>, intrinsics array<double>"
+#: The number in a frame's file name.
+FRAME = r"(\d+)\.\w+$"
 INSTANCES = "mask_path string, class_id int, score double"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -24,17 +30,21 @@ def _numbers(text):
     return F.transform(F.filter(F.split(text, r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
 
 
-def read_matrix_text(spark: SparkSession, path: str) -> DataFrame:
-    """frame_id, matrix: one file of white-space separated numbers for each frame."""
-    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    return files.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("int").alias("frame_id"), _numbers("value").alias("matrix"))
+def _frame(pattern: str):
+    return F.regexp_extract(F.input_file_name(), pattern, 1).cast("int").alias("frame_id")
+
+
+def read_matrix_text(spark: SparkSession, path: str, frame: str = FRAME) -> DataFrame:
+    """frame_id, matrix: one file of white-space separated numbers for each frame; frame finds the number in the path."""
+    return spark.read.text(path, wholetext=True).select(_frame(frame), _numbers("value").alias("matrix"))
 
 
 def read_pose_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, pose: the file's lines in order, 16 numbers each."""
+    """line, pose and the folder's partition columns: each file's lines in order, 16 numbers each."""
     files = spark.read.text(path, wholetext=True)
-    lines = files.select(F.posexplode(F.split("value", "\n")).alias("line", "text")).where(F.trim("text") != "")
-    return lines.select("line", _numbers("text").alias("pose"))
+    own = [c for c in files.columns if c != "value"]
+    lines = files.select(*own, F.posexplode(F.split("value", "\n")).alias("line", "text")).where(F.trim("text") != "")
+    return lines.select(*own, "line", _numbers("text").alias("pose"))
 
 
 def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
@@ -42,13 +52,13 @@ def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pinhole_intrinsics(spark: SparkSession, path: str) -> DataFrame:
-    """w, h and the matrix's fx, fy, cx, cy."""
-    return spark.read.csv(path, sep=" ", schema=PINCAM).select("w", "h", "fx", "fy", F.col("hw").alias("cx"), F.col("hh").alias("cy"))
+    """w, h, the matrix's fx, fy, cx, cy, and the folder's partition columns."""
+    return spark.read.csv(path, sep=" ", schema=PINCAM).withColumnsRenamed({"hw": "cx", "hh": "cy"})
 
 
-def read_frame_json(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.schema(FRAME_JSON).json(path, multiLine=True).withColumn("path", F.input_file_name())
-    return files.select(F.regexp_extract("path", r"(\d+)\.json$", 1).cast("int").alias("frame_id"), F.col("cameraPoseARFrame").alias("pose"), "intrinsics")
+def read_frame_json(spark: SparkSession, path: str, frame: str = FRAME) -> DataFrame:
+    """frame_id, pose (16 values), intrinsics (9): one JSON file for each frame."""
+    return spark.read.schema(FRAME_JSON).json(path, multiLine=True).select(_frame(frame), F.col("cameraPoseARFrame").alias("pose"), "intrinsics")
 
 
 def read_vocabulary(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -76,12 +86,25 @@ def write_manifest_json(rows: DataFrame, folder: str) -> None:
     rows.write.json(folder)
 
 
-def training_meta(frames: DataFrame, bounds: DataFrame) -> DataFrame:
-    """scene_id, meta: nested scene metadata with its frames in order, as JSON."""
-    records = F.array_sort(F.collect_list(F.struct("frame_id", "pose")))
-    scenes = frames.groupBy("scene_id").agg(records.alias("frames")).join(bounds, "scene_id")
-    meta = F.struct(F.array("center_x", "center_y", "center_z").alias("center"), "scale", "frames")
-    return scenes.select("scene_id", F.to_json(meta).alias("meta"))
+def training_meta(frames: DataFrame, bounds: DataFrame, classes: DataFrame, histogram: DataFrame, camera: dict[str, float], folders: dict[str, str]) -> DataFrame:
+    """scene_id, meta: nested scene metadata as JSON: size, worldtogt, classes with color and share of the pixels, frames in order.
+
+    frames: scene_id, frame_id, pose; classes: id, name, color (array); histogram:
+    scene_id, label, share; folders: the folder of each kind of file.
+    """
+    paths = [F.format_string(f"{folder}/%06d.{'jpg' if kind == 'rgb' else 'png'}", "frame_id").alias(f"{kind}_path") for kind, folder in folders.items()]
+    intrinsics = F.array(*(F.lit(float(v)) for v in (camera["fx"], 0, camera["cx"], 0, camera["fy"], camera["cy"], 0, 0, 1)))
+    record = F.struct("frame_id", F.col("pose").alias("camtoworld"), intrinsics.alias("intrinsics"), *paths)
+    listed = frames.groupBy("scene_id").agg(F.array_sort(F.collect_list(record)).alias("frames"))
+    shares = histogram.join(classes.select(F.col("id").alias("label"), "name", "color"), "label", "left")
+    shares = shares.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("id"), "name", "color", "share"))).alias("semantic_classes"))
+    lit = lambda v: F.lit(float(v))
+    unit = 1 / F.col("scale")
+    back = F.array(unit, lit(0), lit(0), F.col("center_x"), lit(0), unit, lit(0), F.col("center_y"), lit(0), lit(0), unit, F.col("center_z"), lit(0), lit(0), lit(0), lit(1))
+    meta = F.struct(
+        F.lit(int(camera["width"])).alias("width"), F.lit(int(camera["height"])).alias("height"), "scale", back.alias("worldtogt"), "semantic_classes", "frames"
+    )
+    return listed.join(bounds, "scene_id").join(shares, "scene_id", "left").select("scene_id", F.to_json(meta).alias("meta"))
 
 
 def cached_confmat(spark: SparkSession, folder: str, key: dict, compute, overwrite: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ import pytest
 from fusemill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+#: Reports of violations, of which the inputs have none.
+NO_ROWS = set()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -30,7 +32,7 @@ def test_query(spark, con, name):
     at = [names.index(c) for c in df.columns]
     want = sorted((plain(r[k] for k in at) for r in got.fetchall()), key=str)
     have = sorted((plain(r) for r in df.collect()), key=str)
-    assert have == want
+    assert have == want and (want or name in NO_ROWS)
 
 
 def test_entry_has_every_operator(spark):
