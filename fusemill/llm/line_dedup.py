@@ -73,11 +73,16 @@ def recurring(
     templates = pairs.groupBy("template").agg(F.count("*").alias("n"))
     templates = written(templates.select(_leaf(F.col("template"), leading).alias("leaf"), F.xxhash64("template").alias("key"), "template", "n"), "line-templates")
     # fields: words beyond the leading ones that few texts have at their place
-    words = templates.select("leaf", "key", "n", F.posexplode(F.split("template", " ")).alias("at", "word")).where((F.col("at") >= leading) & (F.col("word") != "<*>"))
-    words = words.select("leaf", "key", "n", "at", F.xxhash64("word").alias("word"))
-    rare = words.groupBy("leaf", "at", "word").agg(F.sum("n").alias("docs")).where(F.col("docs") < min_docs).select("leaf", "at", "word")
-    fields = words.join(rare.hint("merge"), ["leaf", "at", "word"]).groupBy("leaf", "key").agg(F.collect_set("at").alias("fields"))
     split = F.split("template", " ")
+    words = templates.select("leaf", "key", "n", F.size(split).alias("size"), F.posexplode(split).alias("at", "word")).where((F.col("at") >= leading) & (F.col("word") != "<*>"))
+    words = words.select("leaf", "key", "n", "size", F.xxhash64("leaf", "at", "word").alias("word"), "at")
+    docs_of = written(words.groupBy("word").agg(F.sum("n").alias("docs")), "line-words")
+    frequent = in_some(docs_of.where(F.col("docs") >= min_docs).select(F.col("word").alias("h")), bits=24)
+    # most lines have more rare words than may be fields: a count of those that are surely rare leaves them out before the join
+    able = words.groupBy("key").agg(F.count_if(~frequent(F.col("word"))).alias("rare"), F.max("size").alias("size")).where(F.col("rare") <= _fields(F.col("size"), similar))
+    open_ = words.where(in_some(able.select(F.col("key").alias("h")))(F.col("key"))).select("leaf", "key", "word", "at")
+    rare = docs_of.where(F.col("docs") < min_docs).select("word")
+    fields = open_.join(rare.hint("merge"), "word").groupBy("leaf", "key").agg(F.collect_set("at").alias("fields"))
     few = F.size("fields") <= _fields(F.size(split), similar)
     masked = F.array_join(F.transform(split, lambda w, i: F.when(F.array_contains("fields", i), F.lit("<*>")).otherwise(w)), " ")
     general = templates.join(fields.hint("merge"), ["leaf", "key"], "left").select("leaf", "key", F.xxhash64(F.when(few, masked).otherwise(F.col("template"))).alias("general"))
@@ -103,8 +108,11 @@ def drop_recurring(
     keys = written(line_keys(keyed, text, min_words, leading), "line-keys")
     found = recurring(keyed, keys, text, min_docs, min_words, leading, similar)
     hits = keys.join(found, ["leaf", "key"], "left_semi")
-    drops = hits.groupBy("__id", "__text").agg(F.collect_set("pos").alias("__drop"))
-    out = keyed.join(drops, ["__id", "__text"], "left")
+    drops = written(hits.groupBy("__id", "__text").agg(F.collect_set("pos").alias("__drop")), "line-drops")
+    # texts without a dropped line stay where they are
+    some = in_some(drops.select(F.xxhash64("__id", "__text").alias("h")))(F.xxhash64("__id", "__text"))
+    out = keyed.where(some).join(drops.hint("merge"), ["__id", "__text"], "left")
+    out = out.unionByName(keyed.where(~some).withColumn("__drop", F.lit(None).cast("array<int>")))
     all_lines = F.split(text, "\n")
     out = out.withColumn("__drop", F.coalesce("__drop", F.array().cast("array<int>")))
     chars = F.aggregate(F.transform(all_lines, lambda x, i: F.when(F.array_contains("__drop", i), F.length(x)).otherwise(0)), F.lit(0), lambda a, n: a + n)
