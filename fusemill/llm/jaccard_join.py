@@ -4,10 +4,14 @@ Words are the text's white-space separated words in lower case; a document's set
 holds the hashes of its runs of ``n`` words (of all its words, if it has fewer).
 Documents with equal sets are one class and only its first document is compared.
 
-1. MinHash signatures of the classes give band keys; classes that share a key
-   are linked to the key's smallest class, and the components of these links are
-   found by alternating large and small stars. Every pair that shares a key lies
-   in one component, so no bucket is ever expanded into its pairs.
+1. MinHash signatures of the classes give band keys. In each bucket of a key the
+   classes are paired with the smallest one, and pairs whose signatures can't
+   reach the threshold (by the rule of step 2) are dropped; what is dropped forms
+   the next round's bucket of that key, so no bucket is ever expanded into its
+   pairs and no pair is lost. What still stands after ROUNDS rounds is linked
+   unverified. The components of these links, found by alternating large and
+   small stars, hold every pair that can be similar; classes that merely share a
+   band fall apart.
 2. A component is cut into blocks. A task gets the texts of two blocks and
    compares their pairs: it counts equal MinHash values bit by bit in growing
    prefixes and drops a pair once the posterior probability of reaching the
@@ -41,6 +45,7 @@ BANDS, ROWS = 32, 4
 STEP = 16
 TOLERANCE = 1e-9
 BLOCK = 256
+ROUNDS = 4
 _RNG = np.random.default_rng(20_240_607)
 _A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -105,8 +110,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, st
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], ls: np.ndarray, rs: np.ndarray, least: dict[int, int], threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of sets whose similarity reaches the threshold."""
-    equal = np.zeros((len(left), len(right)), np.int16)
-    alive = np.ones_like(equal, bool)
+    alive = np.ones((len(left), len(right)), bool)
     if same:
         alive = np.triu(alive, 1)
     a, b = np.nonzero(alive)
@@ -169,7 +173,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, digest: equal digests mean equal sets; documents without words are left out. keys: the band keys."""
+    """doc_id, digest, keys, sig: equal digests mean equal sets; documents without words are left out. keys: the band keys; sig: the signature's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -181,14 +185,54 @@ def digests(docs: DataFrame, n: int = N) -> DataFrame:
                 if not some:
                     continue
                 sets = [sets[i] for i in some]
-                keys = band_keys(signatures(sets)).view(np.int64)
+                sig = signatures(sets)
+                keys = band_keys(sig).view(np.int64)
                 two = [(int(s.sum(dtype=np.uint64)) << 64 | int(np.bitwise_xor.reduce(_mix(s)))).to_bytes(16, "little") + len(s).to_bytes(4, "little") for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(pa.array(some)), pa.array(two, pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))],
-                    ["doc_id", "digest", "keys"],
+                    [
+                        batch["doc_id"].take(pa.array(some)),
+                        pa.array(two, pa.binary()),
+                        pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel())),
+                        pa.array([row.tobytes() for row in sig], pa.binary()),
+                    ],
+                    ["doc_id", "digest", "keys", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, keys array<long>, sig binary")
+
+
+def plausible(pairs: DataFrame, sigs: DataFrame, least: dict[int, int]) -> DataFrame:
+    """The pairs (a, b) whose signatures (doc_id, sig) agree in enough of each prefix."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            stay, hits, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
+            for n, m in least.items():
+                hits = hits + (x[stay, done:n] == y[stay, done:n]).sum(1)
+                stay, hits, done = stay[hits >= m], hits[hits >= m], n
+            yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(stay)), batch["b"].take(pa.array(stay))], ["a", "b"])
+
+    side = lambda id_, sig: sigs.select(F.col("doc_id").alias(id_), F.col("sig").alias(sig)).hint("merge")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def star_links(buckets: DataFrame, sigs: DataFrame, least: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
+    """a, b: links that connect, in each bucket (key, doc_id), all that may be similar."""
+    live, found = buckets, None
+    for turn in range(rounds + 1):
+        heads = written(live.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a"), "join-heads")
+        # merge joins at every size: what is moved then grows in proportion to the input
+        rows = written(live.join(heads.hint("merge"), "key").select("key", "a", F.col("doc_id").alias("b")).where("a <> b"), "join-stars")
+        pairs = rows.select("a", "b").distinct()
+        if turn < rounds:
+            pairs = written(plausible(pairs, sigs, least), "join-plausible")
+        found = pairs if found is None else found.unionByName(pairs)
+        if turn == rounds:
+            return found
+        live = written(rows.join(pairs.hint("merge"), ["a", "b"], "left_anti").select("key", F.col("b").alias("doc_id")), "join-live")
+        if live.isEmpty():
+            return found
 
 
 def similar_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
@@ -196,14 +240,14 @@ def similar_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, to
     ship(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     marked = written(digests(own, n), "join-digests")
-    classes = marked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    members = written(marked.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep", "copies"), "join-members")
+    # written, so that the join with a large class may be split
+    classes = written(marked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "join-classes")
+    members = written(marked.select("doc_id", "digest").join(classes.hint("merge"), "digest").select("doc_id", "rep", "copies"), "join-members")
     reps = members.where("doc_id = rep").groupBy("rep").agg(F.max("copies").alias("copies"))
-    buckets = marked.join(reps.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", F.explode("keys").alias("key"))
-    buckets = written(buckets, "join-buckets")
-    heads = buckets.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
-    # merge joins at every size: what is moved then grows in proportion to the input
-    near = components(buckets.join(heads.hint("merge"), "key").select("a", F.col("doc_id").alias("b")), "join-near")
+    compared = written(marked.join(reps.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", "keys", "sig"), "join-reps")
+    buckets = written(compared.select("doc_id", F.explode("keys").alias("key")), "join-buckets")
+    least = least_matches(threshold, tolerance)
+    near = components(star_links(buckets, compared.select("doc_id", "sig"), least), "join-near")
     sized = near.join(near.groupBy("comp").agg(F.count("*").alias("size")), "comp").join(reps, near.node == reps.rep).select("node", "comp", "size", "copies")
     # Small components share a task; a large one is cut into blocks, and each task gets two of them.
     spread = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int")
@@ -217,7 +261,6 @@ def similar_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, to
     tasks = tasks.select("node", "comp", "copies", "part", F.when(F.col("part") < 0, F.lit(-1).cast("long")).otherwise(F.col("comp")).alias("g"), "t.i", "t.j")
     wanted = in_some(sized.select(F.xxhash64("node").alias("h")))(F.xxhash64("doc_id"))
     with_text = tasks.join(own.where(wanted).withColumnRenamed("doc_id", "node").hint("merge"), "node")
-    least = least_matches(threshold, tolerance)
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.unique(t["node"].to_numpy(), return_index=True)[1]))  # repeated rows

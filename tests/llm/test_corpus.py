@@ -396,6 +396,20 @@ def test_similar_groups_at_the_edges(spark):
     assert jaccard_join.similar_groups(odd(spark, [])).count() == 0
 
 
+def test_bands_alone_link_nothing(spark):
+    """Texts in one bucket fall apart where their signatures differ, and stay together by a later round's head."""
+    rng = np.random.default_rng(12)
+    sig = {k: rng.integers(0, 1 << 32, 128, dtype=np.uint32) for k in (1, 2, 3, 4, 5)}
+    for k, of in ((11, 3), (12, 3), (13, 5)):
+        sig[k] = sig[of].copy()
+        sig[k][::16] += 1
+    buckets = spark.createDataFrame([(7, k) for k in sig], "key long, doc_id long")
+    sigs = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sig.items()], "doc_id long, sig binary")
+    links = lambda rounds: {(r.a, r.b) for r in jaccard_join.star_links(buckets, sigs, jaccard_join.least_matches(), rounds).collect()}
+    assert links(9) == {(3, 11), (3, 12), (5, 13)}
+    assert links(3) == {(3, 11), (3, 12), (4, 5), (4, 13)}
+
+
 def test_pruning_bound():
     least = jaccard_join.least_matches()
     assert list(least) == list(range(16, 129, 16)) and all(least[n] < 0.8 * n for n in least)
