@@ -176,10 +176,14 @@ def read_warc(files: DataFrame, with_payload: bool = False, block: int = BLOCK)
 
 
 def revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
-    """pages with payload (binary) and refers_to: the smallest id of the equal payload, null for a response."""
+    """pages with payload (binary) and refers_to: the smallest id of the equal payload, null for a response. Columns of these names are replaced.
+
+    The least ids are a table of their own, so that the join with a payload of very many pages may be split.
+    """
+    pages = pages.drop(*({"payload", "refers_to"} - {id_col, payload_col}))
     full = pages.withColumn("payload", F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8")).withColumn("__sha", F.sha1("payload"))
-    first = full.where(F.length("payload") >= min_bytes).groupBy("__sha").agg(F.min(id_col).alias("__first"))
-    joined = full.join(first, "__sha", "left")
+    first = written(full.where(F.length("payload") >= min_bytes).groupBy("__sha").agg(F.min(id_col).alias("__first")), "warc-first")
+    joined = full.join(first.hint("merge"), "__sha", "left")
     other = F.col(id_col).isNull() & F.col("__first").isNotNull() | (F.col(id_col) != F.col("__first"))
     return joined.withColumn("refers_to", F.when((F.length("payload") >= min_bytes) & other, F.col("__first"))).drop("__sha", "__first")
 

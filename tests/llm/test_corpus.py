@@ -429,6 +429,8 @@ def test_warc(spark):
     assert by[3].record_type == "response" and by[3].refers_to is None and by[3].payload == b"same"
     assert (by[5].record_type, by[5].refers_to, by[5].payload_bytes, by[5].payload_digest) == ("revisit", 3, 4, warc.base32_sha1(b"same"))
     assert by[2].refers_to == 1 and by[7].payload == ("é" * 50_000).encode()
+    clash = warc.revisits(frame.withColumn("payload", F.lit(1)).withColumn("refers_to", F.lit("x")), "page_id", "html")
+    assert sorted((str(r.page_id), r.refers_to) for r in clash.collect()) == sorted((str(r.page_id), r.refers_to) for r in warc.revisits(frame, "page_id", "html").collect())
     all_big = warc.revisits(frame, "page_id", "html", min_bytes=5).where("refers_to is not null").count()
     assert all_big == 0
     assert warc.read_warc(warc.write_warc(rows.limit(0), fresh_dir(spark, "warc"))).count() == 0
