@@ -601,12 +601,12 @@ def _inputs(words, contexts, known, share):
     first, second = ([], [], []), ([], [], [])
     ones = fresh = named = 0
     for (had, _, t, c), w in zip(_text_bits(words), words):
-        first[0].append([0.3, *(_odds(*contexts[k], p, 2.0) for k in c), *(_odds(t - ones, ones, p, s) for s in (4.0, 64.0))])
+        first[0].append([*(_odds(*contexts[k], p, 2.0) for k in c), _odds(t - ones, ones, p, 8.0)])
         first[1].append(had)
         first[2].append(c[0])
         ones += had
         if not had:
-            second[0].append([0.3, math.log(share / (1 - share)), *(_odds(fresh - named, named, share, s) for s in (4.0, 64.0))])
+            second[0].append([math.log(share / (1 - share)), *(_odds(fresh - named, named, share, s) for s in (4.0, 64.0))])
             second[1].append(known(w))
             second[2].append(c[0])
             fresh, named = fresh + 1, named + known(w)
@@ -704,8 +704,8 @@ def test_scores_are_probabilities():
         p = 1.0
         for j, bit, node, slots in flat.bits(14):
             n = [t[s] for t, s in zip(tables, slots)]
-            x = [lm_score.stretched(v[:, 0].astype(float), v[:, 1].astype(float)) for v in n]
-            q = mixer.refined(mixer.mixed(lm_score._gate(j, [v.sum(1) > 0 for v in n]), np.stack(x, 1)), node)
+            seen = sum(v.any(1).astype(int) for v in n)
+            q = mixer.refined(mixer.mixed(lm_score._gate(j, seen), np.stack([lm_score.stretched(v) for v in n], 1)), node)
             p *= q[0] if bit[0] else 1 - q[0]
         total += p
     assert total == pytest.approx(1)
