@@ -62,7 +62,7 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     The table cuts the lineage, so the shuffle files behind it are given up with it.
     """
     path, conf = fresh_dir(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(FREE_SHUFFLES)
+    before = conf.get(FREE_SHUFFLES, "false")
     conf.set(FREE_SHUFFLES, "true")
     try:
         df.write.option("compression", compression).parquet(path)
