@@ -307,7 +307,8 @@ def similar_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, to
     joined = components(found.where("a <> b").select("a", "b"), "join-groups").select(F.col("node").alias("rep"), "comp")
     per_class = reps.join(counts, "rep", "left").join(joined, "rep", "left")
     per_class = per_class.select("rep", F.coalesce("comp", "rep").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = members.select("doc_id", "rep").join(per_class, "rep")
+    # written as well, so that the rows of a large class may be split
+    known = members.select("doc_id", "rep").join(written(per_class, "join-per-class").hint("merge"), "rep")
     rest = own.select("doc_id").join(members.select("doc_id"), "doc_id", "left_anti")
     return known.select("doc_id", "class_id", "n_links").unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
