@@ -105,12 +105,21 @@ def color_of(cell: Column) -> Column:
     return F.transform(F.split(cell, "-"), lambda x: x.cast("int"))
 
 
+def _places(rows: DataFrame, bucket: Column, order: list, falling: bool = False) -> DataFrame:
+    """rows with their place (from 0) by bucket, then order: windows hold a bucket's rows, and one more holds a row a bucket."""
+    keyed = rows.withColumn("__k", bucket)
+    counts = keyed.groupBy("__k").agg(F.count("*").alias("__n"))
+    before = Window.orderBy(F.desc("__k") if falling else F.asc("__k")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__k", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    place = F.row_number().over(Window.partitionBy("__k").orderBy(*order)) - 1
+    return keyed.withColumn("__p", place).join(offsets, "__k").withColumn("place", (F.col("__p") + F.col("__from")).cast("int")).drop("__k", "__p", "__from")
+
+
 def classes_by_occurrence(vocab: DataFrame, least: int = 3) -> DataFrame:
     """id, name, total, color of the synsets that occur more than least times, most frequent first, and (0, unknown)."""
     named = vocab.where("wnsynsetkey is not null").groupBy(F.col("wnsynsetkey").alias("name"))
     totals = named.agg(F.sum("cnt").alias("total"), F.min_by("color", "row_idx").alias("color")).where(F.col("total") > least)
-    # the list of classes is ranked as a whole: one row a class, not one a mapping row
-    ranked = totals.withColumn("id", F.row_number().over(Window.orderBy(F.desc("total"), "name")))
+    ranked = _places(totals, F.col("total"), ["name"], falling=True).withColumn("id", F.col("place") + 1)
     unknown = vocab.sparkSession.createDataFrame([(0, "unknown", 0, "0-0-0")], "id int, name string, total long, color string")
     return ranked.select("id", "name", "total", "color").unionByName(unknown)
 
@@ -125,7 +134,7 @@ def class_list(vocab: DataFrame, space: str) -> DataFrame:
 
 def compact_ids(ids: DataFrame, unknown_id: int) -> DataFrame:
     """idx, id: a dense index in order of id; the unknown id has the slot after the last."""
-    dense = ids.select("id").distinct().withColumn("idx", F.row_number().over(Window.orderBy("id")) - 1)
+    dense = _places(ids.select("id").distinct(), F.floor(F.col("id") / 4096), ["id"]).withColumnRenamed("place", "idx")
     slot = dense.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("idx")).withColumn("id", F.lit(unknown_id))
     return dense.select("idx", "id").unionByName(slot.select("idx", "id"))
 
