@@ -37,7 +37,7 @@ SAMPLE_DOCS = 128
 LONGEST = 40
 FEATURES = 1 << 16
 #: Documents whose lines are looked at together.
-SLICE = 2500
+SLICE = 1500
 _WORD = re.compile(r"[^\W\d_]+")
 
 
