@@ -107,6 +107,24 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def dealt(rows: DataFrame, key: str, node: str, block: int, small: int = 8192) -> DataFrame:
+    """rows (a written table with n, the number of rows of their key) with g, i, j, the task they go to, and part.
+
+    Keys of at most block rows share tasks of some small rows (i = j = -1); a
+    larger key is cut into parts of some block rows, and a task gets two of them
+    (parts i <= j), so that every two rows of a key meet in a task.
+    """
+    few = F.col("n") <= block
+    groups = max(1, rows.where(few).count() // small)
+    cuts = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.withColumn("part", F.when(few, -1).otherwise(F.pmod(F.xxhash64(node), cuts).cast("int")))
+    pairs = F.transform(F.sequence(F.lit(0), cuts - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    alone = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    tasks = rows.withColumn("__t", F.explode(F.when(few, alone).otherwise(pairs)))
+    g = F.when(few, F.pmod(F.xxhash64(key), F.lit(groups)).cast("long")).otherwise(F.col(key))
+    return tasks.withColumns({"g": g, "i": F.col("__t.i"), "j": F.col("__t.j")}).drop("__t", "n")
+
+
 def in_some(keys: DataFrame, bits: int = 22) -> Callable[[Column], Column]:
     """A test that is true for every hash in keys (column h, long) and for few others: a bitmap of 2 ** bits bits, whatever the number of keys.
 
