@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fusemill.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, lm_score, media, repeat_removal, secret_scan, sentencepiece_codec, warc
+from fusemill.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, lm_score, media, phrases, repeat_removal, secret_scan, sentencepiece_codec, spelling, warc
 
 #: query name -> module that has query() and, where SQL can express it, ORACLE_SQL.
 MODULES = {
@@ -17,6 +17,8 @@ MODULES = {
     "op9_decontaminate": decontaminate,
     "op10_lm_score": lm_score,
     "op11_embedding_dedup": embedding_dedup,
+    "op12_collocations": phrases,
+    "op13_spelling_variants": spelling,
 }
 
 
