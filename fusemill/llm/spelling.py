@@ -257,6 +257,6 @@ near as (
 ),
 best as (select a as word, count(*) as n_near, first(b order by n desc, b) as b, max(n) as bn from near group by a),
 forms as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when bn >= {RATIO} * w.n then b end as form, case when bn >= {RATIO} * w.n then bn end as form_n from words w left join best using (word)),
-walk as (select word, word as at, form as next, 0 as d from forms union all select w.word, f.word, f.form, d + 1 from walk w join forms f on f.word = w.next)
-select f.word, f.form, (select arg_max(at, d) from walk w where w.word = f.word) as root, f.n, f.n_near, f.form_n from forms f
+walk as (select word, word as last_, form as next, 0 as d from forms union all select w.word, f.word, f.form, d + 1 from walk w join forms f on f.word = w.next)
+select f.word, f.form, (select arg_max(last_, d) from walk w where w.word = f.word) as root, f.n, f.n_near, f.form_n from forms f
 """
