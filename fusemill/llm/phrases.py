@@ -1,25 +1,24 @@
-"""Collocations by two passes over shards (SON): phrases that are frequent in a shard by its share of the corpus, then exact counts of all of them.
+"""Collocations by partitioning (SON): phrases that are frequent in a shard by its share of the corpus, then exact counts of all of them.
 
 Texts are lower-cased in A-Z, cut into pieces at ``.,;:!?`` and line ends, and
 pieces into words at spaces and tabs. Each language is a corpus of its own.
 
-1. Every task takes its documents in shards of some SHARD_BYTES. A shard that
-   holds the share w of a language's bytes is mined completely, from words to
-   phrases of five words, for what occurs ``ceil(w * MIN_COUNT)`` times in it: a
-   phrase is only looked for where both phrases of one word less were found. A
-   phrase with MIN_COUNT occurrences is frequent in one shard at least, however
-   documents are dealt, so no candidate is lost; their union is written.
-2. A bitmap of fixed size over the candidates' hashes goes to all tasks; each
-   counts the phrases in the bitmap once a shard, and Spark sums the counts. What
-   the bitmap lets through by chance is counted exactly as well, so it never
-   decides a result.
+1. The input's partitions are dealt to SHARDS shards. A shard that holds the share
+   w of a language's bytes is mined completely for what occurs ``w * MIN_COUNT``
+   times in it: a phrase with MIN_COUNT occurrences reaches that in one shard at
+   least, however documents are dealt, so none is lost. A shard grows with the
+   input, so many tasks mine it: each counts its texts in slices of SLICE_BYTES,
+   and Spark sums the counts by shard. That is done for words, for pairs of
+   words, and for three to five words; phrases are looked for only where all of
+   their words, and all of their pairs, have been found before.
+2. What is frequent in some shard is united as hashes, in a bitmap of fixed size
+   that goes to all tasks; each counts the phrases in the bitmap once a slice,
+   and Spark sums these counts by phrase. What a bitmap lets through by chance is
+   counted exactly as well, so bitmaps never decide a result.
 3. Cuts of a candidate meet the counts of both parts in joins; scores are exact
    decimals. A candidate falls if one with a word more at either end occurs as
    often: counts never grow with length, so longer ones need no look.
 
-Where shards are so many that a share is less than one occurrence, the first pass
-finds every phrase of a shard, and the two passes still count exactly.
-
 Defined results: null and empty texts have no words; a null language is ``und``;
 repeated rows count as often as they stand there, whatever their id; other
 columns are ignored; an empty table gives no rows.
@@ -28,10 +27,12 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +41,11 @@ from fusemill.llm.common import discard, ship, table, written
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-SHARD_BYTES = 32 << 20
-#: Bits of the candidates' bitmap, whatever their number.
-BITS = 23
+SHARDS = 8
+#: Text that a task counts at once, and rows that it hands over at once.
+SLICE_BYTES, ROWS = 20 << 20, 100_000
+#: Bits of a bitmap of candidates, whatever their number.
+BITS = 24
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z in lower case, tabs as spaces, the marks that end a piece as line feeds.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
@@ -67,8 +70,8 @@ def words_of(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return found.dictionary.to_pylist(), found.indices.to_numpy(), piece
 
 
-def levels(words: list[bytes], code: np.ndarray, piece: np.ndarray, seed: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], longest: int = LONGEST):
-    """k, first places, hashes and counts of the phrases of k words for each k, of which keep(counts, hashes) says which stay.
+def levels(words: list[bytes], code: np.ndarray, piece: np.ndarray, seed: int, keep: Callable[[int, np.ndarray, np.ndarray], np.ndarray], longest: int = LONGEST):
+    """k, first places, hashes and counts of the phrases of k words for each k, of which keep(k, counts, hashes) says which stay.
 
     A phrase is looked for only where its two phrases of k - 1 words stay.
     """
@@ -77,7 +80,7 @@ def levels(words: list[bytes], code: np.ndarray, piece: np.ndarray, seed: int, k
     hashes, first = word_hash, np.zeros(len(words), np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
     for k in range(1, longest + 1):
-        stay = keep(count, hashes)
+        stay = keep(k, count, hashes)
         rows = np.flatnonzero(stay)
         yield k, first[rows], hashes[rows], count[rows]
         if k == longest:
@@ -97,61 +100,74 @@ def levels(words: list[bytes], code: np.ndarray, piece: np.ndarray, seed: int, k
         hashes = _mix(hashes[found // len(words)] * _M + word_hash[found % len(words)])
 
 
-def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[dict[tuple[str, int], list[bytes]]]:
-    """Texts of some shard_bytes by language (and its number of bytes)."""
-    held: dict[tuple[str, int], list[bytes]] = {}
+def _slices(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[str, list[bytes]]]:
+    """Each language's texts of slices of some slice_bytes."""
+    held: dict[str, list[bytes]] = {}
     size = 0
     for batch in batches:
-        for lang, total, text in zip(batch["lang"].to_pylist(), batch["total"].to_pylist(), batch["text"].cast(pa.binary())):
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary())):
             if text.is_valid:
                 text = text.as_py()
-                held.setdefault((lang, total), []).append(text)
+                held.setdefault(lang, []).append(text)
                 size += len(text)
-                if size >= shard_bytes:
-                    yield held
+                if size >= slice_bytes:
+                    yield from held.items()
                     held, size = {}, 0
-    if held:
-        yield held
+    yield from held.items()
 
 
 def _seed(lang: str) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
 
 
-def _mined(least: int, shard_bytes: int, longest: int):
-    """Hashes of the phrases that are frequent in a shard by its share."""
+def _known(bitmap) -> Callable[[np.ndarray], np.ndarray]:
+    bits = np.frombuffer(bitmap.value, np.uint64)
+    mask = np.uint64(len(bits) * 64 - 1)
+
+    def test(h: np.ndarray) -> np.ndarray:
+        at = h & mask
+        return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+    return test
+
+
+def _mined(low: int, high: int, bitmap, shards: int, slice_bytes: int):
+    """lang and bytes of each shard (g), and counts of its phrases of low to high words (lang null) whose phrases of fewer words are in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches, shard_bytes):
-            for (lang, total), texts in shard.items():
-                words, code, piece = words_of(b"\n".join(texts))
-                local = max(1, -(-least * sum(map(len, texts)) // max(1, total)))
-                for _, _, hashes, _ in levels(words, code, piece, _seed(lang), lambda n, h: n >= local, longest) if len(code) else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["h"])
+        shard = TaskContext.get().partitionId() % shards
+        known = _known(bitmap) if bitmap else None
+        for lang, texts in _slices(batches, slice_bytes):
+            words, code, piece = words_of(b"\n".join(texts))
+            seed, size = _seed(lang), sum(map(len, texts))
+            g = np.uint64(seed) + np.uint64(shard) * _M
+            g = int(np.int64(g.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([g]), pa.array([0]), pa.array([size])], ["lang", "g", "h", "n"])
+            if not len(code):
+                continue
+            keep = lambda k, n, h: known(h) if k < low else np.ones(len(n), bool)
+            for k, _, hashes, counts in levels(words, code, piece, seed, keep, high):
+                for at in range(0, len(hashes) if k >= low else 0, ROWS):
+                    h, n = hashes[at : at + ROWS].view(np.int64), counts[at : at + ROWS].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()), pa.array(np.full(len(n), g)), pa.array(h), pa.array(n)], ["lang", "g", "h", "n"])
 
     return run
 
 
-def _counted(bitmap, shard_bytes: int, longest: int):
-    """Counts of the phrases in the bitmap, and of all words (k = 0, an empty phrase), for each shard."""
+def _counted(bitmap, slice_bytes: int, longest: int):
+    """Counts of the phrases in the bitmap, and of all words (k = 0, an empty phrase), for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint64)
-        mask = np.uint64(len(bits) * 64 - 1)
-
-        def known(n: np.ndarray, h: np.ndarray) -> np.ndarray:
-            at = h & mask
-            return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-        for shard in _shards(batches, shard_bytes):
-            for (lang, _), texts in shard.items():
-                words, code, piece = words_of(b"\n".join(texts))
-                if not len(code):
-                    continue
-                yield _batch(lang, 0, [b""], np.array([len(code)]))
-                for k, first, _, counts in levels(words, code, piece, _seed(lang), known, longest):
-                    listed = np.array([code[first + o] for o in range(k)]).T.tolist()
-                    yield _batch(lang, k, [b" ".join([words[c] for c in row]) for row in listed], counts)
+        known = _known(bitmap)
+        for lang, texts in _slices(batches, slice_bytes):
+            words, code, piece = words_of(b"\n".join(texts))
+            if not len(code):
+                continue
+            yield _batch(lang, 0, [b""], np.array([len(code)]))
+            for k, first, _, counts in levels(words, code, piece, _seed(lang), lambda k, n, h: known(h), longest):
+                for at in range(0, len(first), ROWS):
+                    listed = np.array([code[first[at : at + ROWS] + o] for o in range(k)]).T.tolist()
+                    yield _batch(lang, k, [b" ".join([words[c] for c in row]) for row in listed], counts[at : at + ROWS])
 
     return run
 
@@ -171,17 +187,34 @@ def _bitmap(hashes: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES, bits: int = BITS) -> DataFrame:
+def locally_frequent(docs: DataFrame, low: int, high: int, found: DataFrame | None, least: int, shards: int = SHARDS, slice_bytes: int = SLICE_BYTES, bits: int = BITS) -> DataFrame:
+    """h: hashes of the phrases of low to high words that are frequent in a shard by its share; found: those of fewer words."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(found, bits)) if found is not None else None
+    counts = docs.mapInArrow(_mined(low, high, bitmap, shards, slice_bytes), "lang string, g long, h long, n long").groupBy("lang", "g", "h").agg(F.sum("n").alias("n"))
+    counts = written(counts, "phrase-shards")
+    # one row for each language and shard, by which its phrases are judged
+    sizes = counts.where("lang is not null").select("lang", "g", F.col("n").alias("size"))
+    whole = sizes.groupBy("lang").agg(F.sum("size").alias("whole"))
+    # a language of empty texts has no phrases
+    share = F.expr(f"({least} * size + whole - 1) div greatest(whole, 1)")
+    local = written(sizes.join(whole, "lang").select("g", F.greatest(share, F.lit(1)).alias("local")), "phrase-supports")
+    out = written(counts.where("lang is null").join(local, "g").where(F.col("n") >= F.col("local")).select("h").distinct(), "phrase-candidates")
+    discard(counts)
+    return out
+
+
+def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, slice_bytes: int = SLICE_BYTES, bits: int = BITS) -> DataFrame:
     """lang, k, phrase, n: exact counts of all phrases of 1 to longest words that occur least times in a language, and of all its words (k = 0)."""
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    totals = written(own.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total")), "phrase-totals")
-    weighed = own.join(totals, "lang").select("lang", F.coalesce("total", F.lit(0)).alias("total"), "text")
-    found = written(weighed.mapInArrow(_mined(least, shard_bytes, longest), "h long").distinct(), "phrase-candidates")
-    bitmap = spark.sparkContext.broadcast(_bitmap(found, bits))
-    discard(found)
-    counted = weighed.mapInArrow(_counted(bitmap, shard_bytes, longest), "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    found: list[DataFrame] = []
+    for low, high in ((1, 1), (2, 2), (3, longest)):
+        before = reduce(DataFrame.unionByName, found) if found else None
+        found.append(locally_frequent(own, low, high, before, least, shards, slice_bytes, bits))
+    bitmap = spark.sparkContext.broadcast(_bitmap(reduce(DataFrame.unionByName, found), bits))
+    discard(*found)
+    counted = own.mapInArrow(_counted(bitmap, slice_bytes, longest), "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     return written(counted.where((F.col("n") >= least) | (F.col("k") == 0)), "phrase-counts")
 
 

@@ -157,7 +157,7 @@ def test_collocations_are_the_sql(spark):
     oracle(phrases.ORACLE_SQL, phrases.query(spark, SF).collect(), "documents")
 
 
-@pytest.mark.parametrize("kw", [{}, {"shard_bytes": 3000, "bits": 8}, {"shard_bytes": 1, "bits": 14}])
+@pytest.mark.parametrize("kw", [{}, {"shards": 2, "slice_bytes": 3000, "bits": 8}, {"shards": 50, "slice_bytes": 1, "bits": 14}])
 def test_collocations_by_any_shards(spark, kw):
     docs = [(r.lang, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").collect()]
     docs += [(None, "new york, New\tYork! san new york"), (None, "New YORK"), ("x", None), ("x", ""), ("en", "ÄB Äb äb")]
@@ -171,12 +171,12 @@ def test_repeats_and_longest_texts(spark):
     assert mined(spark, [], 2, 10) == [] and mined(spark, [("a", None)], 2, 10) == []
 
 
-def test_a_shard_finds_what_is_frequent_by_its_share():
+def test_levels_find_what_is_frequent_in_a_slice():
     rng = np.random.default_rng(8)
     text = " ".join(rng.choice(list("abcde"), 400)).encode() + b"." + b"a b c a b c"
     words, code, piece = phrases.words_of(text)
     got = {}
-    for k, first, _, counts in phrases.levels(words, code, piece, 1, lambda n, h: n >= 3):
+    for k, first, _, counts in phrases.levels(words, code, piece, 1, lambda k, n, h: n >= 3):
         got |= {tuple(words[c].decode() for c in code[p : p + k]): n for p, n in zip(first.tolist(), counts.tolist())}
     assert got == {w: n for (_, w), n in plain_phrases([("", text.decode())], 3)[0].items()}
 
