@@ -11,10 +11,10 @@ pieces into words at spaces and tabs. Each language is a corpus of its own.
    and Spark sums the counts by shard. That is done for words, for pairs of
    words, and for three to five words; phrases are looked for only where all of
    their words, and all of their pairs, have been found before.
-2. What is frequent in some shard is united as hashes, in a bitmap of fixed size
-   that goes to all tasks; each counts the phrases in the bitmap once a slice,
-   and Spark sums these counts by phrase. What a bitmap lets through by chance is
-   counted exactly as well, so bitmaps never decide a result.
+2. What is frequent in some shard is united as hashes, in a Bloom filter of 16 MB
+   at most that goes to all tasks; each counts the phrases in the filter once a slice,
+   and Spark sums these counts by phrase. What a filter lets through by chance is
+   counted exactly as well, so filters never decide a result.
 3. Cuts of a candidate meet the counts of both parts in joins; scores are exact
    decimals. A candidate falls if one with a word more at either end occurs as
    often: counts never grow with length, so longer ones need no look.
@@ -41,11 +41,11 @@ from fusemill.llm.common import discard, ship, table, written
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-SHARDS = 8
+SHARDS = 4
 #: Text that a task counts at once, and rows that it hands over at once.
 SLICE_BYTES, ROWS = 20 << 20, 100_000
-#: Bits of a bitmap of candidates, whatever their number.
-BITS = 24
+#: Bits of a bitmap for each candidate, probes of it, and the most bits (as a power of two) that it ever has.
+SPARE, HASHES, MOST_BITS = 16, 4, 27
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z in lower case, tabs as spaces, the marks that end a piece as line feeds.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
@@ -121,12 +121,16 @@ def _seed(lang: str) -> int:
 
 
 def _known(bitmap) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether hashes are in a Bloom filter."""
     bits = np.frombuffer(bitmap.value, np.uint64)
-    mask = np.uint64(len(bits) * 64 - 1)
+    size = np.uint64(len(bits) * 64 - 1)
 
     def test(h: np.ndarray) -> np.ndarray:
-        at = h & mask
-        return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        found = np.ones(len(h), bool)
+        for k in range(HASHES):
+            at = (h >> np.uint64(9 * k)) & size
+            found &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return found
 
     return test
 
@@ -140,8 +144,7 @@ def _mined(low: int, high: int, bitmap, shards: int, slice_bytes: int):
         for lang, texts in _slices(batches, slice_bytes):
             words, code, piece = words_of(b"\n".join(texts))
             seed, size = _seed(lang), sum(map(len, texts))
-            g = np.uint64(seed) + np.uint64(shard) * _M
-            g = int(np.int64(g.view(np.int64)))
+            g = int(np.uint64((seed + shard * int(_M)) % (1 << 64)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([g]), pa.array([0]), pa.array([size])], ["lang", "g", "h", "n"])
             if not len(code):
                 continue
@@ -178,18 +181,19 @@ def _batch(lang: str, k: int, phrases: list[bytes], counts: np.ndarray) -> pa.Re
     return pa.RecordBatch.from_arrays(columns, ["lang", "k", "phrase", "n"])
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> bytes:
-    """2 ** bits bits, set for each h: a fixed number of rows comes to the driver."""
-    at = F.pmod("h", F.lit(1 << bits))
-    rows = hashes.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {1 << bits}) & 63 as int))")).alias("bits")).toArrow()
+def _bitmap(hashes: DataFrame, most_bits: int) -> bytes:
+    """A Bloom filter of the h: SPARE bits for each, but never more than 2 ** most_bits; its words come to the driver, at most one for 64 bits."""
+    bits = min(max(10, (SPARE * hashes.count()).bit_length()), most_bits)
+    at = F.explode(F.array(*(F.shiftrightunsigned("h", 9 * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(HASHES)))).alias("at")
+    rows = hashes.select(at).groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros((1 << bits) // 64, np.int64)
     out[rows["id"].to_numpy()] = rows["bits"].to_numpy()
     return out.tobytes()
 
 
-def locally_frequent(docs: DataFrame, low: int, high: int, found: DataFrame | None, least: int, shards: int = SHARDS, slice_bytes: int = SLICE_BYTES, bits: int = BITS) -> DataFrame:
+def locally_frequent(docs: DataFrame, low: int, high: int, found: DataFrame | None, least: int, shards: int = SHARDS, slice_bytes: int = SLICE_BYTES, most_bits: int = MOST_BITS) -> DataFrame:
     """h: hashes of the phrases of low to high words that are frequent in a shard by its share; found: those of fewer words."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(found, bits)) if found is not None else None
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(found, most_bits)) if found is not None else None
     counts = docs.mapInArrow(_mined(low, high, bitmap, shards, slice_bytes), "lang string, g long, h long, n long").groupBy("lang", "g", "h").agg(F.sum("n").alias("n"))
     counts = written(counts, "phrase-shards")
     # one row for each language and shard, by which its phrases are judged
@@ -203,7 +207,7 @@ def locally_frequent(docs: DataFrame, low: int, high: int, found: DataFrame | No
     return out
 
 
-def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, slice_bytes: int = SLICE_BYTES, bits: int = BITS) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, slice_bytes: int = SLICE_BYTES, most_bits: int = MOST_BITS) -> DataFrame:
     """lang, k, phrase, n: exact counts of all phrases of 1 to longest words that occur least times in a language, and of all its words (k = 0)."""
     spark = docs.sparkSession
     ship(spark)
@@ -211,8 +215,8 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LON
     found: list[DataFrame] = []
     for low, high in ((1, 1), (2, 2), (3, longest)):
         before = reduce(DataFrame.unionByName, found) if found else None
-        found.append(locally_frequent(own, low, high, before, least, shards, slice_bytes, bits))
-    bitmap = spark.sparkContext.broadcast(_bitmap(reduce(DataFrame.unionByName, found), bits))
+        found.append(locally_frequent(own, low, high, before, least, shards, slice_bytes, most_bits))
+    bitmap = spark.sparkContext.broadcast(_bitmap(reduce(DataFrame.unionByName, found), most_bits))
     discard(*found)
     counted = own.mapInArrow(_counted(bitmap, slice_bytes, longest), "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     return written(counted.where((F.col("n") >= least) | (F.col("k") == 0)), "phrase-counts")

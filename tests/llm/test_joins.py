@@ -157,7 +157,7 @@ def test_collocations_are_the_sql(spark):
     oracle(phrases.ORACLE_SQL, phrases.query(spark, SF).collect(), "documents")
 
 
-@pytest.mark.parametrize("kw", [{}, {"shards": 2, "slice_bytes": 3000, "bits": 8}, {"shards": 50, "slice_bytes": 1, "bits": 14}])
+@pytest.mark.parametrize("kw", [{}, {"shards": 2, "slice_bytes": 3000, "most_bits": 9}, {"shards": 50, "slice_bytes": 1}])
 def test_collocations_by_any_shards(spark, kw):
     docs = [(r.lang, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").collect()]
     docs += [(None, "new york, New\tYork! san new york"), (None, "New YORK"), ("x", None), ("x", ""), ("en", "ÄB Äb äb")]
