@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Words of a vertex block's bitmap.
+WORDS = 16
+
+
 def _best(value: str | Column, order: Column) -> Column:
     return F.max_by(value, order)
 
@@ -30,10 +34,27 @@ def rank_instances(inst: DataFrame) -> DataFrame:
     return one.withColumn("idx", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("score"), "inst_id")) - 1)
 
 
-def mask_overlaps(masks: DataFrame) -> DataFrame:
-    """scene_id, i, j, n: shared vertices of each two masks of a scene, itself included; masks: scene_id, idx, vertex_id."""
-    a, b = masks.withColumnRenamed("idx", "i"), masks.withColumnRenamed("idx", "j")
-    return a.join(b, ["scene_id", "vertex_id"]).groupBy("scene_id", "i", "j").agg(F.count("*").alias("n"))
+def vertex_bitmaps(masks: DataFrame, words: int = WORDS) -> DataFrame:
+    """scene_id, idx, block and the words of a bitmap: which of a block's vertices (64 a word, vertex_id from 0) a mask holds."""
+    at = F.col("vertex_id").cast("long")
+    size = 64 * words
+    bit = F.expr(f"shiftleft(1L, cast(pmod(cast(vertex_id as bigint), 64) as int))")
+    rows = masks.select("scene_id", "idx", F.floor(at / size).alias("block"), F.floor(F.pmod(at, F.lit(size)) / 64).alias("word"), bit.alias("bit"))
+    each = [F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(words)]
+    return rows.groupBy("scene_id", "idx", "block").agg(*each)
+
+
+def mask_overlaps(masks: DataFrame, words: int = WORDS) -> DataFrame:
+    """scene_id, i, j, n: shared vertices of each two masks of a scene, itself included; masks: scene_id, idx, vertex_id.
+
+    Masks meet by blocks of vertices, not by vertices: two bitmaps are one AND and one count of bits a word.
+    """
+    maps = vertex_bitmaps(masks, words)
+    names = [f"w{k}" for k in range(words)]
+    a, b = maps.withColumnRenamed("idx", "i"), maps.withColumnsRenamed({"idx": "j"} | {w: f"o{w}" for w in names})
+    shared = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"o{w}"))) for w in names), F.lit(0)).cast("long")
+    pairs = a.join(b, ["scene_id", "block"]).select("scene_id", "i", "j", shared.alias("n"))
+    return pairs.where("n > 0").groupBy("scene_id", "i", "j").agg(F.sum("n").alias("n"))
 
 
 def suppress_overlaps(inst: DataFrame, threshold: float, least_score: float = 0.1) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fusemill.operators.vocab import space_ids, space_pairs
@@ -56,9 +56,52 @@ def exclude_models(pred: DataFrame, variants: DataFrame) -> DataFrame:
     return pred.crossJoin(variants).where(F.col("without").isNull() | (F.col("model") != F.col("without"))).drop("without")
 
 
-def leave_one_out(pred: DataFrame, table: DataFrame, min_votes: int = 2) -> DataFrame:
-    """The vote of every variant in one job: variant is the model left out, or all."""
-    spark = pred.sparkSession
-    models = pred.select(F.col("model").alias("without")).distinct().withColumn("variant", F.col("without"))
-    variants = models.unionByName(spark.createDataFrame([("all", None)], "variant string, without string"))
-    return vote(exclude_models(pred, variants), table, ["variant", *PIXEL], min_votes)
+def vote_state(pred: DataFrame, table: DataFrame, keys: list[str] = PIXEL) -> DataFrame:
+    """keys, voters, votes: for each candidate (null for labels that vote for none) its votes, and those of each model.
+
+    A state from which any model's votes can be taken back; counted once, with the shuffle by frame that vote() has.
+    """
+    frame = [k for k in keys if k not in ("px", "py")]
+    legal = pred.withColumn("label", F.when(_legal(DOMAIN), F.col("label")))
+    cast = legal.join(table, ["label_space", "label"], "left").select(*keys, "model", "candidate")
+    by_model = cast.repartition(*frame).groupBy(*keys, "candidate", "model").agg(F.count("candidate").alias("n"))
+    by = by_model.groupBy(*keys, "candidate").agg(F.sum("n").alias("n"), F.collect_list(F.struct("model", "n")).alias("by"))
+    held = by.groupBy(*keys).agg(F.collect_list(F.struct("n", (-F.col("candidate")).alias("c"), "by")).alias("votes"))
+    return held.select(*keys, F.array_distinct(F.flatten(F.transform("votes", lambda x: x["by"]["model"]))).alias("voters"), "votes")
+
+
+def _winner(votes: Column, without: Column | None = None) -> Column:
+    """n and c (the negative id, null for none) of the best candidate, once the votes of one model are taken back."""
+
+    def left(x: Column) -> Column:
+        n = x["n"] if without is None else x["n"] - F.coalesce(F.get(F.filter(x["by"], lambda y: y["model"] == without), F.lit(0))["n"], F.lit(0))
+        return F.struct(n.alias("n"), F.when(n > 0, x["c"]).alias("c"))
+
+    return F.array_max(F.transform(votes, left))
+
+
+def settle(state: DataFrame, models: DataFrame, min_votes: int = 2) -> DataFrame:
+    """variant, keys, n_votes, label: the vote of all models (variant all) and without each of models (model), as vote() would give it.
+
+    A pixel has no row in a variant that leaves it without a voter. A model that gave the winner no vote changes nothing.
+    """
+    keys = [c for c in state.columns if c not in ("voters", "votes")]
+    names = models.agg(F.array_sort(F.collect_set("model"))).scalar()
+    won = state.withColumns({"best": _winner(F.col("votes")), "models": names})
+    gave = F.flatten(F.transform(F.filter("votes", lambda x: x["c"].eqNullSafe(F.col("best.c"))), lambda x: F.filter(x["by"], lambda y: y["n"] > 0)["model"]))
+    won = won.withColumn("gave", gave)
+
+    def without(m: Column) -> Column:
+        best = F.when(F.array_contains("gave", m), _winner(F.col("votes"), m)).otherwise(F.col("best"))
+        return F.struct(m.alias("variant"), best.alias("b"))
+
+    stay = F.filter("models", lambda m: F.exists("voters", lambda v: v != m))
+    each = F.concat(F.array(F.struct(F.lit("all").alias("variant"), F.col("best").alias("b"))), F.transform(stay, without))
+    out = won.select(*keys, F.explode(each).alias("v"))
+    label = F.when(F.col("v.b.n") < min_votes, 0).otherwise(F.coalesce(-F.col("v.b.c"), F.lit(0)))
+    return out.select(F.col("v.variant").alias("variant"), *keys, F.col("v.b.n").alias("n_votes"), label.alias("label"))
+
+
+def leave_one_out(pred: DataFrame, table: DataFrame, models: DataFrame, min_votes: int = 2) -> DataFrame:
+    """The vote of every variant in one job: variant is the model left out (of models), or all."""
+    return settle(vote_state(pred, table), models, min_votes)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fusemill.functions import geometry as G
-from fusemill.operators import boxes, depth, evaluate, frames, fusion, instances, lift, masks, sync, vocab, vote
+from fusemill.operators import boxes, depth, evaluate, frames, fusion, instances, lift, masks, spline, sync, vocab, vote
 from fusemill.plans.fixtures import Inputs, duck
 from fusemill.sources import files
 
@@ -774,7 +774,7 @@ _VARIANT = "(select v.variant, p.* from fx_pred p cross join (select distinct mo
 
 @query(f"select variant, label, count(*) n, sum(n_votes)::bigint votes from {_vote_sql(_VARIANT, 'variant,')} group by all")
 def a21_leave_one_out(i):
-    return vote.leave_one_out(i.pred, _vote_table(i)).groupBy("variant", "label").agg(F.count("*").alias("n"), F.sum("n_votes").alias("votes"))
+    return vote.leave_one_out(i.pred, _vote_table(i), i.model).groupBy("variant", "label").agg(F.count("*").alias("n"), F.sum("n_votes").alias("votes"))
 
 
 _IDS = f"(select distinct id from {_ids('wn_merged')})"
@@ -785,7 +785,7 @@ _VOTED_MATCHED = f"(select variant, pred_id, label_id, n from {_VOTED_COUNTS} wh
 @query(f"select variant, m_iou, m_acc, t_acc from {_metric_sql(_VOTED_MATCHED, 'variant, ')}")
 def a21_leave_one_out_metrics(i):
     ids = vocab.space_ids(i.vocab, "wn_merged")
-    counts = evaluate.unmatched_confmat(vote.leave_one_out(i.pred, _vote_table(i)).select("variant", *PIXEL, "label"), i.gt, PIXEL, ids, ids, ["variant"])
+    counts = evaluate.unmatched_confmat(vote.leave_one_out(i.pred, _vote_table(i), i.model).select("variant", *PIXEL, "label"), i.gt, PIXEL, ids, ids, ["variant"])
     matched = evaluate.match_confmat(counts, ids.select(F.col("id").alias("l"), F.col("id").alias("r")), by=["variant"])
     return evaluate.segmentation_metrics(matched, ["variant"]).select("variant", *r6("m_iou", "m_acc", "t_acc"))
 
@@ -955,7 +955,7 @@ def m03_matmul4(i):
 
 @query(f"select scene_id, frame_id, vertex_id, px, py, round(z,6) z from {_SEEN}")
 def m04_project_points(i):
-    return _seen(i, None).select("scene_id", "frame_id", "vertex_id", "px", "py", *r6("z"))
+    return _seen(i).select("scene_id", "frame_id", "vertex_id", "px", "py", *r6("z"))
 
 
 @query("""select d.scene_id,d.frame_id,px,py, round(c*a-s*b+tx,8)+0.0 x, round(s*a+c*b+ty,8)+0.0 y, round(z+tz,8)+0.0 z from (select *, (px-8)*(depth_mm/1000e0)/8 a, (py-6)*(depth_mm/1000e0)/8 b, depth_mm/1000e0 z from fx_depth where depth_mm>0) d
@@ -994,6 +994,42 @@ def m08_interpolate_pose(i):
     return out.select("scene_id", "us", *r6("tx", "ty", "tz"), *((F.round(f"q{c}", 5) + F.lit(0.0)).alias(f"q{c}") for c in "wxyz"))
 
 
+_AXES = ("tx", "ty", "tz")
+_RIGHT = ", ".join(f"6*((lead({c}) over w-{c})/h1-({c}-lag({c}) over w)/h0) r{c}" for c in _AXES)
+
+
+def _spline_sql(ends: str) -> str:
+    """DuckDB: the spline's value at each click, by elimination along each scene; names end in the kind of its ends."""
+    e = "_" + ends[:3]
+    free = ends != "natural"
+    low, diag, up = "h0", "2*(h0+h1)", "h1"
+    if free:
+        low, up = "case when i=1 then 0 when i=n-2 then h0-h1*h1/h0 else h0 end", "case when i=n-2 then 0 when i=1 then h1-h0*h0/h1 else h1 end"
+        diag = "case when n=3 then 3*(h0+h1) when i=1 then 2*(h0+h1)+h0+h0*h0/h1 when i=n-2 then 2*(h0+h1)+h1+h1*h1/h0 else 2*(h0+h1) end"
+    each = lambda text: ", ".join(text.format(c=c) for c in _AXES)
+    outer = lambda c, i, j, a, b: f"case when x.n=3 then p.m{c} else (({a}+{b})*p.m{c}-{a}*q.m{c})/{b} end" if free else "0e0"
+    return f"""e{e} as (select scene_id,i,n,{low} l,{diag} d,{up} u,{each('r{c}')} from knot where i between 1 and n-2),
+  f{e} as (select scene_id,i,n,u/d g,{each('r{c}/d r{c}')} from e{e} where i=1 union all select e.scene_id,e.i,e.n,e.u/(e.d-e.l*f.g),{each('(e.r{c}-e.l*f.r{c})/(e.d-e.l*f.g)')} from f{e} f join e{e} e on e.scene_id=f.scene_id and e.i=f.i+1),
+  s{e} as (select scene_id,i,n,{each('r{c} m{c}')} from f{e} where i=n-2 union all select f.scene_id,f.i,f.n,{each('f.r{c}-f.g*s.m{c}')} from s{e} s join f{e} f on f.scene_id=s.scene_id and f.i=s.i-1),
+  m{e} as (select scene_id,i,{each('m{c}')} from s{e} union all select x.scene_id,0,{', '.join(outer(c, 1, 2, 'x.h0', 'x.h1') for c in _AXES)} from knot x join s{e} p on p.scene_id=x.scene_id and p.i=1 left join s{e} q on q.scene_id=x.scene_id and q.i=2 where x.i=1
+   union all select x.scene_id,x.n-1,{', '.join(outer(c, 1, 2, 'x.h1', 'x.h0') for c in _AXES)} from knot x join s{e} p on p.scene_id=x.scene_id and p.i=x.n-2 left join s{e} q on q.scene_id=x.scene_id and q.i=x.n-3 where x.i=x.n-2),
+  v{e} as (select '{ends}' as ends, t.scene_id, t.us, {', '.join(f"coalesce(a.m{c},0)*(b.us-t.us)**3/(6e18*a.h1)+coalesce(b.m{c},0)*(t.us-a.us)**3/(6e18*a.h1)+(a.{c}/a.h1-coalesce(a.m{c},0)*a.h1/6)*(b.us-t.us)/1e6+(b.{c}/a.h1-coalesce(b.m{c},0)*a.h1/6)*(t.us-a.us)/1e6 {c}" for c in _AXES)}
+   from (select distinct scene_id, us from fx_sensor where kind='click') t join (select k.*, {each('m{c}')} from knot k left join m{e} using (scene_id,i)) a on a.scene_id=t.scene_id and a.us<=t.us
+   join (select k.*, {each('m{c}')} from knot k left join m{e} using (scene_id,i)) b on b.scene_id=a.scene_id and b.i=a.i+1 and (t.us<b.us or t.us=b.us and b.i=b.n-1))"""
+
+
+@query(f"""with recursive knot as (select *, {_RIGHT} from (select *, (us-lag(us) over w)/1e6 h0, (lead(us) over w-us)/1e6 h1, row_number() over w-1 i, count(*) over (partition by scene_id) n
+   from (select scene_id, us, tx, ty, tz from fx_traj qualify row_number() over (partition by scene_id, us order by tx, ty, tz)=1) window w as (partition by scene_id order by us)) window w as (partition by scene_id order by us)),
+  {_spline_sql('natural')}, {_spline_sql('not-a-knot')}
+  select ends, scene_id, us, {', '.join(f'round({c},3)+0.0 {c}' for c in _AXES)} from (select * from v_nat union all select * from v_not)""")
+def m08_cubic_translation(i):
+    found = None
+    for ends in ("natural", "not-a-knot"):
+        one = spline.spline_positions(_sensor(i, "click"), spline.spline_pieces(i.traj, ends, block=3_600_000_000)).withColumn("ends", F.lit(ends))
+        found = one if found is None else found.unionByName(one)
+    return found.select("ends", "scene_id", "us", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in _AXES))
+
+
 @query(f"select frame_id, a, b, round(iou,6) iou, round(1-iou,6) distance from {_BOX_PAIRS.format(t=0.1)}")
 def m09_box_iou(i):
     return boxes.box_pairs(_boxes(i), 0.1).select("frame_id", "a", "b", "iou", (1 - F.col("iou")).alias("distance")).select("frame_id", "a", "b", *r6("iou", "distance"))
