@@ -43,7 +43,7 @@ MIN_COUNT = 100
 TOP = 2000
 SHARDS = 4
 #: Text that a task counts at once, and rows that it hands over at once.
-SLICE_BYTES, ROWS = 20 << 20, 100_000
+SLICE_BYTES, ROWS = 8 << 20, 100_000
 #: Bits of a bitmap for each candidate, probes of it, and the most bits (as a power of two) that it ever has.
 SPARE, HASHES, MOST_BITS = 16, 4, 27
 _M = np.uint64(0x9E3779B97F4A7C15)
