@@ -11,7 +11,8 @@ pieces into words at spaces and tabs. Each language is a corpus of its own.
    and Spark sums the counts by shard. That is done for words, for pairs of
    words, and for three to five words; phrases are looked for only where all of
    their words, and all of their pairs, have been found before.
-2. What is frequent in some shard is united as hashes, in a Bloom filter of 16 MB
+2. What is frequent in some shard is united as hashes; those whose sum over all
+   shards is too small are left out, and the rest is kept in a Bloom filter of 16 MB
    at most that goes to all tasks; each counts the phrases in the filter once a slice,
    and Spark sums these counts by phrase. What a filter lets through by chance is
    counted exactly as well, so filters never decide a result.
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import discard, ship, table, written
+from fusemill.llm.common import discard, in_some, ship, table, written
 
 LONGEST = 5
 MIN_COUNT = 100
@@ -192,7 +193,7 @@ def _bitmap(hashes: DataFrame, most_bits: int) -> bytes:
 
 
 def locally_frequent(docs: DataFrame, low: int, high: int, found: DataFrame | None, least: int, shards: int = SHARDS, slice_bytes: int = SLICE_BYTES, most_bits: int = MOST_BITS) -> DataFrame:
-    """h: hashes of the phrases of low to high words that are frequent in a shard by its share; found: those of fewer words."""
+    """h: hashes of the phrases of low to high words that are frequent in a shard by its share and may reach least over all shards; found: those of fewer words."""
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(found, most_bits)) if found is not None else None
     counts = docs.mapInArrow(_mined(low, high, bitmap, shards, slice_bytes), "lang string, g long, h long, n long").groupBy("lang", "g", "h").agg(F.sum("n").alias("n"))
     counts = written(counts, "phrase-shards")
@@ -202,8 +203,12 @@ def locally_frequent(docs: DataFrame, low: int, high: int, found: DataFrame | No
     # a language of empty texts has no phrases
     share = F.expr(f"({least} * size + whole - 1) div greatest(whole, 1)")
     local = written(sizes.join(whole, "lang").select("g", F.greatest(share, F.lit(1)).alias("local")), "phrase-supports")
-    out = written(counts.where("lang is null").join(local, "g").where(F.col("n") >= F.col("local")).select("h").distinct(), "phrase-candidates")
-    discard(counts)
+    phrases = counts.where("lang is null")
+    frequent = written(phrases.join(local, "g").where(F.col("n") >= F.col("local")).select("h").distinct(), "phrase-frequent")
+    # hashes may stand for several phrases, so a sum over the shards is no less than a phrase's count
+    whole = phrases.where(in_some(frequent)(F.col("h"))).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    out = written(whole.select("h"), "phrase-candidates")
+    discard(counts, frequent)
     return out
 
 
