@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fusemill.sources.files import stored
+
 
 def id_list(cell: Column) -> Column:
     """A comma list of ids as an array of int; null stays null."""
@@ -105,21 +107,28 @@ def color_of(cell: Column) -> Column:
     return F.transform(F.split(cell, "-"), lambda x: x.cast("int"))
 
 
-def _places(rows: DataFrame, bucket: Column, order: list, falling: bool = False) -> DataFrame:
-    """rows with their place (from 0) by bucket, then order: windows hold a bucket's rows, and one more holds a row a bucket."""
-    keyed = rows.withColumn("__k", bucket)
-    counts = keyed.groupBy("__k").agg(F.count("*").alias("__n"))
-    before = Window.orderBy(F.desc("__k") if falling else F.asc("__k")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__k", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
-    place = F.row_number().over(Window.partitionBy("__k").orderBy(*order)) - 1
-    return keyed.withColumn("__p", place).join(offsets, "__k").withColumn("place", (F.col("__p") + F.col("__from")).cast("int")).drop("__k", "__p", "__from")
+def numbered_by(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """rows with their place (from 0) in an order without ties.
+
+    Rows are dealt to ranges of the order by sampled bounds and sorted there, so a row's place is the sum of the
+    ranges before its own, which is one row a range, and its place in the range. Long runs of one value are many tasks' work.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the id of a row is its partition and its place there; written, since the bounds are sampled anew with every run
+    held = stored(sorted_.withColumn("__at", F.monotonically_increasing_id()), "numbered").withColumn("__range", F.shiftright("__at", 33))
+    sizes = held.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    place = F.col("__from") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.join(offsets, "__range").withColumn("place", place.cast("int")).drop("__at", "__range", "__from")
 
 
 def classes_by_occurrence(vocab: DataFrame, least: int = 3) -> DataFrame:
     """id, name, total, color of the synsets that occur more than least times, most frequent first, and (0, unknown)."""
     named = vocab.where("wnsynsetkey is not null").groupBy(F.col("wnsynsetkey").alias("name"))
     totals = named.agg(F.sum("cnt").alias("total"), F.min_by("color", "row_idx").alias("color")).where(F.col("total") > least)
-    ranked = _places(totals, F.col("total"), ["name"], falling=True).withColumn("id", F.col("place") + 1)
+    ranked = numbered_by(totals, [F.desc("total"), "name"]).withColumn("id", F.col("place") + 1)
     unknown = vocab.sparkSession.createDataFrame([(0, "unknown", 0, "0-0-0")], "id int, name string, total long, color string")
     return ranked.select("id", "name", "total", "color").unionByName(unknown)
 
@@ -134,7 +143,7 @@ def class_list(vocab: DataFrame, space: str) -> DataFrame:
 
 def compact_ids(ids: DataFrame, unknown_id: int) -> DataFrame:
     """idx, id: a dense index in order of id; the unknown id has the slot after the last."""
-    dense = _places(ids.select("id").distinct(), F.floor(F.col("id") / 4096), ["id"]).withColumnRenamed("place", "idx")
+    dense = numbered_by(ids.select("id").distinct(), ["id"]).withColumnRenamed("place", "idx")
     slot = dense.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("idx")).withColumn("id", F.lit(unknown_id))
     return dense.select("idx", "id").unionByName(slot.select("idx", "id"))
 

@@ -11,6 +11,7 @@ from fusemill.functions import geometry as G
 from fusemill.operators import boxes, depth, evaluate, frames, fusion, instances, lift, masks, spline, sync, vocab, vote
 from fusemill.plans.fixtures import Inputs, duck
 from fusemill.sources import files
+from fusemill.streaming import confusion
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,13 +189,52 @@ def _unmatched(space: str, to: str = "wn_merged", keys: str = "") -> str:
       left join (select distinct id from {_ids(space)}) pi on pi.id = p.label left join (select distinct id from {_ids(to)}) li on li.id = g.label group by all)"""
 
 
-@query(f"select pred_id, label_id, n from {_unmatched('nyu40id')}")
+@query(f"select scene_id, p.label pred_id, g.label label_id, count(*) n from fx_pred p join (select scene_id, frame_id, px, py, case when scene_id=1 and frame_id%8=1 then label+1 else label end as label from fx_gt) g using (scene_id,frame_id,px,py) where model_no=2 group by all")
 def s15_cached_confmat(i):
     path = files.scratch(i.spark, "confmat")
-    key = {"scene": "all", "source": "cmx", "space": "nyu40id", "stride": 1}
-    first = files.cached_confmat(i.spark, path, key, lambda: _counts(i, "nyu40id"))
-    again = files.cached_confmat(i.spark, path, key, lambda: first.limit(0))
-    return again.select("pred_id", "label_id", "n")
+    key = {"source": "cmx", "space": "nyu40id", "stride": 1}
+    pred = i.pred.where("model_no = 2").select(*PIXEL, "label")
+    changed = i.gt.select(*PIXEL, F.when(F.expr("scene_id = 1 and frame_id % 8 = 1"), F.col("label") + 1).otherwise(F.col("label")).alias("label"))
+
+    def count(p, t):
+        pairs = p.withColumnRenamed("label", "pred_id").join(t.withColumnRenamed("label", "label_id"), PIXEL)
+        return confusion.running_confmat(pairs)
+
+    files.cached_confmat(i.spark, path, key, [pred, i.gt.select(*PIXEL, "label")], count)
+    # only the scene with changed frames is counted again
+    return files.cached_confmat(i.spark, path, key, [pred, changed], count).select("scene_id", "pred_id", "label_id", "n")
+
+
+@query("select scene_id, p.label pred_id, g.label label_id, count(*) n from fx_pred p join fx_gt g using (scene_id,frame_id,px,py) where model_no=2 group by all")
+def st01_stream_confmat(i):
+    at = files.scratch(i.spark, "stream")
+    pred = i.pred.where("model_no = 2").select(*PIXEL, F.col("label").alias("pred_id"))
+    pairs = pred.join(i.gt.select(*PIXEL, F.col("label").alias("label_id")), PIXEL).select("scene_id", "pred_id", "label_id")
+    pairs.repartition(4).write.parquet(f"{at}/in")
+    add, seen = confusion.counts_sink(f"{at}/counts"), []
+
+    def twice(batch, batch_id):
+        # as after a restart: a batch comes again, even once it is merged
+        add(batch, batch_id)
+        if batch_id == 1:
+            confusion.compact_counts(i.spark, f"{at}/counts")
+        add(batch, batch_id)
+        seen.append(batch_id)
+
+    stream = i.spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return confusion.merged_counts(i.spark, f"{at}/counts")
+
+
+@query("select cast(scene_id as int) scene, modality, frame_id, length(text)+1 as length from (select scene_id, frame_id, m modality, m || ' ' || frame_id as text from (select distinct scene_id, frame_id from fx_pixel) cross join (values ('color'),('depth')) v(m)) where scene_id in (1,2) and modality='depth'")
+def s01_list_workspace(i):
+    at = files.scratch(i.spark, "workspace")
+    frames_ = i.pixel.select("scene_id", "frame_id").distinct()
+    rows = frames_.select(F.col("scene_id").alias("scene"), F.explode(F.array(F.lit("color"), F.lit("depth"))).alias("modality"), "frame_id")
+    rows = rows.withColumn("value", F.concat_ws(" ", "modality", F.col("frame_id").cast("string")))
+    rows.repartition("scene", "modality").write.partitionBy("scene", "modality", "frame_id").text(at)
+    listed = files.list_partitioned(i.spark, at).where("scene in (1, 2) and modality = 'depth'")
+    return listed.select("scene", "modality", "frame_id", "length")
 
 
 # --- vocabulary ---------------------------------------------------------------------------------------------------

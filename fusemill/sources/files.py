@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,11 +115,77 @@ def training_meta(frames: DataFrame, bounds: DataFrame, classes: DataFrame, hist
     return listed.join(bounds, "scene_id").join(shares, "scene_id", "left").select("scene_id", F.to_json(meta).alias("meta"))
 
 
-def cached_confmat(spark: SparkSession, folder: str, key: dict, compute, overwrite: bool = False) -> DataFrame:
-    """Counts stored under the key's values (all of them, the stride as well), computed where they aren't there."""
+def fingerprints(inputs: list[DataFrame]) -> DataFrame:
+    """scene_id, fingerprint: counts and sums of row hashes of each input's rows of a scene, whatever their order."""
+    out = None
+    for k, df in enumerate(inputs):
+        row = F.xxhash64(*sorted(df.columns))
+        # two sums, of the hashes and of their upper halves mixed, so that exchanged values don't cancel out
+        other = F.xxhash64(row, F.lit(k))
+        one = df.groupBy("scene_id").agg(F.concat_ws("-", F.count("*"), F.sum(row.cast("decimal(38,0)")), F.sum(other.cast("decimal(38,0)"))).alias(f"f{k}"))
+        out = one if out is None else out.join(one, "scene_id", "full")
+    return out.select("scene_id", F.sha2(F.concat_ws("/", *(F.coalesce(f"f{k}", F.lit("none")) for k in range(len(inputs)))), 256).alias("fingerprint"))
+
+
+def _children(spark: SparkSession, path: str, marker: str) -> list[str]:
+    """The folders in path that hold a finished marker."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = fs_path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = [str(s.getPath().toString()) for s in fs.listStatus(at)]
+    return sorted(f for f in found if fs.exists(fs_path(f"{f}/{marker}")))
+
+
+def finished(spark: SparkSession, path: str, kind: str) -> list[tuple[int, str]]:
+    """Number and path of the finished folders <kind>-<number> in path."""
+    names = [(f.rsplit("/", 1)[1].partition("-"), f) for f in _children(spark, path, "_SUCCESS")]
+    return [(int(n), f) for (k, _, n), f in names if k == kind]
+
+
+def cached_confmat(spark: SparkSession, folder: str, key: dict, inputs: list[DataFrame], compute: Callable[..., DataFrame], overwrite: bool = False) -> DataFrame:
+    """Counts (scene_id, ...) of the inputs (each with scene_id), stored under the key's values (all of them, the stride as well).
+
+    A scene's counts are kept with a fingerprint of its rows. compute gets the inputs without the scenes whose
+    fingerprint is stored; so a changed, new or lost row recomputes its scene, and no other. A run is a folder that
+    counts once it is finished; a scene without counts is remembered as well.
+    """
     path = folder + "/" + "/".join(f"{k}={v}" for k, v in key.items())
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if overwrite or not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    now = stored(fingerprints(inputs), "fingerprints")
+    done = [] if overwrite else _children(spark, path, "scenes/_SUCCESS")
+    known = spark.read.schema(now.schema).parquet(*(f"{d}/scenes" for d in done)) if done else now.limit(0)
+    todo = stored(now.join(known, ["scene_id", "fingerprint"], "left_anti"), "fingerprints")
+    if not todo.isEmpty() or not done:
+        run = f"{path}/run-{uuid.uuid4().hex}"
+        fresh = compute(*(df.join(todo.select("scene_id"), "scene_id", "left_semi") for df in inputs))
+        fresh.join(todo, "scene_id").write.parquet(f"{run}/counts")
+        todo.write.parquet(f"{run}/scenes")
+        done.append(run)
+    counts = spark.read.parquet(*(f"{d}/counts" for d in done))
+    # a scene that went back to an earlier state may be in several runs, with equal counts
+    return counts.join(now, ["scene_id", "fingerprint"], "left_semi").drop("fingerprint").distinct()
+
+
+def list_workspace(spark: SparkSession, root: str, scenes: list[str] | None = None, modalities: list[str] | None = None) -> DataFrame:
+    """path, scene, modality, frame_id, length, modified of the frames of a workspace: <root>/<scene>/<modality>/<frame>.<type>.
+
+    Folders are listed by Spark, in parallel where they are many, and no file is opened. Only the scenes and
+    modalities asked for are listed; modalities may be paths, such as intermediate/*. Files whose name isn't a number
+    are left out. Where folders are named scene=...,modality=..., a filter on these columns prunes folders as well.
+    """
+    braces = lambda names: "*" if names is None else "{" + ",".join(names) + "}"
+    level = f"{root.rstrip('/')}/{braces(scenes)}/{braces(modalities)}"
+    files = spark.read.format("binaryFile").load(level)
+    parts = F.regexp_extract_all("path", F.lit(r"([^/]+)(?=/|$)"))
+    stem = F.regexp_extract("path", r"/0*(\d+)\.\w+$", 1)
+    out = files.select("path", F.element_at(parts, -2).alias("modality"), stem.try_cast("int").alias("frame_id"), "length", F.col("modificationTime").alias("modified"))
+    above = F.element_at(parts, -3)
+    scene = F.when(above == "intermediate", F.element_at(parts, -4)).otherwise(above)
+    return out.select("path", scene.alias("scene"), "modality", "frame_id", "length", "modified").where("frame_id is not null")
+
+
+def list_partitioned(spark: SparkSession, root: str) -> DataFrame:
+    """path, the folders' columns, length, modified of a workspace whose folders are named <column>=<value>; filters on these columns prune folders, and no file is opened."""
+    files = spark.read.format("binaryFile").load(root)
+    return files.withColumnRenamed("modificationTime", "modified").drop("content")

@@ -161,13 +161,111 @@ def test_plans(i):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_cached_confmat_key_has_the_stride(spark, tmp_path):
-    one = lambda n: lambda: spark.createDataFrame([(n,)], "n long")
-    at = f"file://{tmp_path}/c"
-    assert files.cached_confmat(spark, at, {"stride": 1}, one(1)).first().n == 1
-    assert files.cached_confmat(spark, at, {"stride": 1}, one(2)).first().n == 1
-    assert files.cached_confmat(spark, at, {"stride": 2}, one(3)).first().n == 3
-    assert files.cached_confmat(spark, at, {"stride": 1}, one(4), overwrite=True).first().n == 4
+def test_cached_confmat_counts_changed_scenes_only(spark, tmp_path):
+    at, asked = f"file://{tmp_path}/c", []
+
+    def rows(changed=None):
+        found = [(s, f, x, x % 3) for s in (1, 2, 3) for f in (0, 1) for x in range(5)]
+        return spark.createDataFrame([r if r[:3] != changed else (*r[:3], 7) for r in found], "scene_id int, frame_id int, px int, label int")
+
+    def count(pred, truth):
+        asked.append({r.scene_id for r in pred.select("scene_id").distinct().collect()})
+        pairs = pred.withColumnRenamed("label", "pred_id").join(truth.withColumnRenamed("label", "label_id"), ["scene_id", "frame_id", "px"])
+        return confusion.running_confmat(pairs)
+
+    def run(pred, truth, key={"stride": 1}, **kw):
+        got = files.cached_confmat(spark, at, key, [pred, truth], count, **kw)
+        want = count(pred, truth)
+        asked.pop()
+        assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0
+
+    run(rows(), rows())
+    run(rows().repartition(5), rows())  # the order of rows is no change
+    assert asked == [{1, 2, 3}]
+    run(rows(), rows((2, 1, 3)))  # the truth of one pixel
+    run(rows((3, 0, 0)), rows((2, 1, 3)))
+    run(rows(), rows().where("scene_id < 3"))  # a scene's truth is gone
+    run(rows(), rows())  # and back
+    assert asked == [{1, 2, 3}, {2}, {3}, {3}, ]
+    run(rows(), rows(), {"stride": 2})
+    run(rows(), rows(), overwrite=True)
+    assert asked[4:] == [{1, 2, 3}, {1, 2, 3}]
+    # a run that stopped before its scenes were written doesn't count
+    broken = tmp_path / "c" / "stride=1" / "run-x" / "counts"
+    broken.mkdir(parents=True)
+    (broken / "part.parquet").write_bytes(b"half")
+    run(rows(), rows())
+
+
+def test_dense_numbers_of_one_long_tail(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).alias("name"), F.lit(4).alias("total"))
+        placed = vocab.numbered_by(rows, [F.desc("total"), "name"])
+        assert placed.agg(F.min("place"), F.max("place"), F.count_distinct("place")).first() == (0, 999_999, 1_000_000)
+        assert placed.where("place > 0").sample(0.001, 1).limit(50).count() > 0
+        by = placed.select("name", "place").orderBy("place").limit(1000).collect()
+        assert [r.name for r in by] == sorted(r.name for r in by) and by[0].place == 0
+        # every range has its share of the rows, though all have one total
+        held = placed.groupBy(F.floor(F.col("place") / 250_000)).count().collect()
+        assert len(held) == 4 and "Window [row_number" not in placed._jdf.queryExecution().executedPlan().toString()
+        assert vocab.numbered_by(rows.limit(0), ["name"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_batches_count_once(spark, tmp_path):
+    at = f"file://{tmp_path}/s"
+    batch = lambda n: spark.createDataFrame([(0, n, 1), (0, n, 1), (0, 5, n)], "scene_id int, pred_id int, label_id int")
+    add = confusion.counts_sink(at)
+    read = lambda: {(r.pred_id, r.label_id): r.n for r in confusion.merged_counts(spark, at).collect()}
+    for n in (0, 1, 1, 0, 2):
+        add(batch(n), n)
+    want = {(0, 1): 2, (1, 1): 2, (2, 1): 2, (5, 0): 1, (5, 1): 1, (5, 2): 1}
+    assert read() == want
+    (tmp_path / "s" / "batch-9").mkdir()  # begun, not finished
+    assert read() == want
+    confusion.compact_counts(spark, at)
+    assert read() == want and (tmp_path / "s" / "base-2").exists()
+    add(batch(2), 2)  # comes again after it was merged
+    assert read() == want
+    add(batch(3), 3)
+    confusion.compact_counts(spark, at)
+    assert read() == want | {(3, 1): 2, (5, 3): 1}
+
+
+def test_windowed_counts_close(spark, tmp_path):
+    rows = [("2024-01-01 00:01:00", 1, 1), ("2024-01-01 00:04:59", 1, 1), ("2024-01-01 00:05:00", 1, 2), ("2024-01-01 01:00:00", 2, 2), ("2024-01-01 01:01:00", 2, 2), ("2024-01-01 00:02:00", 1, 1), ("2024-01-01 02:00:00", 3, 3)]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], "ts string, pred_id int, label_id int").select(F.col("ts").cast("timestamp").alias("ts"), "pred_id", "label_id").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"k={k}"))
+    stream = spark.readStream.schema("ts timestamp, pred_id int, label_id int, k int").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    q = confusion.windowed_confmat(stream).writeStream.outputMode("append").format("memory").queryName("windows").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(str(r.start)[11:16], r.pred_id, r.label_id): r.n for r in spark.table("windows").collect()}
+    # the row of 00:02 came two batches after an hour's jump and is too late; the last window is still open
+    assert got == {("00:00", 1, 1): 2, ("00:05", 1, 2): 1, ("01:00", 2, 2): 2}
+
+
+def test_workspace_is_listed_where_asked(spark, tmp_path):
+    for scene in ("s1", "s2"):
+        for folder in ("color", "depth", "intermediate/wordnet_ovseg_1", "intermediate/ade20k_cmx_1"):
+            at = tmp_path / scene / folder
+            at.mkdir(parents=True)
+            for name in ("000000.png", "000012.png", "notes.txt"):
+                (at / name).write_text(scene)
+    root = f"file://{tmp_path}"
+    every = files.list_workspace(spark, root, modalities=["color", "depth"]).collect()
+    assert sorted((r.scene, r.modality, r.frame_id, r.length) for r in every) == sorted((s, m, f, 2) for s in ("s1", "s2") for m in ("color", "depth") for f in (0, 12))
+    some = files.list_workspace(spark, root, ["s2"], ["intermediate/*"])
+    assert {(r.scene, r.modality) for r in some.collect()} == {("s2", "wordnet_ovseg_1"), ("s2", "ade20k_cmx_1")} and all("/s2/intermediate/" in f for f in some.inputFiles())
+    folders = some.select(F.col("modality").alias("folder")).distinct()
+    assert {r.label_space for r in frames.predictor_catalog(folders).collect()} == {"wordnet", "ade20k"}
+    # no file's content is read, and folders named by columns are pruned by filters
+    assert "content" not in str(some._jdf.queryExecution().executedPlan()).split("ReadSchema")[1]
+    spark.range(12).select((F.col("id") % 3).alias("scene"), F.lit("color").alias("modality"), F.lit("x").alias("value")).write.partitionBy("scene", "modality").text(f"{root}/named")
+    named = files.list_partitioned(spark, f"{root}/named").where("scene = 1")
+    assert "PartitionFilters: [isnotnull(scene" in named._jdf.queryExecution().executedPlan().toString() and {r.scene for r in named.collect()} == {1}
 
 
 def test_scan_files(spark, tmp_path):

@@ -41,6 +41,15 @@ def test_votes_taken_back_are_votes_never_cast(spark, i):
     assert "Cartesian" not in seen and "NestedLoop" not in seen.split("Subquery")[0].split("collect_list(struct(n")[0]
 
 
+def test_signatures_give_the_vote(spark, i):
+    table = vote.vote_table(i.vocab, ["ade20k", "nyu40id", "wn199", "id"], "wn_merged")
+    pred = i.pred.select(*PIXEL, "label_space", "label")
+    rows = spark.createDataFrame([(9, 9, 0, 0, "none", 3), (9, 9, 1, 0, "nyu40id", 99), (9, 9, 1, 0, "nyu40id", 99), (9, 9, 2, 0, "wn199", None), (9, 9, 2, 0, "id", 7)], "scene_id int, frame_id int, px int, py int, label_space string, label int")
+    for least in (1, 2):
+        want, got = (f(pred.unionByName(rows), table, PIXEL, least) for f in (vote.vote, vote.vote_by_signature))
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
 # --- visibility ---
 
 
