@@ -1,13 +1,14 @@
-"""Removal of repeated byte strings by prefix doubling over sampled positions.
-
-A suffix array's prefix doubling ranks every position by ever longer prefixes:
-each round sorts pairs of a position's rank and the rank at an offset, and
-positions whose rank is unique leave. Here only strings of ``length`` bytes
-matter, so the offsets grow from half of it to three quarters to all of it, and
-positions are sampled: of the grams of half the length, each window of
-``length`` bytes is stood for by its least gram (by hash, the leftmost of equal
-ones). Equal windows have the same gram at the same place in them, so comparing
-the windows of equal grams compares all equal windows.
+"""Removal of repeated byte strings by sampled grams, ranked at two lengths.
+
+A suffix array's prefix doubling ranks every position by ever longer prefixes,
+from pairs of ranks, and positions whose rank is unique leave. Here only strings
+of ``length`` bytes matter, and moving every position would be 25 GB a round on
+half a gigabyte of Parquet. So this is gram sampling in place of doubling: of the
+grams of half the length, each window of ``length`` bytes is stood for by its
+least gram (by hash, the leftmost of equal ones); equal windows have the same
+gram at the same place in them, so comparing the windows of equal grams compares
+all equal windows. Ranks are hashes of the bytes themselves at three quarters of
+the length and at the whole of it, and what is unique leaves after each.
 
 1. Rows of equal texts are one text, whose id is the smallest of theirs; in the
    rows of larger ids every byte of a long enough text is removed.
