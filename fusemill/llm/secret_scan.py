@@ -103,37 +103,48 @@ def _hot_span(c: Column, window: int, least_bits: dict[str, float]) -> Column:
 
     def slide(x: Column) -> Column:
         def step(a: Column, ch: Column) -> Column:
-            into = F.ascii(ch)
-            out = F.when(a["i"] < window, F.lit(-1)).otherwise(F.ascii(F.get(x["chars"], a["i"] - window)))
+            w, full = a["w"], F.length(a["w"]) >= window
+            gone = F.when(full, F.left(w, F.lit(1))).otherwise("")
+            count = lambda c: F.length(w) - F.length(F.replace(w, c, F.lit("")))
 
             def change(d: Column) -> Column:
-                n, gone = a["n"], F.greatest(F.lit(0), d["out"])
-                delta = x["f"][n[d["in"]] + 1] - x["f"][n[d["in"]]] + F.when(d["out"] < 0, F.lit(0).cast("long")).otherwise(x["f"][F.greatest(F.lit(0), n[gone] - 1)] - x["f"][n[gone]])
-                same = d["in"] == d["out"]
-                counts = F.transform(n, lambda v, k: v + F.when(k == d["in"], 1).when(k == d["out"], -1).otherwise(0))
-                return F.struct((a["i"] + 1).alias("i"), F.when(same, n).otherwise(counts).alias("n"), F.when(same, a["q"]).otherwise(a["q"] + delta).alias("q"))
+                # the two counts that change: of the character that enters and of the one that leaves
+                delta = x["f"][d["in"] + 1] - x["f"][d["in"]] + F.when(d["full"], x["f"][F.greatest(F.lit(0), d["out"] - 1)] - x["f"][d["out"]]).otherwise(F.lit(0).cast("long"))
+                kept = F.when(d["full"], F.substring(w, 2, window - 1)).otherwise(w)
+                return F.struct((a["i"] + 1).alias("i"), F.concat(kept, ch).alias("w"), F.when(d["gone"] == ch, a["q"]).otherwise(a["q"] + delta).alias("q"))
 
-            moved = _let(F.struct(into.alias("in"), out.alias("out")), change)
+            moved = _let(F.struct(count(ch).alias("in"), F.when(full, count(gone)).otherwise(0).alias("out"), full.alias("full"), gone.alias("gone")), change)
 
             def judge(b: Column) -> Column:
                 hot = (b["i"] >= window) & (b["q"] <= x["most"])
                 return F.struct(
-                    b["i"].alias("i"), b["n"].alias("n"), b["q"].alias("q"),
+                    b["i"].alias("i"), b["w"].alias("w"), b["q"].alias("q"),
                     F.when(hot & (a["s"] < 0), b["i"] - window).otherwise(a["s"]).alias("s"),
                     F.when(hot, b["i"]).otherwise(a["e"]).alias("e"),
                 )
 
             return _let(moved, judge)
 
-        start = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0).cast("long").alias("q"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
+        start = F.struct(F.lit(0).alias("i"), F.lit("").alias("w"), F.lit(0).cast("long").alias("q"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
         return F.aggregate(x["chars"], start, step, lambda a: F.struct(a["s"].alias("s"), a["e"].alias("e")))
 
     return _let(F.struct(F.split(c["t"], "").alias("chars"), f.alias("f"), most.alias("most")), slide)
 
 
-def _pieces(c: Column, cuts: Column, window: int) -> Column:
-    """What is left of c without the cuts and one joining character beside each, as far as it is a window long."""
-    inner = F.array_sort(F.transform(F.filter(cuts, lambda z: (z["s"] < c["e"]) & (c["s"] < z["e"])), lambda z: F.struct(z["s"].alias("s"), z["e"].alias("e"))))
+def _chunks(spans: Column) -> Column:
+    """Runs of RUN spans (z) with the first start and the last end of each: what overlaps a place is looked for in few of them."""
+
+    def one(z: Column) -> Column:
+        return F.struct(F.array_min(F.transform(z, lambda x: x["s"])).alias("s"), F.array_max(F.transform(z, lambda x: x["e"])).alias("e"), z.alias("z"))
+
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int")), lambda k: _let(F.slice(spans, k * RUN + 1, F.lit(RUN)), one))
+
+
+def _pieces(c: Column, chunks: Column, window: int) -> Column:
+    """What is left of c without the cuts (in chunks) and one joining character beside each, as far as it is a window long."""
+    over = lambda z: (z["s"] < c["e"]) & (c["s"] < z["e"])
+    near = F.flatten(F.transform(F.filter(chunks, over), lambda k: k["z"]))
+    inner = F.array_sort(F.transform(F.filter(near, over), lambda z: F.struct(z["s"].alias("s"), z["e"].alias("e"))))
 
     def joins(at: Column) -> Column:
         return F.when(c["t"].substr(at - c["s"] + 1, F.lit(1)).rlike(JOINERS), 1).otherwise(0)
@@ -155,15 +166,22 @@ def _shifted(hits: Column, by: Column) -> Column:
 
 
 def _merged(spans: Column) -> Column:
-    """Spans (structs of s and e) with overlapping ones made one."""
-    kind = "array<struct<s:int,e:int>>"
+    """Spans (structs of s and e) with overlapping ones made one; finished ones are kept in runs of RUN, since an array that grows one by one takes time with its square."""
+    kind, runs = "array<struct<s:int,e:int>>", "array<array<struct<s:int,e:int>>>"
 
-    def add(o: Column, z: Column) -> Column:
-        last = F.get(o, F.size(o) - 1)
+    def add(a: Column, z: Column) -> Column:
+        last = a["last"]
         longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], z["e"]).alias("e"))
-        return F.when(z["s"] < last["e"], F.concat(F.slice(o, F.lit(1), F.size(o) - 1), F.array(longer))).otherwise(F.concat(o, F.array(z))).cast(kind)
+        part = F.concat(a["part"], F.array(last)).cast(kind)
+        full = F.size(a["part"]) + 1 >= RUN
+        moved = F.struct(F.when(full, F.concat(a["full"], F.array(part))).otherwise(a["full"]).cast(runs).alias("full"), F.when(full, F.array().cast(kind)).otherwise(part).alias("part"), z.alias("last"))
+        return F.when(z["s"] < last["e"], F.struct(a["full"].alias("full"), a["part"].alias("part"), longer.alias("last"))).otherwise(moved)
+
+    def fold(z: Column) -> Column:
+        start = F.struct(F.array().cast(runs).alias("full"), F.array().cast(kind).alias("part"), z[0].alias("last"))
+        return F.aggregate(z, start, add, lambda a: F.flatten(F.concat(a["full"], F.array(F.concat(a["part"], F.array(a["last"])).cast(kind)))))
 
-    return F.when(F.size(spans) < 2, spans.cast(kind)).otherwise(F.aggregate(F.array_sort(spans.cast(kind)), F.array().cast(kind), add))
+    return F.when(F.size(spans) < 2, spans.cast(kind)).otherwise(_let(F.array_sort(spans.cast(kind)), fold))
 
 
 def scan(
@@ -185,7 +203,10 @@ def scan(
     runs = F.flatten(F.transform("__maybe", lambda c: _shifted(_hits(c["t"], NARROW), c["s"])))
     words = F.flatten(F.transform("__maybe", lambda c: _shifted(_hits(c["t"], PLACEHOLDER_WORD), c["s"])))
     out = out.withColumn("__cuts", F.concat(base, words)).withColumn("__maybe", F.array_distinct(F.concat("__maybe", runs)))
-    out = out.withColumn("__maybe", F.flatten(F.transform("__maybe", lambda c: _pieces(c, F.col("__cuts"), window))))
+    out = out.withColumn("__cuts", F.when(F.size("__cuts") > 0, _chunks(F.col("__cuts"))).otherwise(F.array()))
+    # bound together, or the optimizer puts the cuts' expression into the function, which then runs once a candidate
+    both = F.struct(F.col("__cuts").alias("cuts"), F.col("__maybe").alias("maybe"))
+    out = out.withColumn("__maybe", _let(both, lambda x: F.flatten(F.transform(x["maybe"], lambda c: _pieces(c, x["cuts"], window)))))
 
     def open_(c: Column) -> Column:
         listed = ~c["t"].rlike(NOT_WORDS)
