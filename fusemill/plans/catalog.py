@@ -1065,7 +1065,7 @@ def _spline_sql(ends: str) -> str:
 def m08_cubic_translation(i):
     found = None
     for ends in ("natural", "not-a-knot"):
-        one = spline.spline_positions(_sensor(i, "click"), spline.spline_pieces(i.traj, ends, block=3_600_000_000)).withColumn("ends", F.lit(ends))
+        one = spline.spline_positions(_sensor(i, "click"), spline.spline_pieces(i.traj, ends, block=86_400_000_000)).withColumn("ends", F.lit(ends))
         found = one if found is None else found.unionByName(one)
     return found.select("ends", "scene_id", "us", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in _AXES))
 
