@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -113,6 +114,45 @@ def test_variable_fields_and_whole_copies(spark):
     assert line_dedup.drop_recurring(odd(spark, [])).count() == 0
 
 
+def test_families_of_several_fields(spark):
+    """Recall of lines with one to three fields whose values recur, alone in a leaf or with other families of it; lines at random stay."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(2500)]
+    shapes = [
+        "posted by the member {} in this wide forum today",
+        "posted by the member {} from the town of {} in this wide forum today",
+        "posted by the member {} from the town of {} with his old friend {} in this wide forum today",
+    ]
+    rows, family = [], {}
+
+    def add(kind, line):
+        own = [" ".join(rng.choice(words[:300]) for _ in range(rng.randrange(5, 14))) for _ in range(3)]
+        family[len(rows)] = kind
+        rows.append((len(rows), "\n".join([*own, line])))
+
+    for n, shape in enumerate(shapes, 1):
+        for values in (20, 200, 2000):
+            for _ in range(300):
+                add((n, values), shape.replace("posted", f"posted{'x' * n}{'y' * (values // 200)}").format(*(rng.choice(words[:values]) for _ in range(n))))
+        for values in (20, 40):
+            for k in range(values * values if n == 2 else 300):
+                add((n, values, "shared"), shape.format(*[words[k // values % values], words[k % values], rng.choice(words[:values])][:n]))
+    found, size = collections.Counter(), collections.Counter(family.values())
+    for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect():
+        gone = "forum" not in r.text
+        found[family[r.doc_id]] += gone
+        assert r.n_dropped == gone
+    assert all(found[k] >= 0.95 * n for k, n in size.items()), found
+
+
+def test_line_dedup_keeps_columns_of_its_own_names(spark):
+    rows = [(k, f"this line stands in {name} texts here\nown{name}", "a", k, [k]) for k, name in enumerate("pqrstu")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, __TEXT int, __drop array<int>")
+    out = line_dedup.drop_recurring(docs)
+    assert out.columns == [*docs.columns, *line_dedup.NAMES]
+    assert sorted(tuple(r)[:6] for r in out.collect()) == [(k, f"own{n}", "a", k, [k], 2) for k, n in enumerate("pqrstu")]
+
+
 def test_every_cluster_of_a_leaf(spark):
     name = lambda k: "".join(chr(97 + int(c)) for c in f"{k:03}")
     own = lambda k: "\n".join(f"{name(k)}{w} {name(k)}{w}x {name(k)}{w}y only here" for w in "pqrstuv")
