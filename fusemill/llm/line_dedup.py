@@ -88,12 +88,13 @@ def recurring(
     lines = lines.where(_words(F.col("template")) >= min_words).where(in_some(full.select(F.col("leaf").alias("h")))(_leaf(F.col("template"), leading)))
     pairs = written(lines.distinct(), "line-pairs")
     templates = pairs.groupBy("template").agg(F.count("*").alias("n"))
-    templates = written(templates.select(_leaf(F.col("template"), leading).alias("leaf"), F.xxhash64("template").alias("key"), "template", "n"), "line-templates")
+    most = _fields(_words(F.col("template")), similar)
+    templates = templates.select(_leaf(F.col("template"), leading).alias("leaf"), F.xxhash64("template").alias("key"), "template", "n", most.alias("most"))
+    templates = written(templates, "line-templates")
     # the words beyond the leading ones; the first word stands for its leaf and keeps templates without others
-    split = F.split("template", " ")
-    words = templates.select("leaf", "key", "n", F.size(split).alias("size"), F.posexplode(split).alias("at", "word"))
+    words = templates.select("leaf", "key", "n", "most", F.posexplode(F.split("template", " ")).alias("at", "word"))
     words = words.where(((F.col("at") >= leading) & (F.col("word") != "<*>")) | (F.col("at") == 0))
-    words = words.select("leaf", "key", "n", _fields(F.col("size"), similar).alias("most"), "at", F.xxhash64("leaf", "at", "word").alias("word"))
+    words = words.select("leaf", "key", "n", "most", "at", F.xxhash64("leaf", "at", "word").alias("word"))
     docs_of = written(words.groupBy("word").agg(F.sum("n").alias("docs")), "line-words")
     frequent = in_some(docs_of.where(F.col("docs") >= min_docs).select(F.col("word").alias("h")), bits=24)
     able = words.groupBy("key").agg(F.count_if(~frequent(F.col("word"))).alias("rare"), F.max("most").alias("most")).where(F.col("rare") <= F.col("most"))
