@@ -206,3 +206,36 @@ def test_a_frame_of_a_hundred_thousand_boxes(spark):
     own = own.withColumns({"x1": F.col("x0") + 10, "y1": F.col("y0") + 25})
     kept = boxes.nms_boxes(own, 0.3).cache()
     assert 20_000 < kept.count() < 60_000 and boxes.box_pairs(kept, 0.3).isEmpty()
+
+
+# --- classes of frames and points ---
+
+
+def test_equal_poses_and_positions_meet_once(spark):
+    rng = np.random.default_rng(3)
+    points = pd.DataFrame(rng.integers(-4, 5, (4000, 3)) * [0.3, 0.2, 0.1] + [0, 0, 2], columns=list("xyz")).assign(scene_id=lambda d: d.index % 2, vertex_id=lambda d: d.index)
+    points = spark.createDataFrame(points).unionByName(spark.createDataFrame([(None, 0.0, 2.0, 0, 9000)], "x double, y double, z double, scene_id long, vertex_id long"))
+    lit = lambda v: F.lit(float(v))
+    pose = F.array(lit(1), lit(0), lit(0), F.col("frame_id") % 7 * 0.1, lit(0), lit(1), lit(0), lit(0), lit(0), lit(0), lit(1), lit(0), lit(0), lit(0), lit(0), lit(1))
+    frames = spark.range(400).select((F.col("id") % 2).alias("scene_id"), F.col("id").cast("int").alias("frame_id")).withColumn("pose", pose)
+    seen = lift.places_x_views(points, frames, CAMERA, 0.5)
+    assert seen.count() <= 14 * 729  # not 400 frames x 4,000 points
+    plain = lift.points_x_frames(points, frames, CAMERA).cache()
+    whole = lift.expand_seen(seen, points, frames)
+    assert whole.count() == plain.count() and whole.exceptAll(plain.select(whole.columns)).count() == 0
+
+    grid = frames.select("scene_id", "frame_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("px")).select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("py"))
+    grid = grid.where("(frame_id + px * py) % 11 <> 0")
+    depth, labels = grid.withColumn("depth_m", F.pmod(F.hash("px", "py", "frame_id"), F.lit(5)) * 0.1 + 1.8), grid.withColumn("label", F.pmod(F.hash("frame_id", "px"), F.lit(4)))
+    pixels, looked = lift.seen_pixels(depth, labels, frames), plain.join(depth, PIXEL).join(labels, PIXEL).cache()
+    near = looked.where("abs(z - depth_m) <= 0.1")
+    best = near.groupBy("scene_id", "vertex_id", "label").count().groupBy("scene_id", "vertex_id").agg(F.max(F.struct("count", -F.col("label"))).alias("b"))
+    voted = points.join(best, ["scene_id", "vertex_id"], "left").selectExpr("scene_id", "vertex_id", "coalesce(-b.col2, 0)", "coalesce(b.count, 0)")
+    for got, want in (
+        (lift.seen_by_frame(seen, frames, 16), plain.groupBy("scene_id", "frame_id").agg(F.count("*"), F.sum(F.col("vertex_id") * (F.col("px") + 16 * F.col("py"))))),
+        (lift.seen_by_label(seen, pixels), looked.groupBy("scene_id", "frame_id", "label").agg(F.count("*"), F.sum("vertex_id"))),
+        (lift.lift_votes(points, seen, pixels), voted),
+        (lift.splat_points(seen, pixels, points.select("scene_id", "vertex_id", "x")), near.groupBy(*PIXEL).agg(F.max("vertex_id").alias("vertex_id")).join(points.select("scene_id", "vertex_id", "x"), ["scene_id", "vertex_id"])),
+    ):
+        rows = sorted(map(tuple, got.collect()))
+        assert rows and rows == sorted(map(tuple, want.collect()))
