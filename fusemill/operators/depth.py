@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def fit_affine_depth(rows: DataFrame) -> DataFrame:
-    """rows (mono, depth_mm) with fitted: each frame's least squares over its measured pixels, cut to an integer."""
+    """rows (mono, depth_mm) with fitted: each frame's least squares over its measured pixels, rounded to six decimals and cut to an integer.
+
+    The rounding comes first: a fit that meets an integer may miss it by a last bit, either way by the order of summation.
+    """
     frame = ["scene_id", "frame_id"]
     seen = rows.where("depth_mm <> 0").groupBy(*frame).agg(F.regr_slope("depth_mm", "mono").alias("a"), F.regr_intercept("depth_mm", "mono").alias("b"))
-    return rows.join(seen, frame, "left").withColumn("fitted", (F.col("a") * F.col("mono") + F.col("b")).try_cast("int")).drop("a", "b")
+    return rows.join(seen, frame, "left").withColumn("fitted", F.round(F.col("a") * F.col("mono") + F.col("b"), 6).try_cast("int")).drop("a", "b")
 
 
 def complete_depth(rows: DataFrame, patch: int = 32) -> DataFrame:
