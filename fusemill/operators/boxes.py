@@ -47,12 +47,13 @@ def box_pairs(boxes: DataFrame, iou: float) -> DataFrame:
         up = F.sequence(F.col("own"), F.col("own") + math.ceil(math.log2(1 / iou)) + 1)
         left = one.select("frame_id", "p", "own", F.explode(_cells("p", F.col("own"))).alias("cell"))
         right = one.select("frame_id", F.col("p").alias("q"), F.col("own").alias("q_own"), F.explode(F.flatten(F.transform(up, lambda k: _cells("p", k)))).alias("cell"))
-        pairs = left.join(right, ["frame_id", "cell"]).where(meet & ((F.col("own") > F.col("q_own")) | first))
+        # a box has many cells, which its table's size doesn't tell: without the hint the cells of all boxes may be broadcast
+        pairs = left.join(right.hint("merge"), ["frame_id", "cell"]).where(meet & ((F.col("own") > F.col("q_own")) | first))
         edge = F.pow(F.lit(2.0), F.col("cell.level"))
         for c in "xy":
             pairs = pairs.where(F.floor(F.greatest(p[f"{c}0"], q[f"{c}0"]) / edge) == F.col("cell")[c])
     else:
-        pairs = one.join(one.withColumnRenamed("p", "q").drop("own"), "frame_id").where(meet & first)
+        pairs = one.join(one.withColumnRenamed("p", "q").drop("own").hint("merge"), "frame_id").where(meet & first)
     value = box_iou({c: p[c] for c in CORNERS}, {c: q[c] for c in CORNERS})
     a, b = F.when(first, p["box_id"]).otherwise(q["box_id"]), F.when(first, q["box_id"]).otherwise(p["box_id"])
     return pairs.select("frame_id", a.alias("a"), b.alias("b"), value.alias("iou")).where(F.col("iou") > iou)
