@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIXEL = ["scene_id", "frame_id", "px", "py"]
@@ -39,31 +39,38 @@ def flip_pixels(rows: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("px", F.lit(width - 1) - F.col("px"))
 
 
-def _grid(rows: DataFrame, width: int, height: int) -> DataFrame:
-    frames = rows.select("scene_id", "frame_id").distinct()
-    return frames.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("px")).select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("py"))
+def _nearest_taps(spark: SparkSession, axis: str, n: int, m: int) -> DataFrame:
+    """to_<axis>, <axis>: for each of m target positions the source position of n at floor(position * n / m)."""
+    return spark.range(m).select(F.col("id").cast("int").alias(f"to_{axis}"), F.floor(F.col("id") * n / m).cast("int").alias(axis))
+
+
+def _linear_taps(spark: SparkSession, axis: str, n: int, m: int) -> DataFrame:
+    """to_<axis>, <axis>, w_<axis>: the two source positions of each target position and their weights."""
+    src = (F.col("id") + 0.5) * (n / m) - 0.5
+    low = F.floor(src)
+    clamp = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(n - 1)).cast("int")
+    each = F.array(F.struct(clamp(low).alias("p"), (1 - (src - low)).alias("w")), F.struct(clamp(low + 1).alias("p"), (src - low).alias("w")))
+    return spark.range(m).select(F.col("id").cast("int").alias(f"to_{axis}"), F.explode(each).alias("e")).select(f"to_{axis}", F.col("e.p").alias(axis), F.col("e.w").alias(f"w_{axis}"))
 
 
 def resample_nearest(rows: DataFrame, value: str, size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
-    """Rasters of another size: each pixel takes the one at floor(position * source / target)."""
-    grid = _grid(rows, *to).withColumns({"sx": F.floor(F.col("px") * size[0] / to[0]).cast("int"), "sy": F.floor(F.col("py") * size[1] / to[1]).cast("int")})
-    source = rows.select("scene_id", "frame_id", F.col("px").alias("sx"), F.col("py").alias("sy"), value)
-    return grid.join(source, ["scene_id", "frame_id", "sx", "sy"]).drop("sx", "sy")
+    """Rasters of another size: each pixel takes the one at floor(position * source / target).
+
+    Rows meet the positions of each axis, two tables as long as the target's sides, whatever the number of frames.
+    """
+    out = rows.select(*PIXEL, value)
+    for axis, n, m in zip(("px", "py"), size, to):
+        out = out.join(_nearest_taps(rows.sparkSession, axis, n, m), axis)
+    return out.select("scene_id", "frame_id", F.col("to_px").alias("px"), F.col("to_py").alias("py"), value)
 
 
 def resample_bilinear(rows: DataFrame, value: str, size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
     """Half-pixel centres, clamped at the edges; missing values count as they are stored."""
-
-    def near(p: str, n: int, m: int) -> Column:
-        src = (F.col(p) + 0.5) * (n / m) - 0.5
-        low = F.floor(src)
-        clamp = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(n - 1)).cast("int")
-        return F.array(F.struct(clamp(low).alias("p"), (1 - (src - low)).alias("w")), F.struct(clamp(low + 1).alias("p"), (src - low).alias("w")))
-
-    grid = _grid(rows, *to).select("*", F.explode(near("px", size[0], to[0])).alias("a")).select("*", F.explode(near("py", size[1], to[1])).alias("b"))
-    grid = grid.select(*PIXEL, F.col("a.p").alias("sx"), F.col("b.p").alias("sy"), (F.col("a.w") * F.col("b.w")).alias("w"))
-    source = rows.select("scene_id", "frame_id", F.col("px").alias("sx"), F.col("py").alias("sy"), value)
-    return grid.join(source, ["scene_id", "frame_id", "sx", "sy"]).groupBy(*PIXEL).agg(F.sum(F.col("w") * F.col(value)).alias(value))
+    out = rows.select(*PIXEL, value)
+    for axis, n, m in zip(("px", "py"), size, to):
+        out = out.join(_linear_taps(rows.sparkSession, axis, n, m), axis)
+    weighted = F.sum(F.col("w_px") * F.col("w_py") * F.col(value)).alias(value)
+    return out.groupBy("scene_id", "frame_id", F.col("to_px").alias("px"), F.col("to_py").alias("py")).agg(weighted)
 
 
 def scale_intrinsics(rows: DataFrame, sx: float, sy: float) -> DataFrame:
@@ -94,9 +101,10 @@ def join_modalities(tables: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def check_key_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that only one side has, and which side: left or right."""
-    left = a.select(*keys).distinct().join(b, keys, "left_anti").withColumn("only_in", F.lit("left"))
-    return left.unionByName(b.select(*keys).distinct().join(a, keys, "left_anti").withColumn("only_in", F.lit("right")))
+    """Keys that only one side has, and which side: left or right. Keys are made distinct before they meet: a key's rows on the other side are never held."""
+    a, b = a.select(*keys).distinct(), b.select(*keys).distinct()
+    left = a.join(b, keys, "left_anti").withColumn("only_in", F.lit("left"))
+    return left.unionByName(b.join(a, keys, "left_anti").withColumn("only_in", F.lit("right")))
 
 
 def check_counts(pred: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fusemill.functions.geometry import rigid_inverse, rotvec_to_matrix
-from fusemill.operators import boxes, components, instances, lift, masks, vocab, vote
+from fusemill.operators import boxes, components, depth, frames, instances, lift, masks, vocab, vote
 from fusemill.plans.fixtures import Inputs
 
 SF = "/root/testdata/sf0.001"
@@ -239,3 +239,40 @@ def test_equal_poses_and_positions_meet_once(spark):
     ):
         rows = sorted(map(tuple, got.collect()))
         assert rows and rows == sorted(map(tuple, want.collect()))
+
+
+# --- joins whose sides grow by an explode ---
+
+
+def test_frames_meet_the_axes_of_another_size(spark, i):
+    for size in ((24, 8), (5, 30)):
+        rows = i.gt.where("k % 5 <> 0")
+        held = {(r.scene_id, r.frame_id, r.px, r.py): r.label for r in rows.collect()}
+        frames_ = {k[:2] for k in held}
+        want = {(*f, x, y): held[*f, x * 16 // size[0], y * 12 // size[1]] for f in frames_ for x in range(size[0]) for y in range(size[1]) if (*f, x * 16 // size[0], y * 12 // size[1]) in held}
+        got = frames.resample_nearest(rows, "label", (16, 12), size)
+        assert {(r.scene_id, r.frame_id, r.px, r.py): r.label for r in got.collect()} == want
+        # no side of a join is a raster of all frames
+        assert "Generate" not in plan(got)
+
+
+def test_key_sets_are_distinct_before_they_meet(spark):
+    a = spark.range(1000).select((F.col("id") % 3).alias("k"))
+    got = frames.check_key_sets(a, a.where("k > 0").unionByName(spark.createDataFrame([(7,)], "k long")), ["k"])
+    assert sorted(map(tuple, got.collect())) == [(0, "left"), (7, "right")]
+    initial = plan(frames.check_key_sets(a, a, ["k"])).split("Initial Plan")[-1]
+    assert initial.count("HashAggregate") >= 8  # two for each side of both joins
+
+
+def test_cells_of_boxes_are_not_broadcast(spark):
+    rows = spark.createDataFrame(box_rows(np.random.default_rng(8), 400, 2), BOXES)
+    for iou in (0.0, 0.1):
+        pairs = boxes.box_pairs(rows, iou)
+        assert pairs.count() > 0 and "Broadcast" not in plan(pairs)
+
+
+def test_fit_that_meets_integers(spark):
+    # depth is 3 x mono + 7 to the last pixel: the fit returns it, not one less
+    rows = spark.range(200_000).select(F.floor(F.col("id") / 190).cast("int").alias("frame_id"), (F.xxhash64("id") % 2500 + 3000).cast("int").alias("mono")).withColumn("scene_id", F.lit(0))
+    got = depth.fit_affine_depth(rows.withColumn("depth_mm", F.col("mono") * 3 + 7))
+    assert got.where("fitted <> depth_mm or fitted is null").count() == 0
