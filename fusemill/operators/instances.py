@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fusemill.sources.files import stored
 
 #: Words of a vertex block's bitmap.
 WORDS = 16
+#: Pairs of bitmaps that cost about as much as one pair of masks at one vertex.
+PAIR = 4
 
 
 def _best(value: str | Column, order: Column) -> Column:
@@ -47,14 +50,27 @@ def vertex_bitmaps(masks: DataFrame, words: int = WORDS) -> DataFrame:
 def mask_overlaps(masks: DataFrame, words: int = WORDS) -> DataFrame:
     """scene_id, i, j, n: shared vertices of each two masks of a scene, itself included; masks: scene_id, idx, vertex_id.
 
-    Masks meet by blocks of vertices, not by vertices: two bitmaps are one AND and one count of bits a word.
+    In a block of vertices whose vertices lie in many masks, masks meet by blocks: two bitmaps are one AND and one count of
+    bits a word. In a block of many masks that share few vertices they meet by vertices. The cheaper way is taken for each
+    block by its exact numbers of pairs, so thin masks don't pay for the square of a block's masks, nor dense ones for the
+    square of a vertex's.
     """
-    maps = vertex_bitmaps(masks, words)
+    size = 64 * words
+    rows = masks.select("scene_id", "idx", "vertex_id", F.floor(F.col("vertex_id").cast("long") / size).alias("block")).distinct()
+    met = rows.groupBy("scene_id", "block", "vertex_id").agg(F.count("*").cast("double").alias("d"))
+    by_vertex = met.groupBy("scene_id", "block").agg(F.sum(F.col("d") * F.col("d")).alias("by_vertex"))
+    by_block = rows.groupBy("scene_id", "block", "idx").agg(F.lit(1)).groupBy("scene_id", "block").agg(F.count("*").cast("double").alias("m"))
+    thin = by_vertex.join(by_block, ["scene_id", "block"]).select("scene_id", "block", (PAIR * F.col("by_vertex") <= F.col("m") * F.col("m")).alias("thin"))
+    rows = stored(rows.join(thin, ["scene_id", "block"]), "masks")
+
+    maps = vertex_bitmaps(rows.where("not thin"), words)
     names = [f"w{k}" for k in range(words)]
     a, b = maps.withColumnRenamed("idx", "i"), maps.withColumnsRenamed({"idx": "j"} | {w: f"o{w}" for w in names})
     shared = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"o{w}"))) for w in names), F.lit(0)).cast("long")
-    pairs = a.join(b, ["scene_id", "block"]).select("scene_id", "i", "j", shared.alias("n"))
-    return pairs.where("n > 0").groupBy("scene_id", "i", "j").agg(F.sum("n").alias("n"))
+    dense = a.join(b.hint("merge"), ["scene_id", "block"]).select("scene_id", "i", "j", shared.alias("n")).where("n > 0")
+    one = rows.where("thin").select("scene_id", F.col("idx").alias("i"), "vertex_id")
+    few = one.join(one.withColumnRenamed("i", "j").hint("merge"), ["scene_id", "vertex_id"]).select("scene_id", "i", "j", F.lit(1).cast("long").alias("n"))
+    return dense.unionByName(few).groupBy("scene_id", "i", "j").agg(F.sum("n").alias("n"))
 
 
 def suppress_overlaps(inst: DataFrame, threshold: float, least_score: float = 0.1) -> DataFrame:

@@ -149,6 +149,13 @@ def test_overlaps_meet_by_blocks(spark):
     assert tuple(got) == (90_000, 5000, 5000)
 
 
+def test_thin_masks_of_a_block_meet_by_vertices(spark):
+    # 20,000 masks of one vertex each in one block: 400 million pairs of bitmaps for 400 thousand of masks
+    df = spark.range(20_000).select(F.lit(0).alias("scene_id"), F.col("id").alias("idx"), (F.col("id") % 1024).alias("vertex_id"))
+    got = instances.mask_overlaps(df).agg(F.count("*"), F.min("n"), F.max("n")).first()
+    assert tuple(got) == (sum((20_000 // 1024 + (v < 20_000 % 1024)) ** 2 for v in range(1024)), 1, 1)
+
+
 # --- boxes ---
 
 
