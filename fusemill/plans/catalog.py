@@ -83,7 +83,7 @@ _POSE = "list_value(c,-s,0,tx, s,c,0,ty, 0,0,1,tz, 0,0,0,1)"
 def s03_read_matrix_text(i):
     path = files.scratch(i.spark, "matrix")
     text = F.array_join(F.transform("pose", lambda x, k: F.concat(F.when((k > 0) & (k % 4 == 0), "\n").otherwise(""), x.cast("string"))), " ")
-    _poses(i).select("frame_id", text.alias("value")).write.partitionBy("frame_id").text(path)
+    files.by_folder(_poses(i).select("frame_id", text.alias("value")), "frame_id").text(path)
     rows = files.read_matrix_text(i.spark, path, r"frame_id=(\d+)/")
     return rows.select("frame_id", F.posexplode("matrix").alias("pos", "v")).select("frame_id", "pos", *r6("v"))
 
@@ -100,7 +100,8 @@ def s05_read_trajectory(i):
 def s06_read_pinhole_intrinsics(i):
     path = files.scratch(i.spark, "pincam")
     w = 640 + F.col("frame_id") % 3
-    i.pose.select("frame_id", w.alias("w"), F.lit(480), F.lit(8.0), F.lit(8.0), (w / 2).alias("a"), F.lit(240.0)).write.partitionBy("frame_id").csv(path, sep=" ")
+    rows = i.pose.select("frame_id", w.alias("w"), F.lit(480), F.lit(8.0), F.lit(8.0), (w / 2).alias("a"), F.lit(240.0))
+    files.by_folder(rows, "frame_id").csv(path, sep=" ")
     return files.read_pinhole_intrinsics(i.spark, path).select("frame_id", "w", "h", "fx", "fy", "cx", "cy")
 
 
@@ -108,7 +109,8 @@ def s06_read_pinhole_intrinsics(i):
 def s07_read_frame_json(i):
     path = files.scratch(i.spark, "json")
     k = F.array(*(F.lit(float(v)) for v in (8, 0, 8, 0, 8, 6, 0, 0, 1)))
-    _poses(i).select("frame_id", F.col("pose").alias("cameraPoseARFrame"), k.alias("intrinsics")).write.partitionBy("frame_id").json(path)
+    rows = _poses(i).select("frame_id", F.col("pose").alias("cameraPoseARFrame"), k.alias("intrinsics"))
+    files.by_folder(rows, "frame_id").json(path)
     rows = files.read_frame_json(i.spark, path, r"frame_id=(\d+)/")
     long = lambda c: rows.select("frame_id", F.lit(c).alias("part"), F.posexplode(c).alias("pos", "v"))
     return long("pose").unionByName(long("intrinsics")).select("frame_id", "part", "pos", *r6("v"))
@@ -166,16 +168,16 @@ def s13_training_meta(i):
     classes = vocab.class_list(i.vocab, "wn_merged").withColumn("color", vocab.color_of(F.col("color")))
     shares = evaluate.class_histogram(i.gt, ["scene_id"], classes.select(F.col("id").alias("label")))
     meta = files.training_meta(_poses(i), fusion.pose_bounds(i.pose), classes, shares, CAMERA, _FOLDERS)
-    frame = "struct<frame_id:int,camtoworld:array<double>,intrinsics:array<double>,rgb_path:string,sensor_depth_path:string>"
-    shape = f"struct<width:int,height:int,scale:double,worldtogt:array<double>,semantic_classes:array<struct<id:int,name:string,color:array<int>,share:double>>,frames:array<{frame}>>"
-    rows = meta.withColumn("m", F.from_json("meta", shape))
-    f = rows.select("scene_id", F.explode("m.frames").alias("f")).select(
-        "scene_id", F.lit("frame").alias("part"), F.col("f.frame_id").alias("key"), F.col("f.camtoworld")[3].alias("v"), F.concat_ws(" ", "f.rgb_path", "f.sensor_depth_path", F.col("f.intrinsics")[4].cast("string")).alias("what")
+    part = lambda name, shape: meta.where(F.col("part") == name).select("scene_id", "part", "key", F.from_json("meta", shape).alias("m"))
+    f = part("frame", "frame_id int, camtoworld array<double>, intrinsics array<double>, rgb_path string, sensor_depth_path string").select(
+        "scene_id", "part", F.col("m.frame_id").alias("key"), F.col("m.camtoworld")[3].alias("v"), F.concat_ws(" ", "m.rgb_path", "m.sensor_depth_path", F.col("m.intrinsics")[4].cast("string")).alias("what")
     )
-    c = rows.select("scene_id", F.explode("m.semantic_classes").alias("c")).select(
-        "scene_id", F.lit("class").alias("part"), F.col("c.id").alias("key"), F.col("c.share").alias("v"), F.concat_ws(" ", "c.name", F.array_join(F.transform("c.color", lambda x: x.cast("string")), "-")).alias("what")
+    c = part("class", "id int, name string, color array<int>, share double").select(
+        "scene_id", "part", F.col("m.id").alias("key"), F.col("m.share").alias("v"), F.concat_ws(" ", "m.name", F.array_join(F.transform("m.color", lambda x: x.cast("string")), "-")).alias("what")
+    )
+    s = part("scene", "width int, height int, scale double, worldtogt array<double>").select(
+        "scene_id", "part", (F.col("m.width") * 100 + F.col("m.height")).alias("key"), F.col("m.worldtogt")[5].alias("v"), F.round(F.col("m.worldtogt")[3], 4).cast("string").alias("what")
     )
-    s = rows.select("scene_id", F.lit("scene").alias("part"), (F.col("m.width") * 100 + F.col("m.height")).alias("key"), F.col("m.worldtogt")[5].alias("v"), F.round(F.col("m.worldtogt")[3], 4).cast("string").alias("what"))
     return f.unionByName(c).unionByName(s).select("scene_id", "part", "key", *r6("v"), "what")
 
 
@@ -232,7 +234,7 @@ def s01_list_workspace(i):
     frames_ = i.pixel.select("scene_id", "frame_id").distinct()
     rows = frames_.select(F.col("scene_id").alias("scene"), F.explode(F.array(F.lit("color"), F.lit("depth"))).alias("modality"), "frame_id")
     rows = rows.withColumn("value", F.concat_ws(" ", "modality", F.col("frame_id").cast("string")))
-    rows.repartition("scene", "modality").write.partitionBy("scene", "modality", "frame_id").text(at)
+    files.by_folder(rows, "scene", "modality", "frame_id").text(at)
     listed = files.list_partitioned(i.spark, at).where("scene in (1, 2) and modality = 'depth'")
     return listed.select("scene", "modality", "frame_id", "length")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fusemill.functions.geometry import rigid_inverse, rotvec_to_matrix
 from fusemill.operators import boxes, components, depth, frames, instances, lift, masks, vocab, vote
 from fusemill.plans.fixtures import Inputs
+from fusemill.sources import files
 
 SF = "/root/testdata/sf0.001"
 PIXEL = ["scene_id", "frame_id", "px", "py"]
@@ -283,3 +284,24 @@ def test_fit_that_meets_integers(spark):
     rows = spark.range(200_000).select(F.floor(F.col("id") / 190).cast("int").alias("frame_id"), (F.xxhash64("id") % 2500 + 3000).cast("int").alias("mono")).withColumn("scene_id", F.lit(0))
     got = depth.fit_affine_depth(rows.withColumn("depth_mm", F.col("mono") * 3 + 7))
     assert got.where("fitted <> depth_mm or fitted is null").count() == 0
+
+
+# --- files ---
+
+
+def test_folders_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(60).select(F.col("id").alias("frame_id"), F.col("id").cast("string").alias("value"))
+    files.by_folder(rows, "frame_id").text(f"file://{tmp_path}/f")
+    written = list((tmp_path / "f").glob("frame_id=*/part-*"))
+    assert len(written) == 60 and len({w.name.split("-")[1] for w in written}) > 4
+    assert {(r.frame_id, r.value) for r in spark.read.text(f"file://{tmp_path}/f").collect()} == {(k, str(k)) for k in range(60)}
+
+
+def test_no_scene_is_one_row_of_metadata(spark):
+    frames_ = spark.range(500).select(F.lit(0).alias("scene_id"), F.col("id").cast("int").alias("frame_id"), F.array(*(F.lit(float(k)) for k in range(16))).alias("pose"))
+    bounds = spark.createDataFrame([(0, 2.0, 1.0, 2.0, 3.0), (5, 1.0, 0.0, 0.0, 0.0)], "scene_id int, scale double, center_x double, center_y double, center_z double")
+    classes = spark.createDataFrame([(1, "a", [1, 2, 3])], "id int, name string, color array<int>")
+    shares = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5), (5, 1, 1.0)], "scene_id int, label int, share double")
+    got = files.training_meta(frames_, bounds, classes, shares, CAMERA, {"rgb": "rgb"})
+    assert {(r.scene_id, r.part): r["count"] for r in got.groupBy("scene_id", "part").count().collect()} == {(0, "scene"): 1, (0, "class"): 2, (0, "frame"): 500}
+    assert max(len(r.meta) for r in got.collect()) < 500
