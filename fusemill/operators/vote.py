@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fusemill.operators.vocab import space_ids, space_pairs
+from fusemill.sources.files import stored
 
 PIXEL = ["scene_id", "frame_id", "px", "py"]
 #: Legal labels of each space, both ends included; a label outside casts no vote.
 DOMAIN = {"ade20k": (0, 149), "nyu40id": (1, 40), "wn199": (1, 188), "wn_merged": (1, 188)}
 
+#: Votes that a task counts; a frame stays whole.
+VOTES_A_TASK = 1_000_000
+
 
 def _legal(domain: dict[str, tuple[int, int]]):
     legal = F.lit(True)
@@ -36,16 +40,29 @@ def vote_table(vocab: DataFrame, spaces: list[str], output_space: str) -> DataFr
     return out
 
 
+def cast_votes(pred: DataFrame, table: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """keys, more, candidate: each voter once for every candidate of its label, or once with null; dealt by frame.
+
+    The labels in use are counted first. They leave of the table what is voted for, whatever the vocabulary's size,
+    and tell the number of votes, by which the number of tasks grows: a task's votes don't grow with the input.
+    """
+    on, frame = ["label_space", "label"], [k for k in keys if k not in ("px", "py")]
+    legal = pred.withColumn("label", F.when(_legal(DOMAIN), F.col("label")))
+    used = stored(legal.groupBy(*on).agg(F.count("*").alias("n")), "labels-used")
+    named = stored(table.join(used, on).select(*on, "candidate", "n"), "labels-named")
+    # one row
+    votes = used.select("n").unionByName(named.select("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    tasks = max(int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-votes // VOTES_A_TASK))
+    return legal.join(named.drop("n"), on, "left").select(*keys, *more, "candidate").repartition(tasks, *frame)
+
+
 def vote(pred: DataFrame, table: DataFrame, keys: list[str] = PIXEL, min_votes: int = 2) -> DataFrame:
     """keys, n_votes, label: each voter casts a vote for every candidate of its label; most votes win, ties go to the lowest id, too few votes give 0.
 
     One shuffle by frame serves both aggregations, whose keys contain the
     frame's; a pixel without a vote stays by way of a null candidate.
     """
-    frame = [k for k in keys if k not in ("px", "py")]
-    legal = pred.withColumn("label", F.when(_legal(DOMAIN), F.col("label")))
-    votes = legal.join(table, ["label_space", "label"], "left").select(*keys, "candidate")
-    counted = votes.repartition(*frame).groupBy(*keys, "candidate").agg(F.count("candidate").alias("n"))
+    counted = cast_votes(pred, table, keys).groupBy(*keys, "candidate").agg(F.count("candidate").alias("n"))
     best = counted.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("candidate")).alias("c"))).alias("b"))
     label = F.when(F.col("b.n") < min_votes, 0).otherwise(F.coalesce(-F.col("b.c"), F.lit(0)))
     return best.select(*keys, F.col("b.n").alias("n_votes"), label.alias("label"))
@@ -77,10 +94,7 @@ def vote_state(pred: DataFrame, table: DataFrame, keys: list[str] = PIXEL) -> Da
 
     A state from which any model's votes can be taken back; counted once, with the shuffle by frame that vote() has.
     """
-    frame = [k for k in keys if k not in ("px", "py")]
-    legal = pred.withColumn("label", F.when(_legal(DOMAIN), F.col("label")))
-    cast = legal.join(table, ["label_space", "label"], "left").select(*keys, "model", "candidate")
-    by_model = cast.repartition(*frame).groupBy(*keys, "candidate", "model").agg(F.count("candidate").alias("n"))
+    by_model = cast_votes(pred, table, keys, "model").groupBy(*keys, "candidate", "model").agg(F.count("candidate").alias("n"))
     by = by_model.groupBy(*keys, "candidate").agg(F.sum("n").alias("n"), F.collect_list(F.struct("model", "n")).alias("by"))
     held = by.groupBy(*keys).agg(F.collect_list(F.struct("n", (-F.col("candidate")).alias("c"), "by")).alias("votes"))
     return held.select(*keys, F.array_distinct(F.flatten(F.transform("votes", lambda x: x["by"]["model"]))).alias("voters"), "votes")

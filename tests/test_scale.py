@@ -42,6 +42,15 @@ def test_votes_taken_back_are_votes_never_cast(spark, i):
     assert "Cartesian" not in seen and "NestedLoop" not in seen.split("Subquery")[0].split("collect_list(struct(n")[0]
 
 
+def test_tasks_of_a_vote_grow_with_the_votes(spark, i, monkeypatch):
+    monkeypatch.setattr(vote, "VOTES_A_TASK", 300)
+    table = vote.vote_table(i.vocab, ["ade20k", "nyu40id", "wn199", "id"], "wn_merged")
+    for counted in (vote.vote(i.pred, table), vote.vote_state(i.pred, table)):
+        above, *below = plan(counted).split("Exchange hashpartitioning(scene_id")
+        assert len(below) == 1 and "Aggregate" not in below[0]  # of the vocabulary, what is voted for is read
+        assert counted.rdd.getNumPartitions() > 8
+
+
 def test_signatures_give_the_vote(spark, i):
     table = vote.vote_table(i.vocab, ["ade20k", "nyu40id", "wn199", "id"], "wn_merged")
     pred = i.pred.select(*PIXEL, "label_space", "label")
