@@ -14,7 +14,11 @@ def unmatched_confmat(pred: DataFrame, truth: DataFrame, keys: list[str], pred_i
     Pixels are counted by raw labels first, and the few counts are matched to the lists.
     """
     raw = pred.withColumnRenamed("label", "p").join(truth.withColumnRenamed("label", "t").select(*keys, "t"), keys)
-    raw = raw.groupBy(*by, "p", "t").agg(F.count("*").alias("n"))
+    return listed_confmat(raw.groupBy(*by, "p", "t").agg(F.count("*").alias("n")), pred_ids, label_ids, by)
+
+
+def listed_confmat(raw: DataFrame, pred_ids: DataFrame, label_ids: DataFrame, by: list[str] = []) -> DataFrame:
+    """by, pred_id, label_id, n of counts by raw labels (by, p, t, n); an id outside its list (id) is null."""
     raw = raw.join(pred_ids.select(F.col("id").alias("p"), F.col("id").alias("pred_id")), "p", "left")
     raw = raw.join(label_ids.select(F.col("id").alias("t"), F.col("id").alias("label_id")), "t", "left")
     return raw.groupBy(*by, "pred_id", "label_id").agg(F.sum("n").alias("n"))

@@ -40,8 +40,8 @@ def vote_table(vocab: DataFrame, spaces: list[str], output_space: str) -> DataFr
     return out
 
 
-def cast_votes(pred: DataFrame, table: DataFrame, keys: list[str], *more: str) -> DataFrame:
-    """keys, more, candidate: each voter once for every candidate of its label, or once with null; dealt by frame.
+def cast_votes(pred: DataFrame, table: DataFrame, keys: list[str], *more: str, beside: DataFrame | None = None) -> DataFrame:
+    """keys, more, candidate: each voter once for every candidate of its label, or once with null; dealt by frame, with the rows of beside.
 
     The labels in use are counted first. They leave of the table what is voted for, whatever the vocabulary's size,
     and tell the number of votes, by which the number of tasks grows: a task's votes don't grow with the input.
@@ -53,7 +53,8 @@ def cast_votes(pred: DataFrame, table: DataFrame, keys: list[str], *more: str) -
     # one row
     votes = used.select("n").unionByName(named.select("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     tasks = max(int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-votes // VOTES_A_TASK))
-    return legal.join(named.drop("n"), on, "left").select(*keys, *more, "candidate").repartition(tasks, *frame)
+    cast = legal.join(named.drop("n"), on, "left").select(*keys, *more, "candidate")
+    return (cast if beside is None else cast.unionByName(beside, allowMissingColumns=True)).repartition(tasks, *frame)
 
 
 def vote(pred: DataFrame, table: DataFrame, keys: list[str] = PIXEL, min_votes: int = 2) -> DataFrame:
@@ -89,15 +90,24 @@ def exclude_models(pred: DataFrame, variants: DataFrame) -> DataFrame:
     return pred.crossJoin(variants).where(F.col("without").isNull() | (F.col("model") != F.col("without"))).drop("without")
 
 
-def vote_state(pred: DataFrame, table: DataFrame, keys: list[str] = PIXEL) -> DataFrame:
+def vote_state(pred: DataFrame, table: DataFrame, keys: list[str] = PIXEL, truth: DataFrame | None = None) -> DataFrame:
     """keys, voters, votes: for each candidate (null for labels that vote for none) its votes, and those of each model.
 
     A state from which any model's votes can be taken back; counted once, with the shuffle by frame that vote() has.
+    With truth (keys, label), the state has truths as well: t and m, each label of the pixel's and how often it stands
+    there. They come by the same shuffle, so variants of a pixel needn't be joined with them; a pixel without a voter is left out.
     """
-    by_model = cast_votes(pred, table, keys, "model").groupBy(*keys, "candidate", "model").agg(F.count("candidate").alias("n"))
-    by = by_model.groupBy(*keys, "candidate").agg(F.sum("n").alias("n"), F.collect_list(F.struct("model", "n")).alias("by"))
-    held = by.groupBy(*keys).agg(F.collect_list(F.struct("n", (-F.col("candidate")).alias("c"), "by")).alias("votes"))
-    return held.select(*keys, F.array_distinct(F.flatten(F.transform("votes", lambda x: x["by"]["model"]))).alias("voters"), "votes")
+    side = [] if truth is None else ["of_truth"]
+    beside = None if truth is None else truth.dropna(subset=keys).select(*keys, F.col("label").alias("candidate"), F.lit(True).alias("of_truth"))
+    by_model = cast_votes(pred, table, keys, "model", beside=beside).groupBy(*keys, "candidate", "model", *side).agg(F.count("candidate").alias("n"), *([F.count("*").alias("m")] if side else []))
+    by = by_model.groupBy(*keys, "candidate", *side).agg(F.sum("n").alias("n"), F.collect_list(F.struct("model", "n")).alias("by"), *([F.sum("m").alias("m")] if side else []))
+    votes = F.struct("n", (-F.col("candidate")).alias("c"), "by")
+    if not side:
+        held = by.groupBy(*keys).agg(F.collect_list(votes).alias("votes"))
+    else:
+        truths = F.when(F.col("of_truth"), F.struct(F.col("candidate").alias("t"), "m"))
+        held = by.groupBy(*keys).agg(F.collect_list(F.when(F.col("of_truth").isNull(), votes)).alias("votes"), F.collect_list(truths).alias("truths")).where(F.size("votes") > 0)
+    return held.select(*keys, F.array_distinct(F.flatten(F.transform("votes", lambda x: x["by"]["model"]))).alias("voters"), "votes", *(["truths"] if side else []))
 
 
 def _winner(votes: Column, without: Column | None = None) -> Column:
@@ -135,3 +145,10 @@ def settle(state: DataFrame, models: DataFrame, min_votes: int = 2) -> DataFrame
 def leave_one_out(pred: DataFrame, table: DataFrame, models: DataFrame, min_votes: int = 2) -> DataFrame:
     """The vote of every variant in one job: variant is the model left out (of models), or all."""
     return settle(vote_state(pred, table), models, min_votes)
+
+
+def leave_one_out_counts(pred: DataFrame, table: DataFrame, models: DataFrame, truth: DataFrame, min_votes: int = 2) -> DataFrame:
+    """variant, p, t, n: pixels by the label that a variant's vote gives (p) and that of truth (t)."""
+    settled = settle(vote_state(pred, table, truth=truth), models, min_votes)
+    each = settled.select("variant", F.col("label").alias("p"), F.explode("truths").alias("x"))
+    return each.groupBy("variant", "p", F.col("x.t").alias("t")).agg(F.sum("x.m").alias("n"))

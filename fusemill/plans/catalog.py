@@ -827,7 +827,7 @@ _VOTED_MATCHED = f"(select variant, pred_id, label_id, n from {_VOTED_COUNTS} wh
 @query(f"select variant, m_iou, m_acc, t_acc from {_metric_sql(_VOTED_MATCHED, 'variant, ')}")
 def a21_leave_one_out_metrics(i):
     ids = vocab.space_ids(i.vocab, "wn_merged")
-    counts = evaluate.unmatched_confmat(vote.leave_one_out(i.pred, _vote_table(i), i.model).select("variant", *PIXEL, "label"), i.gt, PIXEL, ids, ids, ["variant"])
+    counts = evaluate.listed_confmat(vote.leave_one_out_counts(i.pred, _vote_table(i), i.model, i.gt), ids, ids, ["variant"])
     matched = evaluate.match_confmat(counts, ids.select(F.col("id").alias("l"), F.col("id").alias("r")), by=["variant"])
     return evaluate.segmentation_metrics(matched, ["variant"]).select("variant", *r6("m_iou", "m_acc", "t_acc"))
 

@@ -45,12 +45,29 @@ def test_votes_taken_back_are_votes_never_cast(spark, i):
 def test_tasks_of_a_vote_grow_with_the_votes(spark, i, monkeypatch):
     monkeypatch.setattr(vote, "VOTES_A_TASK", 300)
     table = vote.vote_table(i.vocab, ["ade20k", "nyu40id", "wn199", "id"], "wn_merged")
-    for counted in (vote.vote(i.pred, table), vote.vote_state(i.pred, table)):
+    for counted in (vote.vote(i.pred, table), vote.vote_state(i.pred, table), vote.vote_state(i.pred, table, truth=i.gt)):
         above, *below = plan(counted).split("Exchange hashpartitioning(scene_id")
         assert len(below) == 1 and "Aggregate" not in below[0]  # of the vocabulary, what is voted for is read
         assert counted.rdd.getNumPartitions() > 8
 
 
+def test_truth_comes_with_the_votes(spark, i):
+    table = vote.vote_table(i.vocab, ["ade20k", "nyu40id", "wn199", "id"], "wn_merged")
+    schema = "scene_id int, frame_id int, px int, py int, label int"
+    # truth twice, three times with two labels, null, and of pixels that have no voter
+    gt = i.gt.select(*PIXEL, "label")
+    some = gt.orderBy(*PIXEL).limit(3)
+    gt = gt.unionByName(some).unionByName(some.withColumn("label", F.lit(7))).unionByName(spark.createDataFrame([(9, 9, 0, 0, None), (9, 9, 1, 0, 3), (9, 9, None, 0, 3)], schema))
+    lone = spark.createDataFrame([(9, 9, 0, 0, "m", "wn_merged", 3), (9, 9, 2, 0, "m", "wn_merged", 3), (9, 9, None, 0, "m", "none", 3)], "scene_id int, frame_id int, px int, py int, model string, label_space string, label int")
+    pred = i.pred.select(*lone.columns).unionByName(lone)
+    models = pred.select("model").distinct()
+    joined = vote.leave_one_out(pred, table, models).withColumnRenamed("label", "p").join(gt.withColumnRenamed("label", "t"), PIXEL)
+    want = joined.groupBy("variant", "p", "t").agg(F.count("*").alias("n"))
+    got = vote.leave_one_out_counts(pred, table, models, gt)
+    assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0
+    assert plan(got).count("Exchange hashpartitioning(scene_id") == 1  # none for a join with truth
+
+
 def test_signatures_give_the_vote(spark, i):
     table = vote.vote_table(i.vocab, ["ade20k", "nyu40id", "wn199", "id"], "wn_merged")
     pred = i.pred.select(*PIXEL, "label_space", "label")
