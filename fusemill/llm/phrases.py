@@ -13,8 +13,8 @@ pieces into words at spaces and tabs. Each language is a corpus of its own.
    their words, and all of their pairs, have been found before.
 2. What is frequent in some shard is united as hashes; those whose sum over all
    shards is too small are left out, and the rest is kept in a Bloom filter of 16 MB
-   at most that goes to all tasks; each counts the phrases in the filter once a slice,
-   and Spark sums these counts by phrase. What a filter lets through by chance is
+   at most that goes to all tasks; each counts the phrases in the filter slice by slice,
+   sums the counts of its slices, and Spark sums those of the tasks by phrase. What a filter lets through by chance is
    counted exactly as well, so filters never decide a result.
 3. Cuts of a candidate meet the counts of both parts in joins; scores are exact
    decimals. A candidate falls if one with a word more at either end occurs as
@@ -45,6 +45,8 @@ TOP = 2000
 SHARDS = 4
 #: Text that a task counts at once, and rows that it hands over at once.
 SLICE_BYTES, ROWS = 8 << 20, 100_000
+#: Phrases that a task of the counting pass sums over its slices before it hands them over.
+HELD = 500_000
 #: Bits of a bitmap for each candidate, probes of it, and the most bits (as a power of two) that it ever has.
 SPARE, HASHES, MOST_BITS = 16, 4, 27
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -158,24 +160,43 @@ def _mined(low: int, high: int, bitmap, shards: int, slice_bytes: int):
     return run
 
 
-def _counted(bitmap, slice_bytes: int, longest: int):
-    """Counts of the phrases in the bitmap, and of all words (k = 0, an empty phrase), for each slice."""
+def _counted(bitmap, slice_bytes: int, longest: int, most: int = HELD):
+    """Counts of the phrases in the bitmap, and of all words (k = 0, an empty phrase): once a task for each, or more often where a task has over most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(bitmap)
+        held: list[pa.RecordBatch] = []
+        rows = summed = 0
         for lang, texts in _slices(batches, slice_bytes):
             words, code, piece = words_of(b"\n".join(texts))
             if not len(code):
                 continue
-            yield _batch(lang, 0, [b""], np.array([len(code)]))
+            held.append(_batch(lang, 0, [b""], np.array([len(code)])))
             for k, first, _, counts in levels(words, code, piece, _seed(lang), lambda k, n, h: known(h), longest):
                 for at in range(0, len(first), ROWS):
                     listed = np.array([code[first[at : at + ROWS] + o] for o in range(k)]).T.tolist()
-                    yield _batch(lang, k, [b" ".join([words[c] for c in row]) for row in listed], counts[at : at + ROWS])
+                    held.append(_batch(lang, k, [b" ".join([words[c] for c in row]) for row in listed], counts[at : at + ROWS]))
+                rows += len(first)
+            # summed again once they have doubled
+            if rows >= max(ROWS, 2 * summed):
+                held = _summed(held)
+                rows = summed = sum(b.num_rows for b in held)
+                if rows >= most:
+                    yield from held
+                    held, rows, summed = [], 0, 0
+        yield from _summed(held)
 
     return run
 
 
+def _summed(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """One row for each lang, k and phrase."""
+    if not batches:
+        return []
+    sums = pa.Table.from_batches(batches).group_by(["lang", "k", "phrase"], use_threads=False).aggregate([("n", "sum")])
+    return sums.select(["lang", "k", "phrase", "n_sum"]).rename_columns(["lang", "k", "phrase", "n"]).to_batches(max_chunksize=ROWS)
+
+
 def _batch(lang: str, k: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
     n = len(phrases)
     columns = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))]
@@ -223,6 +244,8 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LON
         found.append(locally_frequent(own, low, high, before, least, shards, slice_bytes, most_bits))
     bitmap = spark.sparkContext.broadcast(_bitmap(reduce(DataFrame.unionByName, found), most_bits))
     discard(*found)
+    # a phrase is handed over once a task, so tasks are as many as cores ask for, not as the input has partitions
+    own = own.coalesce(2 * spark.sparkContext.defaultParallelism)
     counted = own.mapInArrow(_counted(bitmap, slice_bytes, longest), "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     return written(counted.where((F.col("n") >= least) | (F.col("k") == 0)), "phrase-counts")
 

@@ -4,10 +4,12 @@ import collections
 import itertools
 import math
 import re
+import types
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +183,22 @@ def test_levels_find_what_is_frequent_in_a_slice():
     assert got == {w: n for (_, w), n in plain_phrases([("", text.decode())], 3)[0].items()}
 
 
+def test_a_task_hands_a_phrase_over_once(monkeypatch):
+    docs = [("en", "a b c. a b"), ("de", "a b"), ("en", "b a b c"), ("en", None), ("en", ""), ("de", "a, b")] * 40
+    batches = lambda: (pa.RecordBatch.from_arrays([pa.array([v[i] for v in docs[k : k + 50]], pa.string()) for i in (0, 1)], ["lang", "text"]) for k in range(0, len(docs), 50))
+    all_known = types.SimpleNamespace(value=np.full(16, -1, np.int64).tobytes())
+    f, total = plain_phrases(docs, 1)
+    want = {(lang, len(w), " ".join(w)): n for (lang, w), n in f.items()} | {(lang, 0, ""): n for lang, n in total.items()}
+    for rows_at_once, most in ((phrases.ROWS, phrases.HELD), (30, 1000), (3, 5)):
+        monkeypatch.setattr(phrases, "ROWS", rows_at_once)
+        rows = [tuple(r.values()) for b in phrases._counted(all_known, 8, phrases.LONGEST, most)(batches()) for r in b.to_pylist()]
+        got = collections.Counter()
+        for *key, n in rows:
+            got[tuple(key)] += n
+        assert got == want and (len(rows) == len(want)) == (most > 5)
+    assert list(phrases._counted(all_known, 8, phrases.LONGEST)(iter([]))) == []
+
+
 # --- op13 ---
 
 
