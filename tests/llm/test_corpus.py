@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -707,6 +708,20 @@ def test_scores(spark, texts):
     assert bits(got) < 2.3 and bits([r for r in got if r.held_out]) < 2.5
 
 
+def test_tokens_are_words_and_ends(monkeypatch):
+    texts = ["Ab  ab\tÀb\x0b\x0c\r\nAB", None, "", " ", "x", "a\x1cb\x00 \u00a0 c\u2003d é", "Zz " * 9, "ab"]
+    plain = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    for at_once in (1, 12, lm_score.AT_ONCE):
+        monkeypatch.setattr(lm_score, "AT_ONCE", at_once)
+        for column in (pa.chunked_array([texts], pa.string()), pa.chunked_array([["cut off", *texts[:3]], texts[3:]], pa.string()).slice(1), pa.chunked_array([texts], pa.large_string())):
+            runs, sizes, codes, words = lm_score.coded(column)
+            assert np.concatenate(sizes).tolist() == [len(p) for p in plain] and len(runs) == len(sizes) == len(codes)
+            assert [words[int(k)].as_py() for c in codes for k in c] == [w for p in plain for w in p]
+            assert words.to_pylist() == list(dict.fromkeys(w for p in plain for w in p))
+            want = [[zlib.crc32(w) % lm_score.BEFORE for w in words.to_pylist()], [w[-1] * 16 + min(15, len(w)) if w else 0 for w in words.to_pylist()]]
+            assert lm_score.looks(words).tolist() == want and lm_score.looks(words.slice(2)).tolist() == [v[2:] for v in want]
+
+
 def test_chains_start_anew(monkeypatch):
     monkeypatch.setattr(lm_score, "CHAIN", 7)
     rng = np.random.default_rng(8)
