@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import discard, in_some, ship, table, written
+from fusemill.llm.common import discard, in_batches, in_some, ship, table, written
 
 LONGEST = 5
 MIN_COUNT = 100
@@ -45,6 +45,8 @@ TOP = 2000
 SHARDS = 4
 #: Text that a task counts at once, and rows that it hands over at once.
 SLICE_BYTES, ROWS = 8 << 20, 100_000
+#: Text that a task is handed at once; what Spark takes by itself (10,000 rows) is many times a slice where texts are long, and is held by the JVM and by Python.
+BATCH_BYTES = 1 << 20
 #: Phrases that a task of the counting pass sums over its slices before it hands them over.
 HELD = 500_000
 #: Bits of a bitmap for each candidate, probes of it, and the most bits (as a power of two) that it ever has.
@@ -217,7 +219,8 @@ def locally_frequent(docs: DataFrame, low: int, high: int, found: DataFrame | No
     """h: hashes of the phrases of low to high words that are frequent in a shard by its share and may reach least over all shards; found: those of fewer words."""
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(found, most_bits)) if found is not None else None
     counts = docs.mapInArrow(_mined(low, high, bitmap, shards, slice_bytes), "lang string, g long, h long, n long").groupBy("lang", "g", "h").agg(F.sum("n").alias("n"))
-    counts = written(counts, "phrase-shards")
+    with in_batches(docs.sparkSession, BATCH_BYTES):
+        counts = written(counts, "phrase-shards")
     # one row for each language and shard, by which its phrases are judged
     sizes = counts.where("lang is not null").select("lang", "g", F.col("n").alias("size"))
     whole = sizes.groupBy("lang").agg(F.sum("size").alias("whole"))
@@ -247,7 +250,8 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LON
     # a phrase is handed over once a task, so tasks are as many as cores ask for, not as the input has partitions
     own = own.coalesce(2 * spark.sparkContext.defaultParallelism)
     counted = own.mapInArrow(_counted(bitmap, slice_bytes, longest), "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    return written(counted.where((F.col("n") >= least) | (F.col("k") == 0)), "phrase-counts")
+    with in_batches(spark, BATCH_BYTES):
+        return written(counted.where((F.col("n") >= least) | (F.col("k") == 0)), "phrase-counts")
 
 
 def collocations(counts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fusemill.llm import embedding_dedup, phrases, spelling
+from fusemill.llm import common, embedding_dedup, phrases, spelling
 
 SF = "/root/testdata/sf0.001"
 
@@ -199,6 +199,26 @@ def test_a_task_hands_a_phrase_over_once(monkeypatch):
     assert list(phrases._counted(all_known, 8, phrases.LONGEST)(iter([]))) == []
 
 
+def test_texts_reach_tasks_in_small_batches(spark, monkeypatch):
+    size, slices = phrases.BATCH_BYTES, phrases._slices
+
+    def watched(batches, slice_bytes):
+        def seen():
+            for batch in batches:
+                if batch.nbytes > size + 100_000:
+                    raise ValueError(f"{batch.nbytes} bytes at once")
+                yield batch
+
+        return slices(seen(), slice_bytes)
+
+    monkeypatch.setattr(phrases, "_slices", watched)
+    docs = spark.range(0, 120, 1, 1).select(F.lit("en").alias("lang"), F.repeat(F.lit("a b c. "), 10_000).alias("text"))
+    before = spark.conf.get(common.BATCH_BYTES, None)
+    got = {r.phrase: r.n for r in phrases.frequent_phrases(docs).collect()}
+    assert got == dict.fromkeys(["a", "b", "c", "a b", "b c", "a b c"], 1_200_000) | {"": 3_600_000}
+    assert spark.conf.get(common.BATCH_BYTES, None) == before
+
+
 # --- op13 ---
 
 
