@@ -32,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,7 +45,7 @@ MIN_COUNT = 100
 TOP = 2000
 SHARDS = 4
 #: Text that a task counts at once, and rows that it hands over at once.
-SLICE_BYTES, ROWS = 8 << 20, 100_000
+SLICE_BYTES, ROWS = 4 << 20, 100_000
 #: Text that a task is handed at once; what Spark takes by itself (10,000 rows) is many times a slice where texts are long, and is held by the JVM and by Python.
 BATCH_BYTES = 1 << 20
 #: Phrases that a task of the counting pass sums over its slices before it hands them over.
@@ -173,11 +174,12 @@ def _counted(bitmap, slice_bytes: int, longest: int, most: int = HELD):
             words, code, piece = words_of(b"\n".join(texts))
             if not len(code):
                 continue
-            held.append(_batch(lang, 0, [b""], np.array([len(code)])))
+            held.append(_batch(lang, 0, pa.array([b""]), np.array([len(code)])))
+            vocabulary = pa.array(words, pa.binary())
             for k, first, _, counts in levels(words, code, piece, _seed(lang), lambda k, n, h: known(h), longest):
                 for at in range(0, len(first), ROWS):
-                    listed = np.array([code[first[at : at + ROWS] + o] for o in range(k)]).T.tolist()
-                    held.append(_batch(lang, k, [b" ".join([words[c] for c in row]) for row in listed], counts[at : at + ROWS]))
+                    places = [vocabulary.take(pa.array(code[first[at : at + ROWS] + o])) for o in range(k)]
+                    held.append(_batch(lang, k, pc.binary_join_element_wise(*places, b" "), counts[at : at + ROWS]))
                 rows += len(first)
             # summed again once they have doubled
             if rows >= max(ROWS, 2 * summed):
@@ -199,9 +201,9 @@ def _summed(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
     return sums.select(["lang", "k", "phrase", "n_sum"]).rename_columns(["lang", "k", "phrase", "n"]).to_batches(max_chunksize=ROWS)
 
 
-def _batch(lang: str, k: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+def _batch(lang: str, k: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     n = len(phrases)
-    columns = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))]
+    columns = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)), phrases.cast(pa.string()), pa.array(counts.astype(np.int64))]
     return pa.RecordBatch.from_arrays(columns, ["lang", "k", "phrase", "n"])
 
 
