@@ -13,11 +13,12 @@ the length and at the whole of it, and what is unique leaves after each.
 1. Rows of equal texts are one text, whose id is the smallest of theirs; in the
    rows of larger ids every byte of a long enough text is removed.
 2. Three quarters: the sampled gram with the bytes that follow it, and with those
-   that precede it, are its first ranks. Spark groups them; what only one text
-   holds leaves. A map of fixed size tells the others in a second pass, which gives
-   a row for each: its gram, its place and the bytes of its windows on both sides.
-   From here on Spark sorts and groups rows: those that agree in all of these are
-   one class with the smallest id, and a row of a larger id is covered.
+   that precede it, are its first ranks. Texts are dealt to slices; a slice hands
+   its distinct ranks over by leading bits and is answered, by one bit each, which
+   of them two texts hold. For these it gives a row: the gram, its place and the
+   bytes of its windows on both sides. From here on Spark sorts and groups rows:
+   those that agree in all of these are one class with the smallest id, and a row
+   of a larger id is covered.
 3. The classes are ranked by three quarters again; ranks of one id leave.
 4. The whole length: each window of what is left is a row (class, place in the
    window), ranked by its gram and the bytes around it. A window whose rank has
@@ -25,9 +26,11 @@ the length and at the whole of it, and what is unique leaves after each.
 5. The covered windows go back to the positions of their classes and to the
    texts, whose covered bytes are cut out.
 
-The maps leave out rows early and never decide a result: where they fill up,
-more rows are compared. Every grouping by rank is a partial aggregate and every
-return a join that Spark may split, so a frequent gram is not one task's work.
+What is left after each rank is told by joins and by the answers, so rows stay in
+proportion to what is repeated. The maps of fixed size that remain leave out rows
+early before such a join and never decide a result; where they fill up, the join
+takes the rest. Every grouping by rank is a partial aggregate and every return a
+join that Spark may split, so a frequent gram is not one task's work.
 A gram, a class and a window are told apart by 64-bit hashes.
 
 Defined results: null and empty texts have no bytes; texts shorter than
@@ -49,18 +52,19 @@ from pyspark.sql import functions as F
 from fusemill.llm.common import discard, in_some, ship, table, written
 
 LENGTH = 50
+#: A bucket of grams has at most three leading bits less than this in common.
 MAP_BITS = 27
 #: Bits of the maps that Spark's expressions read.
 RANK_BITS, TEXT_BITS = 24, 22
-#: Text bytes for a bucket of grams.
-BUCKET_BYTES = 3 << 20
-#: Bytes and documents that a task looks at together.
+#: Text bytes for a bucket of grams, and for a slice of texts.
+BUCKET_BYTES, SLICE_BYTES = 3 << 20, 8 << 20
+#: Bytes that a task looks at together.
 PIECE = 1 << 20
-SLICE = 1500
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M = np.uint64(0xBF58476D1CE4E5B9)
+POSITION = pa.schema([("first", pa.int64()), ("text", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("hi", pa.int32()), ("lo", pa.int32()), ("near", pa.binary())])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -149,15 +153,6 @@ def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         yield out()
 
 
-class Bitmap:
-    def __init__(self, bits: int):
-        self.shift, self.bytes = np.uint64(64 - bits), np.zeros(1 << (bits - 3), np.uint8)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        at = (h >> self.shift).astype(np.int64)
-        return (self.bytes[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-
-
 def _by_bucket(h: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """Runs of sorted hashes with equal leading bits."""
     if bits == 0:
@@ -185,92 +180,93 @@ def _bits(n: float, most: int) -> int:
     return min(most, max(0, int(np.ceil(np.log2(max(1, n))))))
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, SLICE):
-            yield batch.slice(k, SLICE)
-
-
-def repeated_grams(texts: DataFrame, length: int, bits: int, map_bits: int) -> Bitmap:
-    """The map of all ranks of three quarters of the length that two texts hold; texts: data (binary)."""
-
-    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            found = []
-            for data, valid, owner, _ in pieces(batch["data"].to_pylist(), length):
-                x = Sample(data, valid, length)
-                h = np.concatenate([x.after[x.has_after], x.before[x.has_before]])
-                of = np.concatenate([owner[x.at[x.has_after]], owner[x.at[x.has_before]]])
-                pair = np.stack([h, of.astype(np.uint64)], 1)
-                pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-                found.append(pair[np.concatenate([[True], (np.diff(pair, axis=0) != 0).any(1)])] if len(pair) else pair)
-            if not found:
-                continue
-            pair = np.concatenate(found)
-            pair = pair[np.argsort(pair[:, 0], kind="stable")]
-            start = np.flatnonzero(np.concatenate([[True], pair[1:, 0] != pair[:-1, 0]]))
-            h = pair[start, 0]
-            many = np.minimum.reduceat(pair[:, 1], start) != np.maximum.reduceat(pair[:, 1], start)
-            for bucket, s in _by_bucket(h, bits):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([_planes(h[s])], pa.binary()), pa.array([np.packbits(many[s]).tobytes()], pa.binary())], ["bucket", "grams", "many"])
-
-    segment = (1 << map_bits) >> bits
+def _ranks(x: Sample, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ranks of three quarters of the length in a piece, and the texts that hold them."""
+    return np.concatenate([x.after[x.has_after], x.before[x.has_before]]), np.concatenate([owner[x.at[x.has_after]], owner[x.at[x.has_before]]])
+
+
+def _in_order(slice_: pa.Table) -> pa.Table:
+    """A slice's texts in an order that doesn't depend on how its rows came."""
+    return slice_.sort_by([("first", "ascending"), ("text", "ascending")])
+
+
+def repeated_grams(sliced: DataFrame, length: int, bits: int) -> DataFrame:
+    """slice, bucket, bits: of a slice's distinct ranks of three quarters of the length, in order, which of them two texts hold.
+
+    sliced: slice, first, text, data (binary). A bucket answers each slice about the
+    slice's own ranks with leading bits bits equal to the bucket, so what is held at
+    once and what is handed on stay in proportion to the texts.
+    """
+
+    def ranks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_ = _in_order(pa.Table.from_batches(batches))
+        found = [(h, of.astype(np.uint64)) for data, valid, owner, _ in pieces(slice_["data"].to_pylist(), length) for h, of in [_ranks(Sample(data, valid, length), owner)]]
+        h, of = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(h)
+        h, of = h[order], of[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        if not len(start):
+            return
+        many = np.minimum.reduceat(of, start) != np.maximum.reduceat(of, start)
+        h = h[start]
+        found = [(bucket, _planes(h[s]), np.packbits(many[s]).tobytes()) for bucket, s in _by_bucket(h, bits)]
+        bucket, grams, shared = zip(*found)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array(bucket, pa.int64()), pa.array(grams, pa.binary()), pa.array(shared, pa.binary())], ["slice", "bucket", "grams", "many"])
 
     def repeated(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, shared = [], []
+        slices, grams, many = [], [], []
         for batch in batches:
+            slices += batch["slice"].to_pylist()
             for g, m in zip(batch["grams"].to_pylist(), batch["many"].to_pylist()):
-                g = _unplaned(g)
-                grams.append(g)
-                shared.append(g[np.unpackbits(np.frombuffer(m, np.uint8), count=len(g)) == 1])
-        g = np.sort(np.concatenate(grams))
-        hit = np.concatenate([g[1:][g[1:] == g[:-1]], *shared])
-        own_bits = np.zeros(segment, bool)
-        own_bits[(hit >> np.uint64(64 - map_bits)).astype(np.int64) % segment] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(own_bits).tobytes()], pa.binary())], ["bucket", "bits"])
-
-    found = texts.mapInArrow(ranks, "bucket long, grams binary, many binary").groupBy("bucket").applyInArrow(repeated, "bucket long, bits binary")
-    out = Bitmap(map_bits)
-    size = len(out.bytes) >> bits
-    for row in written(found, "repeat-map").toLocalIterator():
-        out.bytes[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-def positions(texts: DataFrame, grams: Bitmap, length: int) -> DataFrame:
-    """A row for each sampled position of which a rank may be repeated.
-
-    first, text (of texts), h (gram), at (offset), hi and lo (its windows begin hi
+                grams.append(_unplaned(g))
+                many.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(grams[-1])) == 1)
+        sizes = [len(g) for g in grams]
+        g, shared = np.concatenate(grams), np.concatenate(many)
+        order = np.argsort(g)
+        same = g[order[1:]] == g[order[:-1]]
+        shared[order[1:][same]] = shared[order[:-1][same]] = True
+        answers = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(sizes)[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([key[0].as_py()] * len(slices), pa.int64()), pa.array(sizes, pa.int32()), pa.array(answers, pa.binary())], ["slice", "bucket", "n", "bits"])
+
+    found = sliced.groupBy("slice").applyInArrow(ranks, "slice long, bucket long, grams binary, many binary")
+    return found.groupBy("bucket").applyInArrow(repeated, "slice long, bucket long, n int, bits binary")
+
+
+def positions(sliced: DataFrame, answers: DataFrame, length: int) -> DataFrame:
+    """A row for each sampled position of which a rank is repeated.
+
+    first, text (of sliced), h (gram), at (offset), hi and lo (its windows begin hi
     to lo bytes before it), near (the bytes of these windows without the gram).
     """
     k = length // 2
     side = length - k
     half = side // 2 + 1
-    held = texts.sparkSession.sparkContext.broadcast(grams)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            first, text = batch["first"].to_numpy(), batch["text"].to_numpy()
-            for data, valid, owner, offset in pieces(batch["data"].to_pylist(), length):
-                x = Sample(data, valid, length)
-                after, before = x.has_after & held.value.has(x.after), x.has_before & held.value.has(x.before)
-                # windows of a half whose rank is unique leave
-                lo, hi = np.where(after, x.lo, np.maximum(x.lo, side - half + 1)), np.where(before, x.hi, np.minimum(x.hi, side - half))
-                some = after | before
-                at, h, hi, lo = x.at[some], x.h[some], hi[some], lo[some]
-                if not len(at):
-                    continue
-                reach = np.concatenate([np.arange(-side, 0), np.arange(k, k + side)])
-                inside = np.concatenate([np.arange(side, 0, -1) <= hi[:, None], np.arange(1, side + 1) <= side - lo[:, None]], 1)
-                near = data[np.clip(at[:, None] + reach, 0, len(data) - 1)][inside]
-                ends = np.concatenate([[0], np.cumsum(hi + side - lo)]).astype(np.int32)
-                bytes_ = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(near.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first[owner[at]]), pa.array(text[owner[at]]), pa.array(h.view(np.int64)), pa.array(offset[at].astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(lo.astype(np.int32)), bytes_],
-                    ["first", "text", "h", "at", "hi", "lo", "near"],
-                )
-
-    return texts.mapInArrow(run, "first long, text long, h long, at int, hi int, lo int, near binary")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        slice_ = _in_order(left)
+        first, text = slice_["first"].to_numpy(), slice_["text"].to_numpy()
+        right = right.sort_by("bucket")
+        flags = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) == 1 for n, b in zip(right["n"].to_pylist(), right["bits"].to_pylist())]
+        parts = [(Sample(data, valid, length), data, owner, offset) for data, valid, owner, offset in pieces(slice_["data"].to_pylist(), length)]
+        known = np.unique(np.concatenate([_ranks(x, owner)[0] for x, _, owner, _ in parts])) if parts else np.zeros(0, np.uint64)
+        known = known[np.concatenate(flags)] if flags else known
+        out = []
+        for x, data, owner, offset in parts:
+            after, before = x.has_after & np.isin(x.after, known), x.has_before & np.isin(x.before, known)
+            # windows of a half whose rank is unique leave
+            lo, hi = np.where(after, x.lo, np.maximum(x.lo, side - half + 1)), np.where(before, x.hi, np.minimum(x.hi, side - half))
+            some = after | before
+            at, h, hi, lo = x.at[some], x.h[some], hi[some], lo[some]
+            reach = np.concatenate([np.arange(-side, 0), np.arange(k, k + side)])
+            inside = np.concatenate([np.arange(side, 0, -1) <= hi[:, None], np.arange(1, side + 1) <= side - lo[:, None]], 1)
+            near = data[np.clip(at[:, None] + reach, 0, len(data) - 1)][inside]
+            ends = np.concatenate([[0], np.cumsum(hi + side - lo)]).astype(np.int32)
+            bytes_ = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(near.tobytes())])
+            columns = [pa.array(first[owner[at]]), pa.array(text[owner[at]]), pa.array(h.view(np.int64)), pa.array(offset[at].astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(lo.astype(np.int32)), bytes_]
+            out.append(pa.RecordBatch.from_arrays(columns, POSITION.names))
+        return pa.Table.from_batches(out, POSITION)
+
+    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, "first long, text long, h long, at int, hi int, lo int, near binary")
 
 
 def covered_windows(rows: DataFrame, length: int) -> DataFrame:
@@ -283,13 +279,16 @@ def covered_windows(rows: DataFrame, length: int) -> DataFrame:
     # three quarters: the gram with what follows, and with what precedes
     after, before = F.expr(f"substring(near, hi + 1, {half})"), F.expr(f"substring(near, hi - {half} + 1, {half})")
     longer = {"after": (F.col("lo") <= side - half, F.xxhash64("h", F.lit(1), after)), "before": (F.col("hi") >= half, F.xxhash64("h", F.lit(2), before))}
-    ranks = classes.select("first", F.explode(F.array(*(F.when(has, rank) for has, rank in longer.values()))).alias("h")).where("h is not null")
-    shared = ranks.groupBy("h").agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a < z").select("h")
-    open_ = in_some(shared, bits=RANK_BITS)
-    first_o = F.when(longer["after"][0] & open_(longer["after"][1]), F.col("lo")).otherwise(F.greatest("lo", F.lit(side - half + 1)))
-    last_o = F.when(longer["before"][0] & open_(longer["before"][1]), F.col("hi")).otherwise(F.least("hi", F.lit(side - half)))
+    either = F.array(*(F.struct(F.lit(k).alias("side"), F.when(has, rank).alias("h")) for k, (has, rank) in enumerate(longer.values(), 1)))
+    ranks = classes.select("id", "first", F.explode(either).alias("r")).select("id", "first", "r.side", "r.h").where("h is not null")
+    shared = written(ranks.groupBy("h").agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a < z").select("h"), "repeat-shared")
+    open_ = ranks.select("id", "side", "h").join(shared.hint("merge"), "h", "left_semi").groupBy("id").agg(F.bit_or("side").alias("open"))
+    first_o = F.when(F.col("open").bitwiseAND(1) > 0, F.col("lo")).otherwise(F.greatest("lo", F.lit(side - half + 1)))
+    last_o = F.when(F.col("open").bitwiseAND(2) > 0, F.col("hi")).otherwise(F.least("hi", F.lit(side - half)))
     # the whole length: a row for each window
-    ranged = classes.select("id", "first", "h", "hi", "near", first_o.alias("a"), last_o.alias("z")).where("a <= z")
+    ranged = classes.join(open_.hint("merge"), "id").select("id", "first", "h", "hi", "near", first_o.alias("a"), last_o.alias("z")).where("a <= z")
+    ranged = written(ranged, "repeat-open", compression="zstd")
+    discard(shared)
     each = ranged.select("id", "first", F.explode(F.expr("sequence(a, z)")).alias("o"), "h", "hi", "near")
     windows = each.select("id", "first", "o", F.xxhash64("h", "o", F.expr(f"substring(near, hi - o + 1, {side})")).alias("w"))
     least = written(windows.groupBy("w").agg(F.min("first").alias("least"), F.max("first").alias("last")).where("least < last").select("w", "least"), "repeat-ranks")
@@ -297,7 +296,7 @@ def covered_windows(rows: DataFrame, length: int) -> DataFrame:
     hits = hits.select("id", "first", F.expr("shiftleft(1L, o)").alias("mask"))
     judged = hits.unionByName(classes.where("first < last").select("id", "first", F.lit(0).cast("long").alias("mask")))
     judged = written(judged.groupBy("id").agg(F.min("first").alias("least"), F.bit_or("mask").alias("mask")), "repeat-judged")
-    discard(least, classes)
+    discard(least, ranged, classes)
     back = rows.select("text", "first", "at", "hi", "lo", class_id.alias("id")).where(in_some(judged.select(F.col("id").alias("h")), bits=RANK_BITS)(F.col("id")))
     own = F.expr("shiftleft(2L, hi) - shiftleft(1L, lo)")
     masks = back.join(judged.hint("merge"), "id").select("text", "first", "at", F.when(F.col("first") > F.col("least"), own).otherwise(F.col("mask")).alias("mask"))
@@ -343,8 +342,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, map_bits: int = MAP_BI
     # one row of each text (and a few more rows, which change nothing: they hold what a smaller id holds)
     known = in_some(texts.select(F.xxhash64("first", "sha").alias("h")), bits=TEXT_BITS)(F.xxhash64("doc_id", "sha"))
     once = own.where((F.col("n") >= length) & F.col("doc_id").isNotNull() & known).select(F.col("doc_id").alias("first"), F.xxhash64("sha").alias("text"), "data")
-    grams = repeated_grams(once, length, _bits(total / bucket_bytes, map_bits - 3), map_bits)
-    rows = written(positions(once, grams, length), "repeat-positions", compression="zstd")
+    sliced = once.withColumn("slice", F.pmod(F.xxhash64("first", "text", F.lit(1)), F.lit(-(-total // SLICE_BYTES) or 1)))
+    answers = repeated_grams(sliced, length, _bits(total / bucket_bytes, map_bits - 3))
+    rows = written(positions(sliced, answers, length), "repeat-positions", compression="zstd")
     covers = covered_windows(rows, length).groupBy("text", "first").agg(F.collect_list(F.struct("at", "mask")).alias("covers"))
     # rows that the map of texts let through beside a text's first one have none
     covers = written(covers.join(texts.select(F.xxhash64("sha").alias("text"), "first"), ["text", "first"], "left_semi"), "repeat-covers")

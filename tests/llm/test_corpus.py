@@ -352,6 +352,31 @@ def test_repeats_over_parts_of_long_texts(spark, monkeypatch, texts):
     assert len(found) == sum(max(0, len(t.encode()) - 49) for t in texts.values())
 
 
+def test_repeats_over_slices_and_full_maps(spark, texts, monkeypatch):
+    """Equal results over many slices, and no row of a text that shares nothing, however full the maps are."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(repeat_removal, "SLICE_BYTES", 4000)
+    monkeypatch.setattr(repeat_removal, "RANK_BITS", 6)
+    monkeypatch.setattr(repeat_removal, "TEXT_BITS", 6)
+    some = dict(list(texts.items())[:80])
+    out = repeat_removal.remove_repeats(odd(spark, list(some.items())), map_bits=6, bucket_bytes=2000).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == _removed(some)
+    rows, write = {}, repeat_removal.written
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeat_removal, "written", counted)
+    alone = [(k, "".join(rng.choice(list("abcdefgh"), 600))) for k in range(60)]
+    # what two texts share fills the maps; the others have no rows for it
+    alone += [(60, "zy" + alone[0][1][100:]), (61, alone[0][1][:40] + "xy" + alone[1][1])]
+    out = repeat_removal.remove_repeats(odd(spark, alone), map_bits=6).collect()
+    assert {r.doc_id for r in out if r.n_removed} == {60, 61}
+    assert 0 < rows["repeat-positions"] < 300 and 0 < rows["repeat-open"] < 300
+
+
 def test_repeats_at_the_edges(spark):
     got = repeat_removal.remove_repeats(odd(spark)).collect()
     by = collections.defaultdict(list)
