@@ -234,8 +234,8 @@ def s01_list_workspace(i):
     frames_ = i.pixel.select("scene_id", "frame_id").distinct()
     rows = frames_.select(F.col("scene_id").alias("scene"), F.explode(F.array(F.lit("color"), F.lit("depth"))).alias("modality"), "frame_id")
     rows = rows.withColumn("value", F.concat_ws(" ", "modality", F.col("frame_id").cast("string")))
-    files.by_folder(rows, "scene", "modality", "frame_id").text(at)
-    listed = files.list_partitioned(i.spark, at).where("scene in (1, 2) and modality = 'depth'")
+    files.write_workspace(rows, at, "scene", "modality", "frame_id")
+    listed = files.list_by_tasks(i.spark, at, "scene int, modality string, frame_id int", {"scene": [1, 2], "modality": ["depth"]})
     return listed.select("scene", "modality", "frame_id", "length")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fusemill.functions import geometry as G
 from fusemill.operators import boxes, depth, evaluate, frames, instances, lift, masks, sync, vocab, vote
+from fusemill.plans import catalog
 from fusemill.plans.fixtures import Inputs
 from fusemill.sources import files
 from fusemill.streaming import confusion
@@ -268,6 +269,32 @@ def test_workspace_is_listed_where_asked(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(scene" in named._jdf.queryExecution().executedPlan().toString() and {r.scene for r in named.collect()} == {1}
 
 
+def test_workspace_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/w"
+    rows = spark.createDataFrame([(s, m, f, f"{m} {f}") for s in (1, 2, None) for m in ("color", "a/b c=é") for f in (0, 12)] + [(3, "color", 5, None)], "scene int, modality string, frame_id int, value string")
+    files.write_workspace(rows, root, "scene", "modality", "frame_id")
+    (tmp_path / "w" / "scene=1" / "_SUCCESS").write_text("")
+    columns = "scene int, modality string, frame_id int"
+    every = files.list_by_tasks(spark, root, columns)
+    want = {(r.scene, r.modality, r.frame_id, len((r.value or "").encode()) + 1) for r in rows.collect()}
+    assert sorted(map(str, ((r.scene, r.modality, r.frame_id, r.length) for r in every.collect()))) == sorted(map(str, want))
+    plain = ["path", "scene", "modality", "frame_id", "length"]
+    assert {r.path for r in every.where("modality = 'color'").collect()} == {r.path for r in files.list_partitioned(spark, root).where("modality = 'color'").collect()}
+    some = files.list_by_tasks(spark, root, columns, {"scene": [1], "modality": ["color"]})
+    assert sorted(r.frame_id for r in some.collect()) == [0, 12] and every.count() == len(want)
+    # the driver knows no file
+    assert some.inputFiles() == [] and every.inputFiles() == []
+    # stores that only Spark opens
+    monkeypatch.setattr(files, "opened_by_tasks", lambda root: False)
+    files.write_workspace(rows.where("scene = 1"), f"{root}2", "scene", "modality", "frame_id")
+    again = files.list_by_tasks(spark, f"{root}2", columns, {"modality": ["color"]})
+    assert again.schema == every.schema and sorted((r.scene, r.frame_id, r.length) for r in again.select(*plain).collect()) == [(1, 0, 8), (1, 12, 9)]
+
+
+def test_workspace_query_lists_nothing_on_the_driver(spark):
+    assert catalog.QUERIES["s01_list_workspace"](spark, "/root/testdata/sf0.001").inputFiles() == []
+
+
 def test_scan_files(spark, tmp_path):
     (tmp_path / "pose").mkdir()
     (tmp_path / "pose" / "000007.txt").write_text("1 0 0\n0 1 0\n0 0 1\n")
