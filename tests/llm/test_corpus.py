@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fusemill.llm import decontaminate, jaccard_join, language_id, line_dedup, lm_score, media, repeat_removal, secret_scan, sentencepiece_codec, warc
+from fusemill.llm import decontaminate, jaccard_join, language_id, line_dedup, lm_score, media, repeat_removal, secret_scan, sentencepiece_codec, warc, word_choice
 from fusemill.llm.common import fresh_dir
 
 SF = "/root/testdata/sf0.001"
@@ -793,7 +793,65 @@ def test_scores_are_probabilities():
     assert lp[0] > lp[1]
 
 
+def test_known_words_are_chosen_from_contexts(spark, monkeypatch):
+    """In pairs of words the second follows from the first, which counts don't tell."""
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join(f"left{j} right{j}" for j in rng.permutation(60)[:25])) for k in range(300)]
+    bits = lambda found: -sum(r.score for r in found if r.held_out) * math.log2(10) / sum(r.n_bytes for r in found if r.held_out)
+    docs = odd(spark, rows)
+    plain, mixed = bits(lm_score.score(docs).collect()), bits(lm_score.score(docs, mix_choices=True).collect())
+    assert mixed < 0.8 * plain
+    assert bits(lm_score.score(docs, block_bytes=30_000, mix_choices=True).collect()) < 0.8 * plain
+    # the query chooses so
+    monkeypatch.setattr(lm_score, "table", lambda *_: docs)
+    assert bits(lm_score.query(spark, "").collect()) == pytest.approx(mixed, rel=1e-3)
+
+
+def test_choices_are_probabilities(spark):
+    """Codes are of no other's beginning; a node's sums are the text's; given whether the text had it, words' probabilities add up to at most one."""
+    rng = np.random.default_rng(10)
+    c = rng.integers(1, 200, 40) ** 2
+    counts = spark.createDataFrame([(f"w{k}".encode(), int(v), 2) for k, v in enumerate(c)] + [(b"unknown", 0, 0)], "word binary, c long, docs long")
+    got = {bytes(r.word): r for r in lm_score.word_codes(counts, int(c.sum()), 40).collect()}
+    assert got[b"unknown"].length == 0 and all(got[f"w{k}".encode()].length == math.ceil(math.log2(c.sum() / v)) + 1 for k, v in enumerate(c))
+    paths = sorted(f"{r.code:0{r.length}b}" for r in got.values() if r.length)
+    assert len(paths) == 40 and not any(b.startswith(a) for a, b in zip(paths, paths[1:]))
+    code, length = (np.array([getattr(got[f"w{k}".encode()], x) for k in range(40)]) for x in ("code", "length"))
+    token = rng.choice(40, 300, p=c / c.sum())
+    text = np.repeat([0, 1, 2], 100)
+    mass = rng.integers(0, 9, 300)
+    for place, at, bit, node, zeros, ones, heavy_zeros, heavy_ones in word_choice.levels(text, code[token], length[token], mass):
+        way = lambda k: f"{code[token[k]]:0{length[token[k]]}b}"
+        for r in rng.integers(0, len(at), 20):
+            k = int(at[r])
+            assert bin(node[r])[3:] == way(k)[:place] and bit[r] == int(way(k)[place])
+            same = [j for j in range(k) if text[j] == text[k] and way(j)[:place] == way(k)[:place]]
+            assert [zeros[r], ones[r]] == [sum(way(j)[place] == b for j in same) for b in "01"]
+            assert [heavy_zeros[r], heavy_ones[r]] == [sum(mass[j] for j in same if way(j)[place] == b) for b in "01"]
+    pairs, choice = np.zeros((word_choice.ORDERS, 1 << word_choice.TABLE_BITS), np.int64), word_choice.Choice()
+
+    def parts(token):
+        n = len(token)
+        had = np.array([token[k] in token[:k] for k in range(n)]).astype(np.int64)
+        number = code[token].astype(np.uint64) << np.uint64(6) | length[token].astype(np.uint64)
+        return np.zeros(n, int), had, code[token], length[token], np.where(had, 0, c[token]), word_choice.histories(number, np.arange(n))
+
+    text_, had, *rest, mass_, history = parts(token)
+    word_choice.count_piece(text_, *rest, history, pairs)
+    assert word_choice.learn_piece(*parts(token), pairs, choice) == length[token].sum()
+    total = [0.0, 0.0]
+    for k in range(40):
+        x = parts(np.append(token[:30], k))
+        total[x[1][-1]] += 10 ** word_choice.logs(*x, pairs, choice)[-1]
+    assert 0.05 < min(total) and max(total) <= 1 + 1e-4
+
+
 def test_scores_at_the_edges(spark):
+    assert lm_score.score(odd(spark, []), mix_choices=True).count() == 0
+    mixed = lm_score.score(odd(spark), mix_choices=True).collect()
+    assert len(mixed) == 10 and all(math.isfinite(r.score) and r.score < 0 for r in mixed)
+    held_out = next(k for k in range(1000) if zlib.crc32(str(k).encode()) % 10 == 0)
+    assert -100 < lm_score.score(odd(spark, [(held_out, "x y x")]), mix_choices=True).first().score < 0
     got = lm_score.score(odd(spark)).collect()
     assert len(got) == 10 and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {1}
     assert lm_score.score(odd(spark, [])).count() == 0
